@@ -102,6 +102,11 @@ def running(
     return out.drop(*[f"_in_{c}" for c in sums])
 
 
+def between(lo: Column, hi: Column, part: Column) -> Column:
+    """Interpolate as Spark's own percentile does; equal ends stay exact."""
+    return F.when(lo == hi, lo).otherwise(lo * (1 - part) + hi * part)
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
     """One row per distinct value of a group with its count (map-side combined)."""
     weight = F.lit(1) if weight is None else weight
@@ -141,7 +146,7 @@ def quantiles(
         for name, p in probs.items():
             pos = (F.col("_n") - 1) * F.lit(float(p))
             lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-            cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+            cols.append(between(lo, hi, pos - F.floor(pos)).alias(name))
         return out.select(*keys, *cols)
 
     if small(bound) and bound <= limit:

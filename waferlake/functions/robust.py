@@ -23,7 +23,7 @@ def array_quantile(values: Column, p: float) -> Column:
     pos = (F.size(values) - 1) * F.lit(float(p))
     lo = F.floor(pos).cast("int")
     a, b = F.get(values, lo), F.get(values, F.ceil(pos).cast("int"))
-    return a + (b - a) * (pos - lo)
+    return ordered.between(a, b, pos - lo)
 
 
 def spread_of(mad: Column, q1: Column, q3: Column, std: Column) -> Column:
@@ -49,13 +49,47 @@ def profile(
     return _in_group(cold, keys).unionByName(_by_rank(hot, keys, limit))
 
 
+def profile_wide(
+    shots: DataFrame,
+    keys: Sequence[str],
+    items: Sequence[str],
+    bound: int | None = None,
+    limit: int = ordered.GROUP_LIMIT,
+) -> DataFrame:
+    """``profile`` of every item column, as rows of (keys, item, ...).
+
+    The wide rows are aggregated as they are and only the aggregates are turned
+    to rows, so one row per shot is shuffled and not one per measured value.
+    """
+    keys, items = list(keys), list(items)
+
+    def in_group(rows: DataFrame) -> DataFrame:
+        aggs = [F.struct(F.collect_list(i).alias("v"), F.stddev_samp(i).alias("s")).alias(i) for i in items]
+        out = rows.groupBy(*keys).agg(*aggs).unpivot(keys, items, "item", "_a")
+        out = out.where(F.size("_a.v") > 0)
+        return _finish(
+            out.select(*keys, "item", F.sort_array("_a.v").alias("vals"), F.col("_a.s").alias("_s")), [*keys, "item"]
+        )
+
+    if ordered.small(bound) and bound <= limit:
+        return in_group(shots)
+    cold, hot = ordered.split_hot(shots, keys, limit)
+    long = hot.unpivot(keys, items, "item", "_v").where(F.col("_v").isNotNull())
+    return in_group(cold).unionByName(_by_rank(long, [*keys, "item"], limit))
+
+
 def _in_group(df: DataFrame, keys: list[str]) -> DataFrame:
     out = df.groupBy(*keys).agg(
         F.sort_array(F.collect_list("_v")).alias("vals"), F.stddev_samp("_v").alias("_s")
     )
+    return _finish(out, keys)
+
+
+def _finish(out: DataFrame, keys: list[str]) -> DataFrame:
     out = out.withColumn("median", array_quantile(F.col("vals"), 0.5))
     out = out.withColumn(
-        "_dev", F.sort_array(F.transform("vals", lambda v: F.abs(v - F.col("median"))))
+        "_mad",
+        array_quantile(F.sort_array(F.transform("vals", lambda v: F.abs(v - F.col("median")))), 0.5),
     )
     return out.select(
         *keys,
@@ -63,7 +97,7 @@ def _in_group(df: DataFrame, keys: list[str]) -> DataFrame:
         "median",
         F.coalesce("_s", F.lit(0.0)).alias("std"),
         spread_of(
-            array_quantile(F.col("_dev"), 0.5),
+            F.col("_mad"),
             array_quantile(F.col("vals"), 0.25),
             array_quantile(F.col("vals"), 0.75),
             F.col("_s"),

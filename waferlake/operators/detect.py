@@ -19,6 +19,11 @@ def wafer_stats(points: DataFrame, bound: int | None = None) -> DataFrame:
     return robust.profile(points, WAFER_ITEM, "value", bound)
 
 
+def wafer_stats_wide(shots: DataFrame, items, bound: int | None = None) -> DataFrame:
+    """The same from wide shots, without a row per value."""
+    return robust.profile_wide(shots, WAFER, items, bound)
+
+
 def product_baseline(wafers: DataFrame, bound: int | None = None) -> DataFrame:
     """Per product item: centre and scatter of wafer medians, typical wafer spread."""
     stats = wafers.unpivot(PRODUCT_ITEM, ["median", "spread"], "stat", "x").where("x > 0 OR stat = 'median'")

@@ -25,7 +25,7 @@ LI_ALL = [i.alias for i in LI_ITEMS]
 
 EV_ITEMS = [
     Item("REAL", name, name, None, None, float(n), None, 250.0, "UPPER", "A", "EVENT")
-    for n, name in enumerate(["click", "error", "purchase", "scroll", "view"], 1)
+    for n, name in enumerate(["click", "error", "purchase", "signup", "view"], 1)
 ]
 
 
@@ -88,7 +88,11 @@ def li_bound(spark: SparkSession, sf_dir: str) -> int:
 
 
 def ev_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    return as_measurements(table(spark, sf_dir, "events"))
+
+
+def as_measurements(ev: DataFrame) -> DataFrame:
+    """Event rows, batch or stream, as measurements."""
     k = F.get_json_object("props", "$.k").cast("long")
     return ev.select(
         F.lit("EV").alias("vehicle"),

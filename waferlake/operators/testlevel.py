@@ -28,6 +28,16 @@ def aggregate_spec(name: str, table: Mapping[str, str]) -> str | None:
     return "P10" if "window" in name.lower() else None
 
 
+def aggregate_spec_column(name: str, table: Mapping[str, str]) -> Column:
+    """The same lookup for a column of names."""
+    exact, pattern, derived = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, v in reversed(table.items()):
+        exact = F.when(F.col(name) == k, v).otherwise(exact)
+        pattern = F.when(S.wildcard(name, [k]), v).otherwise(pattern)
+        derived = F.when(F.col(name).startswith(f"{k}_"), v).otherwise(derived)
+    return F.coalesce(exact, pattern, derived, F.when(F.lower(name).contains("window"), "P10"))
+
+
 def quantile_of(spec: str) -> float | None:
     """P-number to a share; None means the mean, anything unknown the median."""
     s = spec.strip().upper()

@@ -1,7 +1,8 @@
 """Registry: one column list serves the Spark result and the SQL result.
 
 A column list names the result columns; a suffix gives the kind: ``:i`` integer,
-``:d`` double rounded to six places, ``:t`` timestamp as text, ``:b`` boolean as
+``:d`` double rounded to six places, ``:f`` to three (sums and deviations,
+whose last digits depend on the order of summation), ``:t`` timestamp as text, ``:b`` boolean as
 0/1. Doubles are nudged by far less than the rounding unit first, so that exact
 decimal halves round the same way in both engines.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NUDGE = 3.3e-9
+PLACES = {"d": 6, "f": 3}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 CTES: dict[str, str] = {}
@@ -33,8 +35,8 @@ def spark_select(df: DataFrame, cols: str) -> DataFrame:
             c = c.cast("long")
         elif kind == "b":
             c = c.cast("int").cast("long")
-        elif kind == "d":
-            c = F.round(c.cast("double") + NUDGE, 6) + 0.0
+        elif kind in PLACES:
+            c = F.round(c.cast("double") + NUDGE, PLACES[kind]) + 0.0
         elif kind == "t":
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         out.append(c.alias(name))
@@ -46,8 +48,8 @@ def sql_select(cols: str) -> str:
     for name, kind in _parts(cols):
         if kind in ("i", "b"):
             out.append(f"CAST({name} AS BIGINT) AS {name}")
-        elif kind == "d":
-            out.append(f"round(CAST({name} AS DOUBLE) + {NUDGE}, 6) + 0.0 AS {name}")
+        elif kind in PLACES:
+            out.append(f"round(CAST({name} AS DOUBLE) + {NUDGE}, {PLACES[kind]}) + 0.0 AS {name}")
         elif kind == "t":
             out.append(f"strftime({name}, '%Y-%m-%d %H:%M:%S') AS {name}")
         else:

@@ -67,7 +67,7 @@ def typed_values(spark, sf):
 SCALES = [Item("REAL", "Q_MM", "QTY", "0.5"), Item("REAL", "Q_TWICE", "QTY", "9"), Item("REAL", "PRICE_K", "PRICE", "0.001"), Item("REAL", "DISC", "DISC", "bad"), Item("REAL", "BLANK", "", "3")]
 
 
-@query(f"{KW} item n:i total:d", f"""(SELECT {W}, CASE item_id WHEN 'QTY' THEN 'Q_MM' WHEN 'PRICE' THEN 'PRICE_K' ELSE item_id END AS item, count(*) AS n,
+@query(f"{KW} item n:i total:f", f"""(SELECT {W}, CASE item_id WHEN 'QTY' THEN 'Q_MM' WHEN 'PRICE' THEN 'PRICE_K' ELSE item_id END AS item, count(*) AS n,
  sum(value * CASE item_id WHEN 'QTY' THEN 0.5 WHEN 'PRICE' THEN 0.001 ELSE 1 END) AS total
  FROM (UNPIVOT rows_ ON QTY, PRICE, DISC, TAX INTO NAME item_id VALUE value) GROUP BY ALL)""", "rows_")
 def scale_and_alias(spark, sf):
@@ -75,7 +75,7 @@ def scale_and_alias(spark, sf):
     return out.groupBy(*WAFER, "item").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@query("vehicle item n:i total:d", """(SELECT vehicle, item_id AS item, count(*) AS n, sum(value * CASE WHEN vehicle = 'VF' AND item_id = 'QTY' THEN 2 WHEN vehicle = 'VO' AND item_id = 'QTY' THEN 3 ELSE 1 END) AS total
+@query("vehicle item n:i total:f", """(SELECT vehicle, item_id AS item, count(*) AS n, sum(value * CASE WHEN vehicle = 'VF' AND item_id = 'QTY' THEN 2 WHEN vehicle = 'VO' AND item_id = 'QTY' THEN 3 ELSE 1 END) AS total
  FROM (UNPIVOT rows_ ON QTY, PRICE, DISC, TAX INTO NAME item_id VALUE value) GROUP BY ALL)""", "rows_")
 def multi_vehicle_scan(spark, sf):
     """Every vehicle with its own dictionary."""
@@ -229,7 +229,7 @@ def formula_functions(spark, sf):
     return formulas.add_formulas(fx.li_shots(spark, sf), FORMULAS).frame
 
 
-@query(f"{KW} chip_x:i chip_y:i tkout_time:t G_STD:d G_AVG:d G_REL:d", """(SELECT *, G_AVG / QTY AS G_REL FROM (SELECT *, stddev_samp(PRICE) OVER w AS G_STD, avg(PRICE - NET) OVER w AS G_AVG FROM shots
+@query(f"{KW} chip_x:i chip_y:i tkout_time:t G_STD:f G_AVG:f G_REL:f", """(SELECT *, G_AVG / QTY AS G_REL FROM (SELECT *, stddev_samp(PRICE) OVER w AS G_STD, avg(PRICE - NET) OVER w AS G_AVG FROM shots
  WINDOW w AS (PARTITION BY root_lot_id, wafer_id, tkout_time)))""", "shots")
 def formula_group_statistics(spark, sf):
     items = [Item("ADDP", "G_STD", formula="STD({PRICE})"), Item("ADDP", "G_AVG", formula="AVG({PRICE} - {NET})"), Item("ADDP", "G_REL", formula="{G_AVG} / {QTY}")]
@@ -315,7 +315,7 @@ def name_resolution(spark, sf):
 
 @query("position:i lot_id wafer_id:i", "(SELECT *, row_number() OVER (ORDER BY lot_id <> 'L00007', lot_id, wafer_id) AS position FROM (SELECT DISTINCT lot_id, wafer_id FROM shots))", "shots")
 def board_order(spark, sf):
-    return board.board_order(fx.li_shots(spark, sf), "L00007")
+    return board.board_order(fx.li_shots(spark, sf), "L00007", fx.li_bound(spark, sf))
 
 
 # ---------------------------------------------------------------- charts
@@ -358,7 +358,7 @@ def trend_range(spark, sf):
     return charts.trend_range(pts(spark, sf), fx.li_items(spark))
 
 
-@query("class item n:i total:d", """(SELECT CASE WHEN vehicle <> 'VF' THEN 'with vehicle' WHEN lot_id = 'L00005' THEN 'target' WHEN root_lot_id = 'R1' THEN 'sibling' ELSE 'other' END AS class, item, count(*) AS n, sum(value) AS total FROM pts GROUP BY ALL)""", "pts")
+@query("class item n:i total:f", """(SELECT CASE WHEN vehicle <> 'VF' THEN 'with vehicle' WHEN lot_id = 'L00005' THEN 'target' WHEN root_lot_id = 'R1' THEN 'sibling' ELSE 'other' END AS class, item, count(*) AS n, sum(value) AS total FROM pts GROUP BY ALL)""", "pts")
 def trend_classes(spark, sf):
     out = charts.trend_classes(pts(spark, sf), "VF", "L00005", "R1")
     return out.groupBy("class", "item").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
@@ -457,7 +457,7 @@ def lot_log(spark, sf):
     return merged.withColumn("wafer_text", F.array_join("wafers", ",")).withColumn("site_text", F.array_join("site_counts", ","))
 
 
-DONE_SQL = """(SELECT prime_key, lot_id, loc, t, moved AND t < TIMESTAMP '2000-06-01' - INTERVAL 90 MINUTE AS done, lot_id LIKE '%3' AS before FROM (
+DONE_SQL = """(SELECT prime_key, lot_id, loc, t, moved AND t < TIMESTAMP '2001-10-01 01:00:00' - INTERVAL 90 MINUTE AS done, lot_id LIKE '%3' AS before FROM (
  SELECT l.*, w.loc, w.loc IS NULL OR substr(w.loc, 1, 2) <> 'S3' OR CAST(substr(w.loc, 2) AS INT) - 300 >= 100 AS moved FROM (SELECT replace(replace(replace(prime_key, '_SA', '_S300'), '_SN', '_S300'), '_SR', '_S300') AS prime_key, lot_id, max(t) AS t FROM log_ GROUP BY ALL) l
  LEFT JOIN (SELECT lot_id, arg_max(loc, row(d, o_orderkey)) AS loc FROM wip_ GROUP BY lot_id) w USING (lot_id)))"""
 
@@ -465,7 +465,7 @@ DONE_SQL = """(SELECT prime_key, lot_id, loc, t, moved AND t < TIMESTAMP '2000-0
 def _completion(spark, sf):
     log = ledger.lot_log(_tests(spark, sf).withColumn("step_id", F.lit("S300")))
     before = log.select("prime_key", F.element_at(F.split("prime_key", "_"), -2).endswith("3").alias("done"))
-    return ledger.completion(log, fx.wip(spark, sf), before, "2000-06-01 00:00:00", 90)
+    return ledger.completion(log, fx.wip(spark, sf), before, "2001-10-01 01:00:00", 90)
 
 
 @query("prime_key done:b newly_done:b", f"(SELECT prime_key, done OR before AS done, done AND NOT before AS newly_done FROM {DONE_SQL})", "log_ wip_")

@@ -31,12 +31,12 @@ def long_to_wide(spark, sf):
     return reshape.last_value_pivot(fx.li_long(spark, sf), SHOT_KEY, fx.LI_MEASURED, "item_id", "value", "ord")
 
 
-@query(f"{KW} item n:i total:d", f"(SELECT {WI}, count(*) AS n, sum(value) AS total FROM pts GROUP BY {WI})", "pts")
+@query(f"{KW} item n:i total:f", f"(SELECT {WI}, count(*) AS n, sum(value) AS total FROM pts GROUP BY {WI})", "pts")
 def wide_to_long(spark, sf):
     return pts(spark, sf).groupBy(*WAFER, "item").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@query(f"{KWI} n:i median:d std:d spread:d v_min:d v_max:d", "waf", "waf")
+@query(f"{KWI} n:i median:d std:f spread:d v_min:d v_max:d", "waf", "waf")
 def wafer_robust_stats(spark, sf):
     return li(spark, sf).wafers()
 
@@ -71,7 +71,7 @@ def spec_out_by_wafer(spark, sf):
     return agg.join(detect.out_text(sc), detect.REPORT_ITEM)
 
 
-@query(f"{KRI} rep_median:d rep_std:d rep_spread:d rstd_ratio:d", "stats", "stats")
+@query(f"{KRI} rep_median:d rep_std:f rep_spread:d rstd_ratio:d", "stats", "stats")
 def representative_values(spark, sf):
     return li(spark, sf).items_scored()
 
@@ -232,7 +232,7 @@ CTX_SQL = f"""(SELECT s.*, pop.median AS pop_median, pop.spread AS pop_spread, t
 CTX = "stats pop pctile seq repeats pattern over zonec"
 
 
-@query(f"{KRI} level:i n_out:i disp_ratio:d rep_median:d rep_std:d rstd_ratio:d pop_median:d pop_spread:d target_median:d pctile:d "
+@query(f"{KRI} level:i n_out:i disp_ratio:d rep_median:d rep_std:f rstd_ratio:d pop_median:d pop_spread:d target_median:d pctile:d "
        "seq_run:i seq_dead:d seq_front:d seq_back:d pattern repeat_kind overlap_shots:i zone_center:d zone_middle:d zone_edge:d",
        CTX_SQL, CTX)
 def item_context(spark, sf):
@@ -282,7 +282,7 @@ def index_values(spark, sf):
     return testlevel.index_values(pts(spark, sf), fx.li_items(spark), fx.li_bound(spark, sf))
 
 
-@query(f"{KWI} stat value:d", f"""(SELECT {WI}, unnest(CASE dir WHEN 'UPPER' THEN ['Max', 'P90', 'Med', 'P10'] WHEN 'LOWER' THEN ['P90', 'Med', 'P10', 'Min'] ELSE ['P90', 'Med', 'P10', 'Std'] END) AS stat,
+@query(f"{KWI} stat value:f", f"""(SELECT {WI}, unnest(CASE dir WHEN 'UPPER' THEN ['Max', 'P90', 'Med', 'P10'] WHEN 'LOWER' THEN ['P90', 'Med', 'P10', 'Min'] ELSE ['P90', 'Med', 'P10', 'Std'] END) AS stat,
  unnest(CASE dir WHEN 'UPPER' THEN [mx, p90, med, p10] WHEN 'LOWER' THEN [p90, med, p10, mn] ELSE [p90, med, p10, sd] END) AS value FROM (
  SELECT {WI}, dir, max(value) AS mx, min(value) AS mn, stddev_samp(value) AS sd, median(value) AS med, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.1) AS p10
  FROM pts JOIN items USING (item) GROUP BY {WI}, dir))""", "pts items")
@@ -297,12 +297,12 @@ METRICS_SQL = f"""(SELECT {RI}, median(value) AS target_median, stddev_samp(valu
  GROUP BY {RI}, pop_median, pop_std, cat2)"""
 
 
-@query(f"{KRI} target_median:d target_std:d pop_median:d pop_std:d spec_out_count:i deviation:d", METRICS_SQL, "pts items")
+@query(f"{KRI} target_median:d target_std:f pop_median:d pop_std:f spec_out_count:i deviation:d", METRICS_SQL, "pts items")
 def item_metrics(spark, sf):
     return testlevel.metrics(pts(spark, sf), fx.li_items(spark), fx.li_bound(spark, sf))
 
 
-@query(f"{KW} root_lot_id tkout_time:t item value:d aggregated:b", f"""(SELECT {W}, root_lot_id, tkout_time, item, value, false AS aggregated FROM pts WHERE item NOT IN ('QTY', 'PRICE', 'NET')
+@query(f"{KW} root_lot_id tkout_time:t item value:f aggregated:b", f"""(SELECT {W}, root_lot_id, tkout_time, item, value, false AS aggregated FROM pts WHERE item NOT IN ('QTY', 'PRICE', 'NET')
  UNION ALL SELECT {W}, root_lot_id, tkout_time, item, CASE item WHEN 'QTY' THEN quantile_cont(value, 0.1) WHEN 'PRICE' THEN median(value) ELSE avg(value) END, true
  FROM pts WHERE item IN ('QTY', 'PRICE', 'NET') GROUP BY {W}, root_lot_id, tkout_time, item)""", "pts")
 def per_test_aggregates(spark, sf):

@@ -17,7 +17,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events file as a stream of measurements."""
     schema = fx.table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return fx.as_measurements(raw)
+    return fx.as_measurements(raw).withColumn("tkout_time", F.col("tkout_time").cast("timestamp"))
 
 
 def finished(df: DataFrame, mode: str) -> DataFrame:
@@ -61,7 +61,7 @@ def stream_silent_lots(spark, sf):
     return ordered.running(out, ["lot_id"], ["last_time"], {"session_no": F.lit(1)}, out.count())
 
 
-@query("lot_id day n:i total:d", """(SELECT lot_id, strftime(tkout_time, '%Y-%m-%d') AS day, count(*) AS n, sum(value) AS total FROM ev GROUP BY ALL)""", "ev")
+@query("lot_id day n:i total:f", """(SELECT lot_id, strftime(tkout_time, '%Y-%m-%d') AS day, count(*) AS n, sum(value) AS total FROM ev GROUP BY ALL)""", "ev")
 def stream_day_ingest(spark, sf):
     """Day partitions written by the stream, read back."""
     root = f"{checkpoint_dir(spark)}/days-{uuid.uuid4().hex}"

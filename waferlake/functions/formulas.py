@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waferlake.schema import Item
+from waferlake.session import checkpoint_dir
 
 REFERENCE = re.compile(r"\{([^{}]+)\}")
 GROUP = ["root_lot_id", "wafer_id", "tkout_time"]
@@ -263,20 +264,20 @@ def lineage(edges: DataFrame) -> DataFrame:
     """Measured items every derived item finally rests on.
 
     ``edges`` holds (alias, ref); a ref that is no alias itself is measured.
+    The closure grows by one formula level per round and drops what it has
+    already, so shared inputs and circular formulas end too.
     """
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_formula_edges")
-    return spark.sql(
-        """
-        WITH RECURSIVE reach(alias, ref) AS (
-          SELECT alias, ref FROM _formula_edges
-          UNION ALL
-          SELECT r.alias, e.ref FROM reach r JOIN _formula_edges e ON e.alias = r.ref
+    checkpoint_dir(edges.sparkSession)
+    step = edges.select(F.col("alias").alias("ref"), F.col("ref").alias("next"))
+    reach = newest = edges.select("alias", "ref").distinct().checkpoint()
+    while not newest.isEmpty():
+        newest = (
+            newest.join(step, "ref").select("alias", F.col("next").alias("ref")).distinct()
+            .join(reach, ["alias", "ref"], "left_anti").checkpoint()
         )
-        SELECT DISTINCT r.alias, r.ref AS leaf
-        FROM reach r LEFT ANTI JOIN _formula_edges e ON e.alias = r.ref
-        """
-    )
+        reach = reach.union(newest).checkpoint()
+    derived = edges.select(F.col("alias").alias("ref")).distinct()
+    return reach.join(derived, "ref", "left_anti").select("alias", F.col("ref").alias("leaf"))
 
 
 def formula_edges(items: DataFrame) -> DataFrame:

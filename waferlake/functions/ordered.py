@@ -7,8 +7,8 @@ before it are added, so no task ever sees a whole hot group.
 
 ``bound`` is a proven upper bound on the rows of any group (for instance the
 row count of the source files). With ``bound <= GROUP_LIMIT`` the plan has only
-the in-group form; with ``bound=None`` both forms are planned and the groups
-are routed by their counted size.
+the in-group form; otherwise the groups are counted and only the larger ones
+take the other route.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql.window import Window as W
 from waferlake.session import checkpoint_dir
 
 GROUP_LIMIT = 1_000_000
-RANGE_ROWS = 500_000
 
 
 def source_rows(df: DataFrame) -> int:
@@ -30,21 +29,21 @@ def source_rows(df: DataFrame) -> int:
     return df.count()
 
 
-def small(bound: int | None) -> bool:
-    return bound is not None and bound <= GROUP_LIMIT
+def split_hot(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups within the limit, and rows of the larger groups if there are any.
 
-
-def split_hot(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of groups within the limit, and rows of the larger groups.
-
-    There are at most total/limit larger groups, so Spark broadcasts the key
-    list whenever its measured size allows it.
+    The larger groups are counted first; there are at most total/limit of them,
+    and Spark broadcasts their keys only if the measured size allows it.
     """
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit).drop("_rows")
+    checkpoint_dir(df.sparkSession)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    hot = sizes.where(F.col("_rows") > limit).drop("_rows").checkpoint(eager=True)
+    if hot.isEmpty():
+        return df, None
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
 
 
-def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> DataFrame:
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows cut in ranges of (keys, order), each tagged with its ``_range``.
 
     The tag depends on the sampled range bounds, so it is stored in the
@@ -53,20 +52,24 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int |
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    rows = df.count() if rows is None else rows
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(parts, rows // RANGE_ROWS + 1)
     cut = df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id())
     return cut.checkpoint(eager=True)
 
 
+def in_limit(bound: int | None, limit: int | None) -> tuple[bool, int]:
+    """Whether every group is proven to fit, and the limit in force."""
+    limit = GROUP_LIMIT if limit is None else limit
+    return bound is not None and bound <= limit, limit
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     sums: Mapping[str, str | Column],
     bound: int | None = None,
-    limit: int = GROUP_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums over ``order`` within ``keys``.
 
@@ -94,11 +97,9 @@ def running(
             *rows.columns, *[(F.sum(f"_in_{c}").over(within) + F.col(f"_b_{c}")).alias(c) for c in sums]
         )
 
-    if small(bound) and bound <= limit:
-        out = in_group(df)
-    else:
-        cold, hot = split_hot(df, keys, limit)
-        out = in_group(cold).unionByName(across_ranges(hot))
+    fits, limit = in_limit(bound, limit)
+    cold, hot = (df, None) if fits else split_hot(df, keys, limit)
+    out = in_group(cold) if hot is None else in_group(cold).unionByName(across_ranges(hot))
     return out.drop(*[f"_in_{c}" for c in sums])
 
 
@@ -119,7 +120,7 @@ def quantiles(
     value: str,
     probs: Mapping[str, float],
     bound: int | None = None,
-    limit: int = GROUP_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles per group, one column per entry of ``probs``."""
     keys = list(keys)
@@ -149,10 +150,9 @@ def quantiles(
             cols.append(between(lo, hi, pos - F.floor(pos)).alias(name))
         return out.select(*keys, *cols)
 
-    if small(bound) and bound <= limit:
-        return in_group(df)
-    cold, hot = split_hot(df, keys, limit)
-    return in_group(cold).unionByName(by_rank(hot))
+    fits, limit = in_limit(bound, limit)
+    cold, hot = (df, None) if fits else split_hot(df, keys, limit)
+    return in_group(cold) if hot is None else in_group(cold).unionByName(by_rank(hot))
 
 
 def share_below(
@@ -162,7 +162,7 @@ def share_below(
     value: str,
     probe: str,
     bound: int | None = None,
-    limit: int = GROUP_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """For each distinct probe of a group: share of the population strictly below.
 

@@ -33,7 +33,7 @@ def spread_of(mad: Column, q1: Column, q3: Column, std: Column) -> Column:
 
 
 def profile(
-    df: DataFrame, keys: Sequence[str], value: str, bound: int | None = None, limit: int = ordered.GROUP_LIMIT
+    df: DataFrame, keys: Sequence[str], value: str, bound: int | None = None, limit: int | None = None
 ) -> DataFrame:
     """Per group: n, median, std (0 for one value), spread, v_min, v_max, vals.
 
@@ -43,10 +43,10 @@ def profile(
     """
     keys = list(keys)
     df = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    if ordered.small(bound) and bound <= limit:
-        return _in_group(df, keys)
-    cold, hot = ordered.split_hot(df, keys, limit)
-    return _in_group(cold, keys).unionByName(_by_rank(hot, keys, limit))
+    fits, limit = ordered.in_limit(bound, limit)
+    cold, hot = (df, None) if fits else ordered.split_hot(df, keys, limit)
+    out = _in_group(cold, keys)
+    return out if hot is None else out.unionByName(_by_rank(hot, keys, limit))
 
 
 def profile_wide(
@@ -54,7 +54,7 @@ def profile_wide(
     keys: Sequence[str],
     items: Sequence[str],
     bound: int | None = None,
-    limit: int = ordered.GROUP_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """``profile`` of every item column, as rows of (keys, item, ...).
 
@@ -71,9 +71,10 @@ def profile_wide(
             out.select(*keys, "item", F.sort_array("_a.v").alias("vals"), F.col("_a.s").alias("_s")), [*keys, "item"]
         )
 
-    if ordered.small(bound) and bound <= limit:
-        return in_group(shots)
-    cold, hot = ordered.split_hot(shots, keys, limit)
+    fits, limit = ordered.in_limit(bound, limit)
+    cold, hot = (shots, None) if fits else ordered.split_hot(shots, keys, limit)
+    if hot is None:
+        return in_group(cold)
     long = hot.unpivot(keys, items, "item", "_v").where(F.col("_v").isNotNull())
     return in_group(cold).unionByName(_by_rank(long, [*keys, "item"], limit))
 

@@ -50,11 +50,12 @@ def band_counts(rates: DataFrame) -> DataFrame:
     )
 
 
-def board_order(rates: DataFrame, target: str) -> DataFrame:
+def board_order(rates: DataFrame, target: str, bound: int | None = None) -> DataFrame:
     """Target lot first, other lots by name, wafers ascending."""
-    cols = rates.select("lot_id", "wafer_id").distinct()
-    order = W.orderBy((F.col("lot_id") != target).cast("int"), "lot_id", "wafer_id")
-    return cols.withColumn("position", F.row_number().over(order))
+    cols = rates.select("lot_id", "wafer_id").distinct().withColumn("_other", (F.col("lot_id") != target).cast("int"))
+    order = ["_other", "lot_id", "wafer_id"]
+    rows = ordered.running(cols.withColumn("_all", F.lit(0)), ["_all"], order, {"position": F.lit(1)}, bound)
+    return rows.drop("_all", "_other")
 
 
 def test_points(shots: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def score_wafers(
     )
     below = F.when(S.below("v_min", lo), size(lambda v: v < lo)).otherwise(F.lit(0))
     above = F.when(S.above("v_max", hi), size(lambda v: v > hi)).otherwise(F.lit(0))
-    if ordered.small(bound):
+    if ordered.in_limit(bound, None)[0]:
         out = out.join(baseline, PRODUCT_ITEM, "left").select(
             "*", below.alias("n_below"), above.alias("n_above"),
             F.when(maybe, size(lambda v: _is_flier(dev(v), d, lim))).otherwise(F.lit(0)).alias("n_flier"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waferlake.schema import REPORT
+from waferlake.session import staged
 
 
 def recent(archive: DataFrame, day: str, today: str, days: int) -> DataFrame:
@@ -43,7 +44,7 @@ def frequent_sets(findings: DataFrame, min_reports: int) -> DataFrame:
 
     FP-growth splits the work by item suffix and never lists the pairs of a basket.
     """
-    baskets = _baskets(findings)
+    baskets = staged(_baskets(findings), "baskets")
     n = baskets.count()
     share = max(min_reports - 0.5, 0.0) / max(n, 1)
     model = FPGrowth(itemsCol="items", minSupport=min(share, 1.0)).fit(baskets)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from waferlake.functions import robust
 from waferlake.operators import detect, order, overlap, rank, reshape, rules, spatial
 from waferlake.schema import PRODUCT, REPORT, SITE, WAFER, Item, Limits, item_frame
+from waferlake.session import staged
 
 
 @dataclass(frozen=True)
@@ -42,8 +43,11 @@ class Report:
         base = detect.product_baseline(w, self.bound)
         return detect.score_wafers(w, base, self.item_dim, self.points, self.limits, self.bound)
 
-    def items_scored(self) -> DataFrame:
-        return detect.item_stats(self.scored(), self.limits)
+    def items_scored(self, scored: DataFrame | None = None) -> DataFrame:
+        return detect.item_stats(self.scored() if scored is None else scored, self.limits)
+
+    def out_points(self) -> DataFrame:
+        return spatial.out_points(self.points, self.item_dim)
 
     def findings(self) -> DataFrame:
         return detect.findings(self.items_scored(), self.limits)
@@ -55,27 +59,27 @@ class Report:
         per = robust.profile_wide(self.shots, PRODUCT, self.names, self.bound)
         return per.select(*PRODUCT, "item", F.col("median").alias("pop_median"), F.col("spread").alias("pop_spread"))
 
-    def sequence(self) -> DataFrame:
+    def sequence(self, scored: DataFrame | None = None) -> DataFrame:
         """Only wafers with an out-of-spec point need ordering.
 
         Any other wafer of five points has run, share and front zero and a back
         share of zero, which the minimum over wafers must still see.
         """
-        spec = self.item_dim.select(F.col("alias").alias("item"), "spec_low", "spec_high")
-        checked = spec.where("spec_low IS NOT NULL OR spec_high IS NOT NULL").select("item")
-        pts = self.points.join(checked, "item", "left_semi")
-        sizes = pts.groupBy(*detect.WAFER_ITEM).agg(F.count("*").alias("n"))
-        enough = sizes.where(F.col("n") >= self.limits.min_wafer_points)
-        hit = spatial.out_points(self.points, self.item_dim).select(*detect.WAFER_ITEM).distinct()
-        seq = order.measurement_order(pts.join(hit, detect.WAFER_ITEM, "left_semi"), self.item_dim, self.bound)
+        scored = self.scored() if scored is None else scored
+        checked = (F.col("spec_low").isNotNull() | F.col("spec_high").isNotNull()) & (
+            F.col("n") >= self.limits.min_wafer_points
+        )
+        wafers = scored.where(checked).select(*detect.WAFER_ITEM, "n_out")
+        hit = wafers.where("n_out > 0").drop("n_out")
+        seq = order.measurement_order(self.points.join(hit, detect.WAFER_ITEM, "left_semi"), self.item_dim, self.bound)
         rows = order.wafer_sequence(seq, self.limits)
         zero = [F.lit(0).alias("run"), F.lit(0.0).alias("dead"), F.lit(0.0).alias("front"), F.lit(0.0).alias("back")]
-        calm = enough.join(hit, detect.WAFER_ITEM, "left_anti").select(*detect.WAFER_ITEM, *zero)
+        calm = wafers.where("n_out = 0").select(*detect.WAFER_ITEM, *zero)
         return order.item_sequence(rows.select(*detect.WAFER_ITEM, "run", "dead", "front", "back").unionByName(calm))
 
-    def patterns(self, layout: DataFrame) -> DataFrame:
+    def patterns(self, layout: DataFrame, out: DataFrame | None = None) -> DataFrame:
         """Spatial verdict, zones and repeats of every (report, item) with out points."""
-        out = spatial.out_points(self.points, self.item_dim)
+        out = self.out_points() if out is None else out
         radius = layout.withColumnRenamed("mask", "vehicle").select(
             "vehicle", "chip_x", "chip_y", F.col("chip_radius").alias("radius")
         )
@@ -95,23 +99,29 @@ class Report:
         )
 
     def context(self, layout: DataFrame) -> DataFrame:
-        """One row per (report, item) with everything a rule may ask for."""
+        """One row per (report, item) with everything a rule may ask for.
+
+        The shots, the scored wafers and the few out points are each read by
+        several branches, so each is computed once and stored.
+        """
+        r = Report(staged(self.shots, "shots"), self.items, self.limits, self.bound)
+        scored, out = staged(r.scored(), "scored"), staged(r.out_points(), "out")
         key = detect.REPORT_ITEM
-        seq = self.sequence()
-        over = overlap.overlap_counts(overlap.shot_overlap(self.shots, self.items))
+        over = overlap.overlap_counts(overlap.shot_overlap(r.shots, r.items))
         return (
-            self.items_scored()
-            .join(self.population(), detect.PRODUCT_ITEM, "left")
-            .join(detect.target_percentile(self.points, self.bound), key, "left")
-            .join(seq, key, "left")
-            .join(self.patterns(layout), key, "left")
+            r.items_scored(scored)
+            .join(r.population(), detect.PRODUCT_ITEM, "left")
+            .join(detect.target_percentile(r.points, r.bound), key, "left")
+            .join(r.sequence(scored), key, "left")
+            .join(r.patterns(layout, out), key, "left")
             .join(over, key, "left")
             .fillna({"seq_run": 0, "seq_dead": 0.0, "seq_front": 0.0, "seq_back": 1.0, "overlap_shots": 0})
         )
 
     def with_rules(self, ctx: DataFrame, rule_list: Sequence, find=lambda n: n) -> tuple[DataFrame, DataFrame]:
         """(ranked findings, trace): built-in findings after suppression plus rule findings."""
-        trace = rules.rule_trace(ctx, rule_list, find)
+        ctx = staged(ctx, "context")
+        trace = staged(rules.rule_trace(ctx, rule_list, find), "trace")
         built = rules.keep_if_ruled(
             rules.suppress_dispersion(detect.findings(ctx, self.limits), trace), trace, self.limits.exclude_unless_rule
         )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -56,3 +57,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(named)
     return named
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a table several branches read to the shared folder and read it back.
+
+    The branches then scan pruned columns of one table, a lost executor costs a
+    re-read and no recomputation, and joins know the size they broadcast by.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -12,6 +12,7 @@ from waferlake.functions import formulas, ordered
 from waferlake.functions import scalars as S
 from waferlake.operators import board, charts, inline, ledger, reshape, testlevel
 from waferlake.schema import PRODUCT, REPORT, SHOT_KEY, WAFER, Item, item_frame
+from waferlake.session import local_frame
 from waferlake.sources import dictionary, measurements
 
 # ---------------------------------------------------------------- scans
@@ -80,7 +81,7 @@ def scale_and_alias(spark, sf):
 def multi_vehicle_scan(spark, sf):
     """Every vehicle with its own dictionary."""
     long = fx.li_long(spark, sf).where(F.col("vehicle").isin("VF", "VO"))
-    dims = spark.createDataFrame([("VF", "QTY", 2.0), ("VO", "QTY", 3.0)], "vehicle string, item_id string, factor double")
+    dims = local_frame(spark, [("VF", "QTY", 2.0), ("VO", "QTY", 3.0)], "vehicle string, item_id string, factor double")
     scaled = long.join(dims, ["vehicle", "item_id"], "left").withColumn("value", F.col("value") * F.coalesce("factor", F.lit(1.0)))
     return scaled.groupBy("vehicle", F.col("item_id").alias("item")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
@@ -165,7 +166,7 @@ LAYERS = [("SA", "METAL1", 0), ("SA", "VIA", 1), ("SN", "METAL2", 2)]
 @query(f"{KR} layer label n:i", f"""(SELECT {R}, CASE step_id WHEN 'SA' THEN 'METAL1' WHEN 'SN' THEN 'METAL2' ELSE step_id END AS layer,
  root_lot_id || ' #' || wafer_id || ' (' || CASE step_id WHEN 'SA' THEN 'ME' WHEN 'SN' THEN 'ME' ELSE step_id END || ')' AS label, count(*) AS n FROM shots GROUP BY ALL)""", "shots")
 def step_layers(spark, sf):
-    layers = spark.createDataFrame(LAYERS, "step_id string, layer string, decl_order int")
+    layers = local_frame(spark, LAYERS, "step_id string, layer string, decl_order int")
     out = board.with_layer(fx.li_shots(spark, sf), layers)
     return out.withColumn("label", S.map_label("root_lot_id", "wafer_id", "layer")).groupBy(*REPORT, "layer", "label").agg(F.count("*").alias("n"))
 
@@ -307,7 +308,7 @@ def item_set_tests(spark, sf):
  ON lower(p_name) = form OR lower(split_part(p_name, ' ', 2)) = form OR lower(split_part(p_name, ' ', 1)) = form) GROUP BY p_partkey)""")
 def name_resolution(spark, sf):
     """Item by written or display name, ignoring case, first priority wins."""
-    forms = spark.createDataFrame([("red ring", "RR", 0), ("gear", "GEAR", 1), ("hot", "HOT", 2), ("ring", "RING", 3)], "form string, item string, pr int")
+    forms = local_frame(spark, [("red ring", "RR", 0), ("gear", "GEAR", 1), ("hot", "HOT", 2), ("ring", "RING", 3)], "form string, item string, pr int")
     p = fx.table(spark, sf, "part")
     words = p.select("p_partkey", F.explode(F.array_distinct(F.array(F.lower("p_name"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(2))), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1)))))).alias("form"))
     return words.join(forms, "form").groupBy("p_partkey").agg(F.min_by("item", "pr").alias("item"))
@@ -418,7 +419,7 @@ def _inline(spark, sf):
 @query("event_id:i step_desc item_id fab_value:d ucl:d target:d lcl:d out:b module", """(SELECT *, fab_value > ucl OR fab_value < lcl AS out, CASE step_desc WHEN 'ST0' THEN 'ETCH' WHEN 'ST1' THEN 'PHOTO' END AS module FROM inl)""", "inl")
 def inline_values(spark, sf):
     """Unit change, no negative limits, limit flag, module of the step."""
-    settings = spark.createDataFrame(MODULES, "step_desc string, module string, decl_order int")
+    settings = local_frame(spark, MODULES, "step_desc string, module string, decl_order int")
     return inline.with_settings(_inline(spark, sf), inline.last_module(settings))
 
 
@@ -476,7 +477,7 @@ def lot_completion(spark, sf):
 
 @query("prime_key tkout_time:t", f"(SELECT prime_key, t AS tkout_time FROM {DONE_SQL} WHERE done AND NOT before AND lot_id NOT LIKE 'L00004%')", "log_ wip_")
 def reportable_lots(spark, sf):
-    layers = spark.createDataFrame([("S300", "MFDC"), ("S301", "OTHER")], "step_id string, layer string")
+    layers = local_frame(spark, [("S300", "MFDC"), ("S301", "OTHER")], "step_id string, layer string")
     return ledger.reportable(_completion(spark, sf), "L00004", layers, "MFDC")
 
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from waferlake.session import local_frame
+
 REPORT = ["vehicle", "step_id", "lot_id"]
 WAFER = [*REPORT, "wafer_id"]
 PRODUCT = ["vehicle", "step_id"]
@@ -55,7 +57,7 @@ def item_frame(spark: SparkSession, items: Sequence[Item]) -> DataFrame:
          i.direction, i.cat1, i.cat2, n)
         for n, i in enumerate(items)
     ]
-    return spark.createDataFrame(rows, ITEM_SCHEMA)
+    return local_frame(spark, rows, ITEM_SCHEMA)
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,11 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from waferlake.session import local_session
 
-    return local_session(8, 4)
+    session = local_session(8, 2)
+    # tiny inputs: compiling the stages would take longer than running them
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    return session
 
 
 @pytest.fixture(scope="session")

@@ -210,10 +210,10 @@ def shot_overlap_items(spark, sf):
 
 
 @query(f"{KRI} with_item shots:i", f"""(SELECT {RI}, w AS with_item, count(*) AS shots FROM (SELECT {RI}, unnest(with_items) AS w FROM overs)
- WHERE w IN ('QTY') GROUP BY {RI}, w)""", "overs")
+ WHERE w IN ('PRICE', 'UNIT') GROUP BY {RI}, w)""", "overs")
 def shot_overlap_scoped(spark, sf):
     """Check item limited to one category."""
-    return overlap.overlap_items(overlap.shot_overlap(fx.li_shots(spark, sf), fx.LI_ITEMS, {"PCHK_TAX": ["SIZE"]}))
+    return overlap.overlap_items(overlap.shot_overlap(fx.li_shots(spark, sf), fx.LI_ITEMS, {"PCHK_TAX": ["MONEY"]}))
 
 
 @query(f"{KW} item chip_x:i chip_y:i with_text rank:i", f"""(SELECT * FROM (SELECT *, array_to_string(with_items, ',') AS with_text,

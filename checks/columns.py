@@ -185,6 +185,18 @@ def program_labels(spark, sf):
     return out.groupBy("lot_id", "wafer_id", "tkout_time", "points", "dup_no", "label", "cleaned").agg(F.count("*").alias("n"))
 
 
+@query(f"{KRI} programs", f"""(WITH c AS (SELECT *, count(*) OVER (PARTITION BY lot_id, wafer_id, tkout_time) AS points FROM shots),
+ l AS (SELECT DISTINCT {W}, tkout_time, regexp_replace(step_id || '(' || points || 'pt)_' || d, '_1(\\.0+)?$', '') AS label FROM (
+  SELECT *, dense_rank() OVER (PARTITION BY lot_id, wafer_id, step_id, points ORDER BY tkout_time) AS d FROM c))
+ SELECT {RI}, string_agg(DISTINCT label, ';' ORDER BY label) AS programs FROM outp JOIN l USING ({W}, tkout_time) GROUP BY {RI})""", "shots outp")
+def spec_out_programs(spark, sf):
+    """Distinct cleaned program labels of the out points."""
+    from checks.core import _out
+
+    labels = board.test_labels(fx.li_shots(spark, sf), fx.li_bound(spark, sf))
+    return board.out_programs(_out(spark, sf), labels).withColumn("programs", F.array_join("labels", ";"))
+
+
 @query(f"{KR} device_values:i", f"(SELECT {R}, count(*) AS device_values FROM pts WHERE item NOT LIKE '%PCHK%' GROUP BY {R})", "pts")
 def report_gate(spark, sf):
     return board.report_gate(pts(spark, sf), fx.li_items(spark))

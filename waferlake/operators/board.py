@@ -70,6 +70,21 @@ def repeat_numbers(tests: DataFrame, keys: Sequence[str], bound: int | None = No
     return ordered.running(distinct, keys, ["tkout_time"], {"dup_no": F.lit(1)}, bound)
 
 
+def test_labels(shots: DataFrame, bound: int | None = None) -> DataFrame:
+    """Cleaned program label of every test: step, points, repeat number above one."""
+    keys = ["lot_id", "wafer_id", "step_id", "points"]
+    tests = test_points(shots).select("vehicle", *keys, "tkout_time").distinct()
+    rows = tests.join(repeat_numbers(tests, keys, bound), [*keys, "tkout_time"])
+    label = S.clean_label(S.program_label("step_id", "points", "dup_no"))
+    return rows.select(*WAFER, "tkout_time", label.alias("label"))
+
+
+def out_programs(out: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct program labels of the out-of-spec points of a report item."""
+    seen = out.select(*WAFER, "item", "tkout_time").distinct().join(labels, [*WAFER, "tkout_time"])
+    return seen.groupBy(*REPORT, "item").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+
+
 def report_gate(points: DataFrame, items: DataFrame) -> DataFrame:
     """Reports with at least one device value."""
     device = items.where(~F.upper("alias").contains("PCHK")).select(F.col("alias").alias("item"))

@@ -58,9 +58,12 @@ def read_days(spark: SparkSession, root: str, as_of: str, days: int, vehicles: S
 
 
 def write_days(df: DataFrame, root: str, mode: str = "overwrite") -> None:
-    """Replace exactly the (vehicle, day) partitions the rows belong to."""
+    """Replace exactly the (vehicle, day) partitions the rows belong to.
+
+    Rebalancing lets Spark split a day that is much larger than the others.
+    """
     (
-        df.repartition("vehicle", "date", F.pmod(F.xxhash64("lot_id"), F.lit(8)))
+        df.hint("rebalance", F.col("vehicle"), F.col("date"))
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("vehicle", "date")

@@ -447,7 +447,7 @@ def inline_board(spark, sf):
 
 # ---------------------------------------------------------------- ledger
 
-chain("wip_", "", """SELECT 'L' || lpad(CAST(o_custkey % (SELECT count(*) FROM supplier) AS VARCHAR), 5, '0') AS lot_id, 'S' || CAST(o_orderkey % 1000 AS VARCHAR) AS loc, o_orderdate AS d, o_orderkey FROM orders""")
+chain("wip_", "", """SELECT 'L' || lpad(CAST(o_custkey % (SELECT count(*) FROM supplier) AS VARCHAR), CAST(greatest(5, length(CAST(o_custkey % (SELECT count(*) FROM supplier) AS VARCHAR))) AS INT), '0') AS lot_id, 'S' || CAST(o_orderkey % 1000 AS VARCHAR) AS loc, o_orderdate AS d, o_orderkey FROM orders""")
 chain("log_", "shots", "SELECT vehicle || '_' || lot_id || '_' || step_id AS prime_key, lot_id, list_sort(list(DISTINCT wafer_id)) AS wafers, max(tkout_time) AS t, count(DISTINCT tkout_time) AS sites FROM shots GROUP BY ALL")
 
 

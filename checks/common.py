@@ -37,7 +37,7 @@ def robust(name: str, src: str, keys: str, value: str) -> None:
 
 
 chain("rows_", "", """SELECT 'V' || l_linestatus AS vehicle, 'S' || l_returnflag AS step_id,
- 'L' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS lot_id, 'R' || CAST(l_suppkey // 4 AS VARCHAR) AS root_lot_id,
+ 'L' || lpad(CAST(l_suppkey AS VARCHAR), CAST(greatest(5, length(CAST(l_suppkey AS VARCHAR))) AS INT), '0') AS lot_id, 'R' || CAST(l_suppkey // 4 AS VARCHAR) AS root_lot_id,
  l_linenumber AS wafer_id, l_partkey % 13 AS chip_x, (l_partkey // 13) % 13 AS chip_y,
  CAST(date_trunc('quarter', l_shipdate) AS TIMESTAMP) AS tkout_time, l_shipdate AS raw_time,
  l_quantity AS QTY, l_extendedprice AS PRICE, l_discount AS DISC, l_tax AS TAX,

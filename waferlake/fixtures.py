@@ -33,13 +33,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lot_name(number: Column) -> Column:
+    """Five digits at least; a longer number stays whole."""
+    digits = number.cast("string")
+    return F.concat(F.lit("L"), F.lpad(digits, F.greatest(F.length(digits), F.lit(5)), F.lit("0")))
+
+
 def li_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with the measurement names, one row per source row."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.concat(F.lit("V"), "l_linestatus").alias("vehicle"),
         F.concat(F.lit("S"), "l_returnflag").alias("step_id"),
-        F.concat(F.lit("L"), F.lpad(F.col("l_suppkey").cast("string"), 5, "0")).alias("lot_id"),
+        lot_name(F.col("l_suppkey")).alias("lot_id"),
         F.col("l_linenumber").alias("wafer_id"),
         F.expr("l_partkey % 13").alias("chip_x"),
         F.expr("(l_partkey div 13) % 13").alias("chip_y"),
@@ -49,14 +55,8 @@ def li_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("PRICE"),
         F.col("l_discount").alias("DISC"),
         F.col("l_tax").alias("TAX"),
-        # arrival order packed in one long, so the last-value aggregate stays a hash aggregate
-        (
-            F.unix_date(F.to_date("l_shipdate")).cast("long") * (1 << 42)
-            + F.col("l_partkey") * (1 << 14)
-            + (F.col("l_quantity").cast("long") * 256)
-            + (F.round(F.col("l_discount") * 100).cast("long") * 16)
-            + F.round(F.col("l_tax") * 100).cast("long")
-        ).alias("ord"),
+        # arrival order: a total one, compared field by field
+        F.struct("l_shipdate", "l_partkey", "l_quantity", "l_discount", "l_tax").alias("ord"),
     )
 
 
@@ -131,7 +131,7 @@ def wip(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     n_lots = table(spark, sf_dir, "supplier").count()
     return orders.select(
-        F.concat(F.lit("L"), F.lpad((F.col("o_custkey") % n_lots).cast("string"), 5, "0")).alias("lot_id"),
+        lot_name(F.col("o_custkey") % n_lots).alias("lot_id"),
         F.concat(F.lit("S"), (F.col("o_orderkey") % 1000).cast("string")).alias("lot_current_loc"),
         F.col("o_orderdate").alias("last_update_date"),
         "o_orderkey",

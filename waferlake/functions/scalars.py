@@ -134,10 +134,12 @@ def map_label(root, wafer, layer) -> Column:
 
 
 def list_cell(text: str | Column) -> Column:
-    """Brackets and quotes out, numbers in ascending order."""
-    parts = F.split(F.translate(col(text), "[]'\" ", ""), ",")
-    nums = F.transform(F.filter(parts, lambda p: p != ""), lambda p: p.try_cast("double"))
-    return F.array_join(F.transform(F.array_sort(nums), lambda n: n.cast("long").cast("string")), ", ")
+    """Brackets and quotes out; numbers in ascending order, decimals kept. A list with other text stays as it is."""
+    bare = F.trim(F.translate(col(text), "[]'\"", ""))
+    parts = F.filter(F.transform(F.split(bare, ","), lambda p: F.trim(p)), lambda p: p != "")
+    nums = F.transform(parts, lambda p: p.try_cast("double"))
+    shown = F.transform(F.array_sort(nums), lambda n: F.when(n == F.floor(n), n.cast("long").cast("string")).otherwise(n.cast("string")))
+    return F.when(F.exists(nums, lambda n: n.isNull()), bare).otherwise(F.array_join(shown, ", "))
 
 
 def in_comma_list(cell: str | Column, value: str | Column) -> Column:

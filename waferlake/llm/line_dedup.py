@@ -37,6 +37,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
         .where(F.length("_key") >= min_chars)
         .select("_id", "_row", "_pos", F.unhex(F.md5("_key")).alias("_hash"))
     )
+    # the range bounds are sampled from the table of hashes, so texts are split and hashed once
+    lines = staged(lines, "line-hashes")
     ranged = (
         lines.repartitionByRange(partitions(docs), "_hash", "_id")
         .sortWithinPartitions("_hash", F.desc("_id"), "_pos")

@@ -17,11 +17,28 @@ WORD = re.compile(r"\w+")
 CACHE = 200_000
 
 
-def subwords(word: str) -> np.ndarray:
-    """Buckets of a word and of its character 3- to 6-grams."""
+def subwords(word: str) -> list[int]:
+    """Buckets of a word and of its character 3- to 5-grams."""
     w = f"<{word}>"
-    grams = {w} | {w[i : i + n] for n in range(3, 7) for i in range(len(w) - n + 1)}
-    return np.unique(np.fromiter((zlib.crc32(g.encode()) % BUCKETS for g in grams), np.int32))
+    n = len(w)
+    if w.isascii():  # one encoding for all grams
+        data = w.encode()
+        return list({zlib.crc32(data[i : i + k]) % BUCKETS for k in (3, 4, 5) for i in range(n - k + 1)} | {zlib.crc32(data) % BUCKETS})
+    return list({zlib.crc32(w[i : i + k].encode()) % BUCKETS for k in (3, 4, 5) for i in range(n - k + 1)} | {zlib.crc32(w.encode()) % BUCKETS})
+
+
+class Margins(dict):
+    """Margins of words, looked up by word and computed on a miss; emptied when CACHE words are held."""
+
+    def __init__(self, buckets: list[float]):
+        self.buckets = buckets
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= CACHE:
+            self.clear()
+        own = subwords(word[:200])
+        got = self[word] = sum(map(self.buckets.__getitem__, own)) / len(own)
+        return got
 
 
 class Model:
@@ -29,22 +46,15 @@ class Model:
     averages its subword vectors; a text takes the soft maximum over its windows."""
 
     def __init__(self, vectors: np.ndarray, out: np.ndarray, bias: np.ndarray):
-        self.vectors, self.out, self.bias, self._cache = vectors, out, bias, {}
+        self.vectors, self.out, self.bias = vectors, out, bias
+        self.margins = Margins((vectors @ (out[1] - out[0])).tolist())
 
-    def __getstate__(self):
-        return {"vectors": self.vectors, "out": self.out, "bias": self.bias, "_cache": {}}
-
-    def word_margin(self, word: str) -> float:
-        got = self._cache.get(word)
-        if got is None:
-            if len(self._cache) >= CACHE:
-                self._cache.clear()
-            got = self._cache[word] = float(self.vectors[subwords(word[:200])].mean(0) @ (self.out[1] - self.out[0]))
-        return got
+    def __reduce__(self):
+        return Model, (self.vectors, self.out, self.bias)
 
     def score(self, text: str | None) -> float:
         words = WORD.findall((text or "").lower())
-        margins = np.fromiter(map(self.word_margin, words), np.float64, len(words))
+        margins = np.fromiter(map(self.margins.__getitem__, words), np.float64, len(words))
         bias = float(self.bias[1] - self.bias[0])
         z = pool(window_means(margins)) + bias if len(margins) else bias
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
@@ -63,9 +73,9 @@ def pool(z: np.ndarray) -> float:
     return float((e * z).sum() / e.sum())
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.3, seed: int = 7) -> Model:
-    """Joint training by Adagrad, one text at a time, the rarer class weighted up to a third. Without both
-    classes the model is the constant share of label 1."""
+def fit(texts: list[str], labels: list[int], epochs: int = 4, batch: int = 8, rate: float = 0.3, seed: int = 7) -> Model:
+    """Joint training by Adagrad over batches of `batch` texts, the rarer class weighted up to a third. Without
+    both classes the model is the constant share of label 1."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float64)
     vectors = rng.uniform(-0.5, 0.5, (BUCKETS, DIM)) / DIM
@@ -77,50 +87,58 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.3,
         return Model(vectors, out, bias)
     vocab: dict[str, int] = {}
     docs = [np.fromiter((vocab.setdefault(w[:200], len(vocab)) for w in WORD.findall(t.lower())), np.int32) for t in texts]
-    bags = [subwords(w) for w in vocab]
+    bags = [np.array(subwords(w), np.int32) for w in vocab]
     sizes = np.fromiter(map(len, bags), np.int64, len(bags))
     flat, first = np.concatenate(bags) if bags else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(sizes)])
+    weights = np.where(y == 1, max(1.0, 0.5 / share / 1.5), 1.0)
     gv, go, gb = np.full(BUCKETS, 1e-6), np.full((2, DIM), 1e-6), np.full(2, 1e-6)
-    for epoch in range(epochs):
-        for d in rng.permutation(len(docs)):
-            ids = docs[d]
-            if not len(ids):
-                continue
+    usable = np.array([d for d, ids in enumerate(docs) if len(ids)], np.int64)
+    for _ in range(epochs):
+        order = rng.permutation(usable)
+        for k in range(0, len(order), batch):
+            chosen = order[k : k + batch]
+            lengths = np.array([len(docs[d]) for d in chosen])
+            own, back = np.unique(np.concatenate([docs[d] for d in chosen]), return_inverse=True)
+            at = ranges(first[own], sizes[own])
+            heads = np.concatenate([[0], np.cumsum(sizes[own])[:-1]])
             diff = out[1] - out[0]
-            # margins of the text's distinct words under the present vectors
-            own, back = np.unique(ids, return_inverse=True)
-            at = np.concatenate([np.arange(first[w], first[w + 1]) for w in own])
-            starts = np.concatenate([[0], np.cumsum(sizes[own])[:-1]])
-            means = np.add.reduceat(vectors[flat[at]], starts, axis=0) / sizes[own][:, None]
-            z = window_means((means @ diff)[back])
-            e = np.exp(z - z.max())
-            e /= e.sum()
-            total = float((e * z).sum())
-            p = 1 / (1 + np.exp(-np.clip(total + bias[1] - bias[0], -30, 30)))
-            err = (p - y[d]) * (max(1.0, 0.5 / share / 1.5) if y[d] else 1.0)
-            if abs(err) < 1e-3:
-                continue
-            dz = err * e * (1 + z - total)
-            width = min(WINDOW, len(ids))
-            per_pos = np.convolve(dz, np.full(width, 1 / width)) if len(ids) > WINDOW else np.full(len(ids), dz[0] / width)
-            per_word = np.bincount(back, per_pos, len(own))
-            live = np.abs(per_word) > 1e-4
+            means = np.add.reduceat(vectors[flat[at]], heads, axis=0) / sizes[own][:, None]
+            # all windows of the batch, side by side, each text's from its own head on
+            counts = np.maximum(lengths - WINDOW + 1, 1)
+            width = np.repeat(np.minimum(lengths, WINDOW), counts)
+            left = ranges(np.concatenate([[0], np.cumsum(lengths)[:-1]]), counts)
+            total = np.concatenate([[0.0], np.cumsum((means @ diff)[back])])
+            z = (total[left + width] - total[left]) / width
+            text_at = np.concatenate([[0], np.cumsum(counts)[:-1]])
+            e = np.exp(z - np.repeat(np.maximum.reduceat(z, text_at), counts))
+            e /= np.repeat(np.add.reduceat(e, text_at), counts)
+            pooled = np.add.reduceat(e * z, text_at)
+            p = 1 / (1 + np.exp(-np.clip(pooled + bias[1] - bias[0], -30, 30)))
+            err = (p - y[chosen]) * weights[chosen]
+            dz = np.repeat(err, counts) * e * (1 + z - np.repeat(pooled, counts)) / width
+            n = len(back)
+            slope = np.bincount(left, dz, n + 1) - np.bincount(left + width, dz, n + 1)
+            per_word = np.bincount(back, np.cumsum(slope[:n]), len(own))
             g_out = per_word @ means
-            if live.any():
-                k = np.flatnonzero(live)
-                rows = np.concatenate([flat[first[own[i]] : first[own[i] + 1]] for i in k])
-                coef = np.repeat(per_word[k] / sizes[own[k]], sizes[own[k]])
-                uniq, inv = np.unique(rows, return_inverse=True)
-                c = np.bincount(inv, coef, len(uniq))
-                gv[uniq] += (c * c) * (diff @ diff) / DIM
-                vectors[uniq] -= (rate / np.sqrt(gv[uniq]) * c)[:, None] * diff / 4
+            coef = np.bincount(flat[at], np.repeat(per_word / sizes[own], sizes[own]), BUCKETS)
+            moved = np.flatnonzero(np.abs(coef) > 1e-7)
+            c = coef[moved]
+            gv[moved] += (c * c) * (diff @ diff) / DIM
+            vectors[moved] -= (rate / np.sqrt(gv[moved]) * c)[:, None] * diff / 4
             go += np.stack([g_out**2, g_out**2])
             out -= 0.1 * rate / np.sqrt(go) * np.stack([-g_out, g_out])
-            gb += err * err
-            bias -= 0.05 * rate / np.sqrt(gb) * np.array([-err, err])
+            push = float(err.sum())
+            gb += push * push
+            bias -= 0.05 * rate / np.sqrt(gb) * np.array([-push, push])
     return Model(vectors.astype(np.float32), out.astype(np.float32), bias)
 
 
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every run, one run after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1])) + np.repeat(starts - ends + counts, counts)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, sample_chars: int = 24_000_000) -> Model:
     """A model from at most `sample` labelled rows, drawn by a hash of the id, and at most `sample_chars` of
     their texts: the documented bound of what the driver holds. Null ids, texts and labels teach nothing."""

@@ -21,7 +21,8 @@ def ascii_lower(text: str) -> str:
 
 
 def lower_column(text: Column) -> Column:
-    return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
+    """Lower-case A-Z only; texts of ASCII alone take the cheaper built-in, which is equal on them."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, ASCII_UPPER, ASCII_UPPER.lower()))
 
 
 def let(value: Column, body) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from waferlake.llm.common import lower_column, partitions, staged
 
-STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+STRIP = " \t\n\x0b\x0c\r"
 
 
 def _lines(text: Column) -> Column:
@@ -27,7 +27,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
     need; within a range they are sorted by hash, id and position. Range totals of a key are then combined,
     one row per range, and the verdict returns to the (range, key) groups. Rows with a null id hold no key.
     """
-    key = F.regexp_replace(lower_column(F.col("_line")), STRIP, "")
+    key = lower_column(F.btrim("_line", F.lit(STRIP)))
     # stripping and lower-casing happen once per line, in a projection of its own
     lines = (
         docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())

@@ -40,6 +40,17 @@ def test_near(hard):
     assert near_dedup.groups(hard.limit(0), 4).count() == 0
 
 
+def test_near_whole_sketches(spark):
+    """Pairs of 60 to 64 shingles at a Jaccard similarity of 0.80 to 0.83, and pairs just below it."""
+    rows, sizes = [], [(63, 63, 56), (64, 64, 57), (64, 63, 57), (63, 62, 56), (60, 60, 54)]
+    for k in range(60):
+        a, b, both = sizes[k % 5] if k < 50 else (63, 63, 55)
+        rows.append((2 * k, " ".join(f"s{k}x{i}" for i in range(a))))
+        rows.append((2 * k + 1, " ".join(f"s{k}x{i}" for i in range(a - both, a - both + b))))
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert [k for k in range(60) if got[2 * k + 1] == 2 * k] == list(range(50))
+
+
 def test_bpe(hard):
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256, r.text) for r in byte_bpe.decode(byte_bpe.encode(hard, ranks, public_tokenizers.PATTERN), ranks).collect())

@@ -74,10 +74,11 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -
         out = []
         for n, x, m, y in zip(na, sa, nb, sb):
             x, y = np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64)
-            least = np.union1d(x, y)[:SKETCH]
-            both = len(np.intersect1d(np.intersect1d(x, y, True), least, True))
-            whole = n <= SKETCH and m <= SKETCH
-            out.append(10 * both >= 8 * len(least) if whole else both >= SHARED)
+            shared, union = np.intersect1d(x, y, True), np.union1d(x, y)
+            if n <= SKETCH and m <= SKETCH:  # whole sets: the union must not be cut, or it is a sample without slack
+                out.append(100 * len(shared) >= 80 * len(union))
+            else:
+                out.append(len(np.intersect1d(shared, union[:SKETCH], True)) >= SHARED)
         return pd.Series(out)
 
     @F.pandas_udf("boolean")
@@ -141,8 +142,8 @@ def groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: st
     sketches are inverted by their rarest retained values. Inside one value's list each member is paired with
     the list's least member and with its neighbour by size; after these links are verified and merged, members
     of one list that are still in different components are paired across components, so nearly equal documents
-    are not compared all with all and no link between components is lost. Sketches filter by the union's least
-    values and full sets decide. Texts without a word have no shingles and are components of their own; rows
+    are not compared all with all and no link between components is lost. Sketches that hold their whole sets are
+    compared exactly, others filter by the union's least values; full sets decide. Texts without a word have no shingles and are components of their own; rows
     with a null id are too, with a null component and kept. Repeated ids share one component, that of all their
     texts' links.
     """

@@ -88,6 +88,12 @@ def test_html():
     assert html_text.extract(None) == html_text.extract("") == "" and html_text.extract("plain  text") == "plain text"
 
 
+def test_html_inline_noise():
+    for noise in ("<script>x</script>", "<style>x</style>", "<button>x</button>", "<span class='ad'>x</span>", "<select><option>x</select>", "<button><p>x</p></button>"):
+        assert html_text.extract(f"<article><p>a</p>{noise}<p>b</p></article>") == "a\nb", noise
+        assert html_text.extract(f"<body><article><p>a {noise} b</article>") in ("a b", "a\nb"), noise
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "<p>a</p>", "y")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_text.main_text(pages).select("text", F.col("n_chars")).collect()) == [("", 0), ("a", 1)]

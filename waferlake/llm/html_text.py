@@ -21,12 +21,13 @@ SPACES = re.compile(r"\s+")
 
 
 class Events(HTMLParser):
-    """Blocks of a page in order: text, tags met, inside an article, inside boilerplate, inside a link."""
+    """Blocks of a page in order: text, tags met, number of the article or 0. Text and tags inside boilerplate,
+    block or inline, are dropped where they stand."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, bool]] = []
-        self.blocks: list[tuple[str, int, int, bool]] = []
+        self.blocks: list[tuple[str, int, int]] = []
         self.buffer: list[str] = []
         self.tags = 0
         self.article = 0
@@ -38,7 +39,7 @@ class Events(HTMLParser):
     def flush(self):
         text = SPACES.sub(" ", "".join(self.buffer)).strip()
         if text:
-            self.blocks.append((text, self.tags, self.article, self._state()[1]))
+            self.blocks.append((text, self.tags, self.article))
             self.tags = 0
         self.buffer.clear()
 
@@ -52,18 +53,19 @@ class Events(HTMLParser):
                 if name in shut:
                     self._pop(i)
                     break
-                if name in BLOCKS:
+                if name in BLOCKS or name in SKIPPED:
                     break
-        self.tags += 1
-        if tag == "br":
-            self.buffer.append(" ")
+        _, noisy, inside = self._state()
         if tag in VOID:
+            self.tags += not noisy
+            if tag == "br":
+                self.buffer.append(" ")
             return
         a = {k: v or "" for k, v in attrs}
-        _, noisy, inside = self._state()
         own = tag in SKIPPED or (tag == "header" and not inside) or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true"
         if tag not in ("html", "body", "article", "main"):
             own = own or bool(NOISE.search(f"{a.get('class', '')} {a.get('id', '')}"))
+        self.tags += not (noisy or own)
         enters = tag in ("article", "main")
         if enters and not inside:
             self.articles += 1
@@ -79,7 +81,7 @@ class Events(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.flush()
-        self.tags += 1
+        self.tags += not self._state()[1]
         limit = 0
         for i in range(len(self.stack) - 1, limit - 1, -1):
             name = self.stack[i][0]
@@ -90,7 +92,8 @@ class Events(HTMLParser):
                 return
 
     def handle_data(self, data):
-        self.buffer.append(data)
+        if not self._state()[1]:
+            self.buffer.append(data)
 
 
 def regions(sizes: np.ndarray, tags: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -119,7 +122,7 @@ def extract(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    blocks = [b for b in parser.blocks if not b[3]]
+    blocks = parser.blocks
     if not blocks:
         return ""
     sizes, tags = np.array([len(b[0]) for b in blocks]), np.array([b[1] for b in blocks])

@@ -94,6 +94,16 @@ def test_html_inline_noise():
         assert html_text.extract(f"<body><article><p>a {noise} b</article>") in ("a b", "a\nb"), noise
 
 
+def test_html_articles():
+    """Every article the clusters reach is kept, whatever its length; one of links alone is not reached."""
+    long, links = " ".join(["word"] * 60), "".join(f"<p><a href=/{i}><b><i>l{i}</i></b></a></p>" for i in range(30))
+    page = f"<body><article><h1>One</h1><p>{long}</article><article><h1>Two</h1><p>{long} {long}</article><article>{links}</article>"
+    assert html_text.extract(page).split("\n") == ["One", long, "Two", f"{long} {long}"]
+    # a teaser of links inside <article> beside the text does not decide the page
+    outside = f"<body><div><p>{long}</p><p>{long}</p></div><div>{links}</div><article>{links}</article>"
+    assert html_text.extract(outside).split("\n")[:2] == [long, long]
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "<p>a</p>", "y")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_text.main_text(pages).select("text", F.col("n_chars")).collect()) == [("", 0), ("a", 1)]

@@ -96,27 +96,39 @@ class Events(HTMLParser):
             self.buffer.append(data)
 
 
-def regions(sizes: np.ndarray, tags: np.ndarray, sigma: float = 1.0) -> np.ndarray:
-    """Which blocks lie in content regions: smoothed text-to-tag ratios clustered at one standard deviation
-    or the mean, whichever is lower, the blocks between two regions included."""
-    ratio = sizes / np.maximum(tags, 1)
+def clustered(sizes: np.ndarray, tags: np.ndarray, area: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """Which blocks are content: text-to-tag ratios, smoothed up to the bounds of articles, clustered at one
+    standard deviation or the mean, whichever is lower."""
+    ratio = (sizes / np.maximum(tags, 1)).astype(float)
     reach = np.arange(-3, 4)
     kernel = np.exp(-(reach**2) / (2 * sigma**2))
-    padded = np.pad(ratio.astype(float), 3, mode="edge")
-    smooth = np.convolve(padded, kernel / kernel.sum(), "valid")
-    chosen = smooth >= min(smooth.std(), smooth.mean())
+    kernel /= kernel.sum()
+    runs = np.split(ratio, np.flatnonzero(np.diff(area)) + 1)
+    smooth = np.concatenate([np.convolve(np.pad(r, 3, mode="edge"), kernel, "valid") for r in runs])
+    return smooth >= min(smooth.std(), smooth.mean())
+
+
+def regions(sizes: np.ndarray, tags: np.ndarray, area: np.ndarray) -> tuple[np.ndarray, str]:
+    """Which blocks lie in content regions, and what decided. "articles": every article that holds a clustered
+    block is a region whole, and nothing else is, unless the clustered blocks outside hold more text. Then, and
+    on pages without such an article, "clusters": all from the first clustered block to the last."""
+    chosen = clustered(sizes, tags, area)
+    inside = np.isin(area, area[chosen & (area > 0)])
+    if inside.any() and sizes[inside].sum() >= sizes[chosen & (area == 0)].sum():
+        return inside, "articles"
     at = np.flatnonzero(chosen)
     out = np.zeros(len(sizes), bool)
     if len(at):
         out[at[0] : at[-1] + 1] = True
-    return out
+    return out | inside, "clusters"
 
 
-def extract(html: str | None) -> str:
-    """Main text of one page; a page without markup keeps its whole text, a null page gives an empty one.
+def decide(html: str | None) -> tuple[str, str]:
+    """Main text of one page and what decided it: "articles", "clusters", or "none" for a page without text.
 
-    Blocks of menus, footers, forms, adverts and the like never count. Where the page marks an article, the
-    article whose smoothed ratio mass is largest is the region; else the clustered regions are.
+    A page without markup keeps its whole text, a null page gives an empty one. Blocks of menus, footers, forms,
+    adverts and the like never count. On every page the text-to-tag ratios of the blocks are smoothed and
+    clustered; where the page marks articles, every article that holds a clustered block is kept whole.
     """
     parser = Events()
     parser.feed(html or "")
@@ -124,16 +136,14 @@ def extract(html: str | None) -> str:
     parser.flush()
     blocks = parser.blocks
     if not blocks:
-        return ""
-    sizes, tags = np.array([len(b[0]) for b in blocks]), np.array([b[1] for b in blocks])
-    area = np.array([b[2] for b in blocks])
-    if area.any():
-        mass = np.bincount(area, sizes)
-        mass[0] = 0
-        keep = area == mass.argmax()
-    else:
-        keep = regions(sizes, tags)
-    return "\n".join(b[0] for b, k in zip(blocks, keep) if k)
+        return "", "none"
+    keep, by = regions(*(np.array(x) for x in ([len(b[0]) for b in blocks], [b[1] for b in blocks], [b[2] for b in blocks])))
+    return "\n".join(b[0] for b, k in zip(blocks, keep) if k), by
+
+
+def extract(html: str | None) -> str:
+    """Main text of one page."""
+    return decide(html)[0]
 
 
 def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

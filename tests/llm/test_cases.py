@@ -22,6 +22,28 @@ def test_toxicity(spark, hard):
     assert toxicity.score(hard.limit(0), toxicity.train(hard.limit(0), labels)).count() == 0
 
 
+def test_toxicity_long_runs(spark):
+    """A toxic word past the 200th character of a run without separators counts, when scored and when learned."""
+    model = toxicity.fit(["good day", "vile scum"] * 40, [0, 1] * 40)
+    run = "".join(chr(0x4E00 + i % 50) for i in range(300))
+    assert model.score(f"{run}vilescum") != model.score(f"{run}goodday") and model.score(f"{run}vilescum{run}") > model.score(run * 2)
+    late = toxicity.fit([f"{run}good", f"{run}vile"] * 40, [0, 1] * 40)
+    assert late.score("vile") > late.score("good")
+    run = "".join(map(chr, range(0x4E00, 0x4E00 + 777)))
+    for n in (200, 201, 204, 205, 224, 225, 777):
+        grams = {run[i : i + 5] for i in range(n - 4)}
+        assert grams == {w[i : i + 5] for w in toxicity.words_of(run[:n]) for i in range(len(w) - 4)}, n
+
+
+def test_toxicity_long_text(spark):
+    """One labelled text over the room of the sample does not end it."""
+    from waferlake.llm.toxicity import train
+
+    docs = spark.createDataFrame([(i, "x " * 400 if i % 8 < 6 else ("vile scum" if i % 2 else "good day")) for i in range(160)], "doc_id long, text string")
+    model = train(docs, docs.selectExpr("doc_id", "cast(text like 'vile%' as int) as toxic"), sample_chars=700)
+    assert model.score("vile scum") > 0.5 > model.score("good day")
+
+
 def test_language(hard):
     got = {r.doc_id: r.lang_pred for r in language_id.predict(hard, language_id.train(hard)).collect()}
     assert got[0] == got[1] == got[2] == "und" and got[12] == "en"

@@ -14,9 +14,23 @@ BUCKETS = 1 << 16
 DIM = 8
 WINDOW = 4
 WORD = re.compile(r"\w+")
+#: a run of more than LONG characters without a separator is cut into pieces of PIECE, each OVERLAP into the next,
+#: so that every n-gram of the run stands in a piece
+LONG = 200
+PIECE = 24
+OVERLAP = 4
 CACHE = 200_000
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased words of a text; the pieces of a long run are words of their own."""
+    words = WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    step = PIECE - OVERLAP
+    return [p for w in words for p in ([w] if len(w) <= LONG else [w[i : i + PIECE] for i in range(0, len(w) - OVERLAP, step)])]
+
+
 def subwords(word: str) -> list[int]:
     """Buckets of a word and of its character 3- to 5-grams."""
     w = f"<{word}>"
@@ -36,7 +50,7 @@ class Margins(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= CACHE:
             self.clear()
-        own = subwords(word[:200])
+        own = subwords(word)
         got = self[word] = sum(map(self.buckets.__getitem__, own)) / len(own)
         return got
 
@@ -53,7 +67,7 @@ class Model:
         return Model, (self.vectors, self.out, self.bias)
 
     def score(self, text: str | None) -> float:
-        words = WORD.findall((text or "").lower())
+        words = words_of(text or "")
         margins = np.fromiter(map(self.margins.__getitem__, words), np.float64, len(words))
         bias = float(self.bias[1] - self.bias[0])
         z = pool(window_means(margins)) + bias if len(margins) else bias
@@ -86,7 +100,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 4, batch: int = 8, ra
         vectors[:] = 0
         return Model(vectors, out, bias)
     vocab: dict[str, int] = {}
-    docs = [np.fromiter((vocab.setdefault(w[:200], len(vocab)) for w in WORD.findall(t.lower())), np.int32) for t in texts]
+    docs = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in words_of(t)), np.int32) for t in texts]
     bags = [np.array(subwords(w), np.int32) for w in vocab]
     sizes = np.fromiter(map(len, bags), np.int64, len(bags))
     flat, first = np.concatenate(bags) if bags else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(sizes)])
@@ -141,7 +155,8 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, sample_chars: int = 24_000_000) -> Model:
     """A model from at most `sample` labelled rows, drawn by a hash of the id, and at most `sample_chars` of
-    their texts: the documented bound of what the driver holds. Null ids, texts and labels teach nothing."""
+    their texts: the documented bound of what the driver holds. A text that does not fit in what is left is passed
+    over. Null ids, texts and labels teach nothing."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     held_in = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0
     drawn = known.where(held_in).select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -150,9 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, sample_chars:
     picked = texts.join(F.broadcast(drawn), "doc_id").orderBy(order).limit(sample)  # the drawn side has at most `sample` rows
     xs, ys, room = [], [], sample_chars
     for r in picked.toLocalIterator():
+        if len(r["text"]) > room:
+            continue
         room -= len(r["text"])
-        if room < 0:
-            break
         xs.append(r["text"])
         ys.append(int(r["toxic"] == 1))
     return fit(xs, ys)

@@ -37,10 +37,19 @@ def finished(df: DataFrame, mode: str) -> DataFrame:
  FROM ev GROUP BY ALL) WHERE CAST(d AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(tkout_time) FROM ev) - INTERVAL 1 DAY)""", "ev")
 def stream_spec_share(spark, sf):
     """Days the watermark has passed, each emitted once."""
-    out = finished(live.live_spec_share(event_stream(spark, sf), None, 250.0), "append")
+    out = finished(live.live_spec_share(event_stream(spark, sf), None, 250.0, "1 day"), "append")
     return out.withColumn("day", F.date_format("window.start", "yyyy-MM-dd"))
 
 
+@query("lot_id item day n:i n_out:i share:d", """(SELECT lot_id, item, strftime(d, '%Y-%m-%d') AS day, n, n_out, n_out / n AS share FROM (SELECT lot_id, item, CAST(tkout_time AS DATE) AS d, count(*) AS n, count(*) FILTER (value > 250) AS n_out
+ FROM ev GROUP BY ALL))""", "ev")
+def stream_spec_share_whole(spark, sf):
+    """Every day, those open when the input ends included; the last update of a day holds its totals."""
+    out = finished(live.live_spec_share(event_stream(spark, sf), None, 250.0, None), "update")
+    last = out.groupBy("window", "vehicle", "lot_id", "item").agg(F.max_by(F.struct("n", "n_out", "share"), "_batch").alias("r"))
+    return last.select("lot_id", "item", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "r.*")
+
+
 @query("prime_key wafer_text n:i tkout_time:t", """(SELECT 'EV_' || lot_id || '_S1' AS prime_key, array_to_string(list_sort(list(DISTINCT wafer_id)), ',') AS wafer_text, count(*) AS n, max(tkout_time) AS tkout_time FROM ev GROUP BY lot_id)""", "ev")
 def stream_lot_log(spark, sf):
     """Accumulating log; the last update of a lot holds its totals."""
@@ -55,7 +64,19 @@ def stream_lot_log(spark, sf):
  WHERE last_time + INTERVAL 6 HOUR <= (SELECT max(tkout_time) FROM ev) - INTERVAL 1 DAY)""", "ev")
 def stream_silent_lots(spark, sf):
     """Each stretch of a lot once, after six hours of silence."""
-    out = finished(live.silent_lots(event_stream(spark, sf), "6 hours"), "append")
+    out = finished(live.silent_lots(event_stream(spark, sf), "6 hours", "1 day"), "append")
+    from waferlake.functions import ordered
+
+    return ordered.running(out, ["lot_id"], ["last_time"], {"session_no": F.lit(1)}, out.count())
+
+
+@query("lot_id session_no:i n:i last_time:t", """(SELECT lot_id, row_number() OVER (PARTITION BY lot_id ORDER BY last_time) AS session_no, n, last_time FROM (
+ SELECT lot_id, s, count(*) AS n, max(tkout_time) AS last_time FROM (SELECT *, sum(brk) OVER (PARTITION BY lot_id ORDER BY tkout_time, event_id) AS s FROM (
+ SELECT *, CAST(coalesce(tkout_time >= lag(tkout_time) OVER (PARTITION BY lot_id ORDER BY tkout_time, event_id) + INTERVAL 6 HOUR, true) AS INT) AS brk FROM ev)) GROUP BY lot_id, s))""", "ev")
+def stream_silent_lots_whole(spark, sf):
+    """Each stretch of a lot, those open when the input ends included; the last batch holds them all."""
+    out = finished(live.silent_lots(event_stream(spark, sf), "6 hours", None), "complete")
+    out = out.join(F.broadcast(out.agg(F.max("_batch").alias("_batch"))), "_batch")
     from waferlake.functions import ordered
 
     return ordered.running(out, ["lot_id"], ["last_time"], {"session_no": F.lit(1)}, out.count())

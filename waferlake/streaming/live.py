@@ -8,7 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from waferlake.functions import scalars as S
 
-LATENESS = "1 day"
+LATENESS = "1 day"  # of live_lot_log, which groups by no time and so drops nothing
+
+
+def _watermarked(stream: DataFrame, lateness: str | None) -> DataFrame:
+    return stream if lateness is None else stream.withWatermark("tkout_time", lateness)
 
 
 def ingest_days(stream: DataFrame, root: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
@@ -53,16 +57,27 @@ def live_lot_log(stream: DataFrame) -> DataFrame:
     )
 
 
-def silent_lots(stream: DataFrame, delay: str, lateness: str = LATENESS) -> DataFrame:
-    """Each lot once after ``delay`` of silence, for append mode."""
-    return stream.withWatermark("tkout_time", lateness).groupBy(
+def silent_lots(stream: DataFrame, delay: str, lateness: str | None) -> DataFrame:
+    """Stretches of each lot that end with ``delay`` of silence.
+
+    With a ``lateness``, for append mode: each stretch once, when the
+    watermark has passed it; later rows are dropped, and what is open when
+    the input ends is not emitted. With None, for complete mode: every batch
+    gives all stretches so far, the open ones included, and no row is dropped.
+    """
+    return _watermarked(stream, lateness).groupBy(
         F.session_window("tkout_time", delay), "vehicle", "lot_id", "step_id"
     ).agg(F.count("*").alias("n"), F.max("tkout_time").alias("last_time"))
 
 
-def live_spec_share(stream: DataFrame, spec_low: float | None, spec_high: float | None, lateness: str = LATENESS) -> DataFrame:
-    """Share of points out of spec per lot, item and day."""
+def live_spec_share(stream: DataFrame, spec_low: float | None, spec_high: float | None, lateness: str | None) -> DataFrame:
+    """Share of points out of spec per lot, item and day.
+
+    With a ``lateness``, for append mode, as in ``silent_lots``. With None,
+    for update mode: every batch gives the days it touches anew, the last
+    state of a day holds all its rows, and no row is dropped.
+    """
     out = S.spec_out("value", F.lit(spec_low).cast("double"), F.lit(spec_high).cast("double"))
-    return stream.withWatermark("tkout_time", lateness).groupBy(
+    return _watermarked(stream, lateness).groupBy(
         F.window("tkout_time", "1 day"), "vehicle", "lot_id", "item"
     ).agg(F.count("*").alias("n"), F.count_if(out).alias("n_out")).withColumn("share", F.col("n_out") / F.col("n"))

@@ -73,6 +73,14 @@ def test_near_whole_sketches(spark):
     assert [k for k in range(60) if got[2 * k + 1] == 2 * k] == list(range(50))
 
 
+def test_near_shared_ids(spark):
+    """An id with several texts joins the components of all of them, whichever text is read first."""
+    text = lambda k, last: " ".join(f"t{k}x{i}" for i in range(100)) + f" {last}"
+    rows = [(10, text(k, "a")) for k in range(6)] + [(20 + k, text(k, "b")) for k in range(6)] + [(5, text(2, "a")), (30, text(9, "a"))]
+    got = {(r.doc_id, r.component_id) for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert got == {(i, 5) for i in (5, 10, *range(20, 26))} | {(30, 30)}
+
+
 def test_bpe(hard):
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256, r.text) for r in byte_bpe.decode(byte_bpe.encode(hard, ranks, public_tokenizers.PATTERN), ranks).collect())

@@ -36,6 +36,10 @@ def shingle_set(words: list[str], width: int, cache: dict[str, int]) -> np.ndarr
     return np.unique(h ^ (h >> np.uint64(29)))
 
 
+def text_key(words: list[str]) -> bytes | None:
+    return hashlib.md5(" ".join(words).encode()).digest() if words else None
+
+
 def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_key, n_shingles, sketch): `text_key` is a digest of the word sequence, `sketch` the SKETCH least
     hashes of the set. Staged, as everything after it reads it."""
@@ -46,7 +50,7 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
         for t in texts:
             words = SPACE_WORD.findall(ascii_lower(t or ""))
             own = shingle_set(words, width, cache)
-            out.append((hashlib.md5(" ".join(words).encode()).digest() if words else None, len(own), own[:SKETCH].view(np.int64)))
+            out.append((text_key(words), len(own), own[:SKETCH].view(np.int64)))
         return pd.DataFrame(out, columns=["text_key", "n_shingles", "sketch"])
 
     made = docs.select(F.col(id_col).alias("_id"), make(text_col).alias("_m")).select("_id", "_m.*")
@@ -81,6 +85,10 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -
                 out.append(len(np.intersect1d(shared, union[:SKETCH], True)) >= SHARED)
         return pd.Series(out)
 
+    @F.pandas_udf("binary")
+    def key_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: text_key(SPACE_WORD.findall(ascii_lower(t))))
+
     @F.pandas_udf("boolean")
     def same(ta: pd.Series, tb: pd.Series) -> pd.Series:
         cache, out, sets = {}, [], {}
@@ -111,7 +119,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -
     both = attach(left, slim, "b", {"n": "nb", "sketch": "sb"})
     likely = staged(both.where(near("na", "sa", "nb", "sb")).select("a", "b"), "likely")
     wanted = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    full = staged(texts.join(wanted, texts["_id"] == wanted["rep"], "left_semi").groupBy(F.col("_id").alias("rep")).agg(F.min("_t").alias("t")), "verify-texts")
+    # an id may carry several texts: the one with the representative's words is taken
+    held = texts.join(wanted.withColumn("_rid", F.col("rep.id")), texts["_id"] == F.col("_rid")).where(F.xxhash64(key_of("_t")) == F.col("rep.k"))
+    full = staged(held.groupBy("rep").agg(F.min("_t").alias("t")), "verify-texts")
     both = attach(attach(likely, full, "a", {"t": "ta"}), full, "b", {"t": "tb"})
     return staged(both.where(same("ta", "tb")).select("a", "b"), "links")
 
@@ -134,11 +144,19 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
+def _shared_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of representatives whose classes share an id: each class of such an id with its least."""
+    several = known.groupBy("_id").agg(F.min("text_key").alias("ka"), F.max("text_key").alias("kz")).where(F.col("ka") != F.col("kz"))
+    keys = known.select("_id", F.col("text_key").alias("kb")).join(several.drop("kz"), "_id").where(F.col("ka") != F.col("kb")).select("ka", "kb").distinct()
+    node = lambda key, name: classes.select(F.col("text_key").alias(key), F.col("rep").alias(name))
+    return staged(keys.join(node("ka", "a"), "ka").join(node("kb", "b"), "kb").select("a", "b"), "shared-ids")
+
+
 def groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) per row: the components of documents whose shingle sets have a
     Jaccard similarity of 0.8 or more.
 
-    Equal word sequences form a class and its least id stands for it, so copies are never paired. The classes'
+    Equal word sequences form a class and its least id, with a hash of the words, stands for it, so copies are never paired. The classes'
     sketches are inverted by their rarest retained values. Inside one value's list each member is paired with
     the list's least member and with its neighbour by size; after these links are verified and merged, members
     of one list that are still in different components are paired across components, so nearly equal documents
@@ -150,9 +168,11 @@ def groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: st
     sk = sketches(docs, width, id_col, text_col)
     known = sk.where(F.col("_id").isNotNull() & (F.col("n_shingles") > 0))
     # the class of a word sequence: partial aggregates, so a class of any size is one row per task
-    classes = staged(known.groupBy("text_key").agg(F.min("_id").alias("rep"), F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    # an id with several texts is represented once per text; its classes are linked through the id
-    reps = classes.select("rep", "n", "sketch").dropDuplicates(["rep"])
+    classes = known.groupBy("text_key").agg(F.min("_id").alias("id"), F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    # an id with several texts is represented once per text, so a representative is its id and a hash of the words;
+    # the least of a component has its least id
+    classes = staged(classes.withColumn("rep", F.struct("id", F.xxhash64("text_key").alias("k"))).drop("id"), "classes")
+    reps = classes.select("rep", "n", "sketch")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.col("_t").isNotNull())
     lists = _candidates(reps)
 
@@ -163,7 +183,7 @@ def groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: st
     chain = lists.select("v", "rep", "n", F.lag("rep").over(ordered).alias("p"), F.lag("n").over(ordered).alias("pn")).where(F.col("p").isNotNull() & near_n(F.col("n"), F.col("pn")))
     chain = chain.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))
     first = staged(star.union(chain).distinct(), "pairs")
-    links = _verified(first, reps, texts, width)
+    links = _verified(first, reps, texts, width).union(_shared_ids(known, classes))
     comps = components(reps.select("rep"), links)
 
     # lists that still hold several components: pairs across components only
@@ -183,5 +203,5 @@ def groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: st
     salts = 32
     hot = moved.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     tagged = sk.drop("sketch").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")).join(hot, ["text_key", "_salt"], "left")
-    comp = F.when(F.col("_id").isNotNull(), F.coalesce("comp", "_id"))
+    comp = F.when(F.col("_id").isNotNull(), F.coalesce("comp.id", "_id"))
     return tagged.select(F.col("_id").alias(id_col), "n_shingles", comp.alias("component_id"), F.coalesce(F.col("_id") == comp, F.lit(True)).alias("kept"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waferlake.llm import byte_bpe, decontamination, html_text, language_id, license_scan, line_dedup, near_dedup, quality_rules, toxicity, warc
+from waferlake.llm import byte_bpe, decontamination, html_text, importance, language_id, license_scan, line_dedup, near_dedup, quality_rules, suffix_dedup, toxicity, vector_codes, warc
 from waferlake.session import configure
 
 
@@ -71,11 +71,52 @@ def op10_decontamination(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_importance_resampling(spark, sf_dir):
+    out = importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.drop_repeats(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.compress(_read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_toxicity, op3_language_id, op4_license_scan, op5_near_dedup, op6_html_text, op7_byte_bpe, op8_warc, op9_quality_rules, op10_decontamination)}
+    op1_line_dedup, op2_toxicity, op3_language_id, op4_license_scan, op5_near_dedup, op6_html_text, op7_byte_bpe, op8_warc, op9_quality_rules, op10_decontamination,
+    op11_importance_resampling, op12_suffix_dedup, op13_vector_codes)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _vector_codes_sql(rounds: int = 4) -> str:
+    """Rounds of assigning parts and moving entries; distances are whole numbers, so a product by 256 leaves room for the index."""
+    near = (
+        "a{k} AS (SELECT x.vec_id, x.p, min(CAST(list_sum([(a.x - a.c) * (a.x - a.c) FOR a IN list_transform(range(len(x.v)), lambda i: {{'x': x.v[i + 1], 'c': b.v[i + 1]}})]) AS BIGINT) * 256 + b.e) AS m\n"
+        "  FROM parts x JOIN b{k} b ON x.p = b.p GROUP BY x.vec_id, x.p)"
+    )
+    move = (
+        "s{k} AS (SELECT a.p, a.m % 256 AS e, i, CAST(floor(CAST(sum(x.v[i + 1]) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM a{k} a JOIN parts x USING (vec_id, p), range(len(x.v)) r(i) GROUP BY ALL),\n"
+        "m{k} AS (SELECT p, e, list(c ORDER BY i) AS v FROM s{k} GROUP BY p, e),\n"
+        "b{n} AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{k} m USING (p, e))"
+    )
+    steps = ",\n".join(f"{near.format(k=k)},\n{move.format(k=k, n=k + 1)}" for k in range(rounds))
+    return f"""
+WITH kept AS (SELECT vec_id, label, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS v FROM kept, range(4) q(p)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 256),
+b0 AS (SELECT p, e, v FROM parts JOIN firsts USING (vec_id)),
+{steps},
+{near.format(k=rounds)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', m % 256), '' ORDER BY p) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), books"""
+
+
 ORACLE = {
     "op1_line_dedup": rf"""
 WITH lines AS (
@@ -93,4 +134,18 @@ b AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last,
     (CAST(('0x' || substr(h, 1 + CAST((i * 5 + k) // 4 AS INT), 1)) AS INT) >> CAST(3 - (i * 5 + k) % 4 AS INT)) % 2 * CAST(pow(2, 4 - k) AS INT)
     FOR k IN range(5)]) AS INT), 1) FOR i IN range(32)], '') AS payload_digest FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM b""",
+    "op12_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS body FROM documents),
+s AS (SELECT doc_id, unnest(range(octet_length(body) - 99)) AS at, body FROM d WHERE octet_length(body) >= 100),
+h AS (SELECT doc_id, at, md5_number(CAST(array_slice(body, at + 1, at + 100) AS BLOB)) AS key FROM s),
+r AS (SELECT doc_id, at FROM h QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, at) > 1),
+g AS (SELECT doc_id, at, CASE WHEN at <= lag(at) OVER (PARTITION BY doc_id ORDER BY at) + 100 THEN 0 ELSE 1 END AS fresh FROM r),
+i AS (SELECT doc_id, at, sum(fresh) OVER (PARTITION BY doc_id ORDER BY at) AS k FROM g),
+spans AS (SELECT doc_id, min(at) AS a, max(at) + 100 AS b FROM i GROUP BY doc_id, k),
+edges AS (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, octet_length(body), octet_length(body) FROM d),
+pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS z FROM edges)
+SELECT doc_id, any_value(octet_length(body)) AS n_bytes, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans,
+  sha256(unhex(string_agg(hex(array_slice(body, z + 1, a)), '' ORDER BY a, b))) AS kept_sha256
+FROM pieces JOIN d USING (doc_id) GROUP BY doc_id""",
+    "op13_vector_codes": _vector_codes_sql(),
 }

@@ -65,14 +65,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write a table several branches read to the shared folder and read it back.
 
     The branches then scan pruned columns of one table, a lost executor costs a
     re-read and no recomputation, and joins know the size they broadcast by.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)
 
 

@@ -1,7 +1,9 @@
 """Plain single-process counterparts of the corpus queries."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -105,3 +107,71 @@ def leaks(text, found):
                 hit.update(range(i, i + size))
                 items |= own
     return len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)
+
+
+def importance(docs, target, percent=5, size=10_000):
+    """{(id, text): (n_features, weight, score, rank)} by word lists."""
+
+    def buckets(text):
+        w = alnum(text)
+        return len(w), [zlib.crc32(" ".join(w[i : i + n]).encode()) % size for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+
+    own = [(i, t, *buckets(t)) for i, t in docs]
+    s, t = Counter(), Counter()
+    for r in own:
+        s.update(r[3])
+    for _, x in target:
+        t.update(buckets(x)[1])
+    s_all, t_all = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (s_all + size) / ((s[b] + 1) * (t_all + size)))) for b in range(size)]
+    out, able = {}, []
+    for i, text, n, feats in own:
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in feats)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out[i, text] = (len(feats), weight, score, None)
+        if n >= 20:
+            able.append((-score, i is None, i, text))
+    for k, (_, _, i, text) in enumerate(sorted(able, key=lambda r: r[:3])[: percent * len(able) // 100]):
+        out[i, text] = (*out[i, text][:3], k + 1)
+    return out
+
+
+def repeats(docs, width=100):
+    """{id: (n_bytes, n_removed, n_spans, digest)} with every string in a dictionary."""
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        body = (text or "").encode()
+        gone = bytearray(len(body))
+        for a in range(len(body) - width + 1):
+            key = body[a : a + width]
+            if key in seen:
+                gone[a : a + width] = b"\1" * width
+            seen.add(key)
+        spans = len(re.findall(b"\1+", bytes(gone)))
+        kept = bytes(b for b, g in zip(body, gone) if not g)
+        out[i] = (len(body), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def codes(vectors, parts=4, entries=256, rounds=4):
+    """({id: (code, error)}, digest of the codebooks) with Python's whole numbers."""
+    kept = {i: [math.floor(1024 * x) for x in v] for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    width = len(next(iter(kept.values()))) // parts
+    cut = {i: [v[p * width : (p + 1) * width] for p in range(parts)] for i, v in kept.items()}
+    books = [[cut[i][p] for i in sorted(cut)[:entries]] for p in range(parts)]
+
+    def near(x, book):
+        return min((sum((a - b) ** 2 for a, b in zip(x, e)), k) for k, e in enumerate(book))
+
+    for _ in range(rounds):
+        own = [defaultdict(list) for _ in range(parts)]
+        for v in cut.values():
+            for p in range(parts):
+                own[p][near(v[p], books[p])[1]].append(v[p])
+        books = [[[sum(c) // len(c) for c in zip(*own[p][k])] if own[p][k] else e for k, e in enumerate(books[p])] for p in range(parts)]
+    out = {}
+    for i, v in cut.items():
+        found = [near(v[p], books[p]) for p in range(parts)]
+        out[i] = ("".join(f"{k:02x}" for _, k in found), sum(d for d, _ in found))
+    return out, hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()

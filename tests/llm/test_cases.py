@@ -1,11 +1,14 @@
 """Null, empty, long, tied and repeated rows, empty tables and clashing columns."""
 
+import random
+
 import brute
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from waferlake.llm import byte_bpe, decontamination, html_text, language_id, license_scan, line_dedup, near_dedup, quality_rules, toxicity, warc
+from waferlake.llm import byte_bpe, decontamination, html_text, importance, language_id, license_scan, line_dedup, near_dedup, quality_rules, suffix_dedup, toxicity, vector_codes, warc
 
 
 def test_lines(hard):
@@ -137,3 +140,118 @@ def test_html_articles():
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "<p>a</p>", "y")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_text.main_text(pages).select("text", F.col("n_chars")).collect()) == [("", 0), ("a", 1)]
+
+
+def test_importance(spark, hard):
+    bench = spark.createDataFrame([(1, "Mit license q1 q2", "x"), (2, None, "y"), (3, "", "z")], "item_id long, text string, steps string")
+    got = importance.resample(hard.withColumn("steps", F.lit(1)), bench, percent=50).collect()
+    want = brute.importance([(r.doc_id, r.text) for r in hard.collect()], [(1, "Mit license q1 q2")], percent=50)
+    assert len(got) == hard.count()
+    plain = {i: v[:3] for (i, _), v in want.items()}
+    assert {r.doc_id: (r.n_features, r.weight, r.score) for r in got} == plain
+    drawn = sorted(r["rank"] for r in got if r["rank"])
+    able = [r for r in got if r.n_words >= 20]
+    assert drawn == list(range(1, len(able) // 2 + 1))
+    best = sorted(able, key=lambda r: (-r.score, r.doc_id is None, r.doc_id))[: len(drawn)]
+    assert sorted(r.score for r in best) == sorted(r.score for r in got if r["rank"])
+    assert importance.resample(hard.limit(0), bench).count() == 0
+    assert {r["rank"] for r in importance.resample(hard, bench.limit(0), percent=0).collect()} == {None}
+    assert importance.draw(hard, bench, percent=50).columns == hard.columns
+
+
+def test_importance_words():
+    """Overlapped spans are the runs of consecutive words, also where words repeat or a separator is a letter's neighbour."""
+    rx = [importance.scanner(n) for n in (1, 2, 3)]
+    for text in ("", "...", "A", "a a a a", "B-52s, don't stop", "é\u00a0x\ty", "x" * 5000 + " y"):
+        n, got = importance.buckets_of(text.encode(), rx, 10_000)
+        w = brute.alnum(text)
+        want = sorted(importance.zlib.crc32(" ".join(w[i : i + k]).encode()) % 10_000 for k in (1, 2, 3) for i in range(len(w) - k + 1))
+        assert n == len(w) and got.tolist() == want
+
+
+def test_repeats(spark, hard):
+    got = suffix_dedup.drop_repeats(hard).collect()
+    assert len(got) == hard.count()
+    docs = {(2**63 if r.doc_id is None else r.doc_id): r.text for r in hard.collect()}
+    want = brute.repeats(docs.items())
+    for r in got:
+        key = 2**63 if r.doc_id is None else r.doc_id
+        assert (r.n_bytes, r.n_removed, r.n_spans, brute.hashlib.sha256(r.kept).hexdigest()) == want[key]
+        assert sum(s["length"] for s in r.spans) == r.n_removed
+    assert suffix_dedup.drop_repeats(hard.limit(0)).count() == 0
+
+
+def test_repeats_made(spark, monkeypatch):
+    """Passages moved, overlapping, periodic, cut in characters, frequent, at ends and in long texts, over all ways to cut the work."""
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choice("abcdeéß漢") for _ in range(draw.randint(1, 8)))
+    passages = [" ".join(word() for _ in range(draw.randint(8, 90))) for _ in range(12)]
+    docs = [(0, "x" * 700), (1, "ab" * 300 + "x" * 150), (2, "x" * 100), (3, "x" * 99), (4, "漢" * 200)]
+    for i in range(5, 160):
+        parts = [draw.choice(passages)[draw.randint(0, 9) :] if draw.random() < 0.6 else " ".join(word() for _ in range(draw.randint(1, 40))) for _ in range(draw.randint(0, 8))]
+        docs.append((i, ". the most common words of all ".join(parts)))
+    docs += [(i, docs[i - 100][1]) for i in range(160, 180)]
+    want = brute.repeats(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    for piece, block, flush, expand in ((1 << 20, 1 << 22, 48 << 20, 1 << 20), (300, 2000, 4000, 500)):
+        for name, value in (("PIECE", piece), ("BLOCK", block), ("FLUSH", flush), ("EXPAND", expand)):
+            monkeypatch.setattr(suffix_dedup, name, value)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.drop_repeats(frame).collect()}
+        assert got == want
+
+
+def test_repeats_shared_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (1, text + " more"), (2, text)]
+    got = suffix_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4 and [r.n_removed for r in got if r.doc_id == 2] == [len(text)]
+    same = {r.n_removed for r in got if r.doc_id == 1 and r.n_bytes == len(text)}
+    other = {r.n_removed for r in got if r.n_bytes > len(text)}
+    # of two texts under one id, the later by hash loses what both hold
+    assert len(same) == 1 and same | other == {0, len(text)}
+
+
+def test_splitters():
+    """Grams equal to splitters touch the buckets on both sides, others have one."""
+    grams = np.array([(5, 1)] * 50 + [(5, 2)] * 3 + [(7, 0)] * 5 + [(9, 9)] * 40, np.uint64)
+    s = suffix_dedup.Splitters(grams, 8)
+    asked = [(0, 0), (5, 0), (5, 1), (5, 2), (6, 0), (9, 9), (9, 10)]
+    a, b = s.place(*np.array(asked, np.uint64).T)
+    cuts = list(zip(s.high.tolist(), s.low.tolist()))
+    assert list(zip(a.tolist(), b.tolist())) == [(sum(c < g for c in cuts), sum(c <= g for c in cuts)) for g in asked]
+
+
+def test_codes_hard(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [0.1] * 8, 0), (2, None, 0), (3, [nan] * 8, 1), (4, [0.1] * 7 + [None], 1), (5, [inf] * 8, None), (6, [-0.3, 0.2] * 4, None), (6, [-0.3, 0.2] * 4, None),
+            (None, [0.5] * 8, 1), (7, [1e6, -1e6] * 4, 1), (8, [], 2), (9, [0.1] * 3, 2)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"code": F.lit(1), "error": F.lit("x"), "vector": F.lit(2)})
+    got = vector_codes.compress(frame, entries=2).collect()
+    keep = {k: v for k, (i, v, _) in enumerate(rows) if v and len(v) == 8 and all(x is not None and abs(x) < inf for x in v)}
+    order = {k: (rows[k][0] is None, rows[k][0] or 0, k) for k in keep}
+    names = {k: n for n, k in enumerate(sorted(keep, key=order.get))}
+    want, digest = brute.codes([(names[k], v) for k, v in keep.items()], entries=2)
+    assert sorted((r.vec_id or 99, r.code, r.error) for r in got) == sorted((rows[k][0] or 99, *want[names[k]]) for k in keep)
+    assert {r.codebooks_sha256 for r in got} == {digest}
+    sums = {}
+    for r in got:
+        sums[r.label] = sums.get(r.label, 0) + r.error
+    assert all(r.label_error == sums[r.label] for r in got)
+    assert vector_codes.compress(frame.limit(0)).count() == 0
+    huge = spark.createDataFrame([(i, [(-1.0) ** i * 10.0**k for k in range(8, 16)], 1) for i in range(9)], "vec_id long, embedding array<double>, label int")
+    assert {r.error for r in vector_codes.compress(huge, entries=1, rounds=1).collect()} == {None}
+
+
+@pytest.mark.parametrize("width", [1, 3, 4, 5, 16, 33])
+def test_nearest(width):
+    """Early elimination in the transformed domain changes neither the entry nor the distance, ties included."""
+    draw = np.random.default_rng(width)
+    for spread in (2, 50, 10_000):
+        rows, entries = draw.integers(-spread, spread, (400, width)), draw.integers(-spread, spread, (64, width))
+        full = ((rows[:, None] - entries) ** 2).sum(2)
+        for kind in (np.int64, object):
+            entry, gap = vector_codes.nearest(rows.astype(kind), entries.astype(kind))
+            assert (entry == full.argmin(1)).all() and (gap == full.min(1)).all()
+    order = vector_codes.sequency(16)
+    hadamard = vector_codes.transformed(np.eye(16, dtype=np.int64))
+    assert len(set(order.tolist())) == 16 and [(np.diff(hadamard[:, k]) != 0).sum() for k in range(16)] == list(range(16))

@@ -10,7 +10,7 @@ from waferlake.llm.queries import ORACLE, QUERIES
 @pytest.fixture(scope="module")
 def con(sf):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return c
 
@@ -72,3 +72,22 @@ def test_leaks(spark, sf, docs, con):
     found = brute.windows(con.execute("SELECT item_id, text FROM benchmark").fetchall())
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows(spark, sf, "op10_decontamination")}
     assert got == {i: brute.leaks(t, found) for i, t in docs}
+
+
+def test_importance(spark, sf, docs, con):
+    got = {r.doc_id: (r.n_features, r.weight, r.score, r.rank) for r in rows(spark, sf, "op11_importance_resampling")}
+    want = brute.importance(docs, con.execute("SELECT item_id, text FROM benchmark").fetchall())
+    assert got == {i: v for (i, _), v in want.items()}
+
+
+def test_repeats(spark, sf, docs, con):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows(spark, sf, "op12_suffix_dedup")}
+    assert got == brute.repeats(docs)
+    names = "doc_id, n_bytes, n_removed, n_spans, kept_sha256"
+    assert {(i, *v) for i, v in got.items()} == set(con.execute(f"SELECT {names} FROM ({ORACLE['op12_suffix_dedup']})").fetchall())
+
+
+def test_codes(spark, sf, con):
+    got = rows(spark, sf, "op13_vector_codes")
+    names = "vec_id, code, error, label_error, codebooks_sha256"
+    assert sorted(tuple(r[c] for c in names.split(", ")) for r in got) == sorted(con.execute(f"SELECT {names} FROM ({ORACLE['op13_vector_codes']})").fetchall())

@@ -136,12 +136,12 @@ b AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last,
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM b""",
     "op12_suffix_dedup": """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS body FROM documents),
-s AS (SELECT doc_id, unnest(range(octet_length(body) - 99)) AS at, body FROM d WHERE octet_length(body) >= 100),
-h AS (SELECT doc_id, at, md5_number(CAST(array_slice(body, at + 1, at + 100) AS BLOB)) AS key FROM s),
-r AS (SELECT doc_id, at FROM h QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, at) > 1),
-g AS (SELECT doc_id, at, CASE WHEN at <= lag(at) OVER (PARTITION BY doc_id ORDER BY at) + 100 THEN 0 ELSE 1 END AS fresh FROM r),
-i AS (SELECT doc_id, at, sum(fresh) OVER (PARTITION BY doc_id ORDER BY at) AS k FROM g),
-spans AS (SELECT doc_id, min(at) AS a, max(at) + 100 AS b FROM i GROUP BY doc_id, k),
+s AS (SELECT doc_id, unnest(range(octet_length(body) - 99)) AS pos, body FROM d WHERE octet_length(body) >= 100),
+h AS (SELECT doc_id, pos, md5_number(CAST(array_slice(body, pos + 1, pos + 100) AS BLOB)) AS key FROM s),
+r AS (SELECT doc_id, pos FROM h QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) > 1),
+g AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 100 THEN 0 ELSE 1 END AS fresh FROM r),
+i AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM g),
+spans AS (SELECT doc_id, min(pos) AS a, max(pos) + 100 AS b FROM i GROUP BY doc_id, k),
 edges AS (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, octet_length(body), octet_length(body) FROM d),
 pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS z FROM edges)
 SELECT doc_id, any_value(octet_length(body)) AS n_bytes, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans,

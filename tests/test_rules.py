@@ -1,9 +1,10 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from waferlake.operators import digest, rules
+from waferlake.operators import digest, rules, ruletable
 from waferlake.operators.rules import Atom, Branch, ChainedRule, ItemRule
 
 CTX = ("vehicle string, step_id string, lot_id string, item string, cat2 string, level int, disp_ratio double, rep_median double, rep_std double, "
@@ -91,3 +92,50 @@ def test_frequent_and_maximal_sets_against_brute_force(spark):
     top = {c for c in want if not any(set(c) < set(d) for d in want)}
     assert {tuple(r["items"]) for r in digest.maximal_sets(sets).collect()} == top
     assert {tuple(r["items"]) for r in digest.maximal_sets(sets, ["bdx"]).collect()} == top - {("b", "d")}
+
+
+def generated(n, seed=3):
+    """Rules of every kind over items that are there, missing, or written in another case."""
+    draw = random.Random(seed)
+    item = lambda: draw.choice(["A", "B", "C", "a", "Z"])
+    some = lambda k=3: tuple(item() for _ in range(draw.randint(1, k)))
+    metric = lambda: draw.choice(["grade", "median", "stddev", "rstd_ratio", "disp_ratio", "spec_out"])
+
+    def atom():
+        kind, op = draw.choice(["compare", "bound", "all_grade", "category", "all_category", "monotone", "monotone_category", "measured", "count_grade"]), draw.choice(list(rules.OPS))
+        value, negate = draw.choice([0, 0.5, 1, 2, 5, 9]), draw.random() < 0.2
+        if kind == "bound":
+            return Atom("compare", (item(),), metric(), op, bound="spec_high", factor=draw.choice([0.5, 0.9]), negate=negate)
+        if kind in ("category", "all_category", "monotone_category"):
+            cats = tuple(draw.choice("XYQ") for _ in range(draw.randint(1, 2)))
+            return Atom(kind, cats, metric(), op, value, negate=negate)
+        return Atom(kind, some(), metric(), op, value, factor=draw.choice([0, 1, 2]), negate=negate)
+
+    condition = lambda: [[atom() for _ in range(draw.randint(0, 2))] for _ in range(draw.randint(0, 2))]
+    out = []
+    for k in range(n):
+        if k % 2:
+            wanted = {m: draw.choice([">=1", "0~3", "<spec_high*0.6", ">=caution", "odd", ["<9", ">0.2"]]) for m in (metric(), metric())}
+            out.append(ItemRule(some(), {**wanted, "logic": draw.choice(["any", "all"])}, not_items=draw.choice([(), some(2)]), trend_items=draw.choice([(), some()]),
+                                not_grade=draw.choice([">=caution", ">=abnormal"]), trend=draw.choice(["asc", "desc"]), comment=draw.choice(["", f"c{k}"])))
+        else:
+            out.append(ChainedRule(f"r{k}", draw.choice([None, item()]), condition(), tuple(Branch(draw.choice(["", "n", "m"]), condition()) for _ in range(draw.randint(0, 3))),
+                                   suppress_disp=draw.choice([(), some()]), compare_disp=draw.choice([None, (some(), some())])))
+    return out
+
+
+def test_rule_table_equals_rule_columns(spark, ctx):
+    find = lambda n: n.upper() if n == "a" else n
+    for seed in range(3):
+        own = generated(30, seed)
+        a, b = rules.rule_trace(ctx, own, find), ruletable.rule_trace(ctx, own, find)
+        assert a.columns == b.columns
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    assert ruletable.rule_trace(ctx, []).count() == 0 and ruletable.rule_trace(ctx.limit(0), generated(4)).count() == 0
+
+
+def test_rule_table_plan_does_not_grow(spark, ctx):
+    shape = lambda df: [x.split("(")[0].split("[")[0].strip(" :+-") for x in df._jdf.queryExecution().analyzed().toString().splitlines()]
+    few, many = ruletable.rule_trace(ctx, generated(10)), ruletable.rule_trace(ctx, generated(1000))
+    assert shape(few) == shape(many)
+    assert many.select("rule_rank").distinct().count() <= 1000 and many.where("matched").count() > 0

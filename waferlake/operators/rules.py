@@ -253,22 +253,20 @@ def condition_column(condition: Condition, facts: Facts, trigger: str | None = N
     return _any([_all([atom_column(a, facts, trigger) for a in group]) for group in condition])
 
 
-def _item_test(item: str, condition: Mapping, facts: Facts) -> Column:
-    """All readable entries of an item condition; an unreadable one is skipped."""
-    tests = []
+def item_atoms(item: str, condition: Mapping) -> list[Atom]:
+    """Atoms of all readable entries of an item condition; an unreadable one is skipped."""
+    out = []
     for name, wanted in condition.items():
-        if name == "logic":
-            continue
         if name == "seq_front_heavy":
-            if wanted:
-                tests.append(atom_column(Atom("front_heavy", (item,)), facts))
-            continue
-        if name not in METRICS:
-            continue
-        for one in wanted if isinstance(wanted, (list, tuple)) else [wanted]:
-            for a in _read(item, name, str(one).strip()):
-                tests.append(atom_column(a, facts))
-    return _all(tests)
+            out += [Atom("front_heavy", (item,))] if wanted else []
+        elif name in METRICS:
+            for one in wanted if isinstance(wanted, (list, tuple)) else [wanted]:
+                out += _read(item, name, str(one).strip())
+    return out
+
+
+def _item_test(item: str, condition: Mapping, facts: Facts) -> Column:
+    return _all([atom_column(a, facts) for a in item_atoms(item, condition)])
 
 
 def _read(item: str, metric: str, text: str) -> list[Atom]:

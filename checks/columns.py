@@ -179,7 +179,7 @@ def program_labels(spark, sf):
     """Points per test, repeat number of a test, and its label."""
     shots = board.test_points(fx.li_shots(spark, sf))
     keys = ["lot_id", "wafer_id", "step_id", "points"]
-    dup = board.repeat_numbers(shots, keys, fx.li_bound(spark, sf))
+    dup = board.repeat_numbers(shots, keys)
     label = S.program_label("step_id", "points", "dup_no")
     out = shots.join(dup, [*keys, "tkout_time"]).withColumn("label", label).withColumn("cleaned", S.clean_label("label"))
     return out.groupBy("lot_id", "wafer_id", "tkout_time", "points", "dup_no", "label", "cleaned").agg(F.count("*").alias("n"))
@@ -193,7 +193,7 @@ def spec_out_programs(spark, sf):
     """Distinct cleaned program labels of the out points."""
     from checks.core import _out
 
-    labels = board.test_labels(fx.li_shots(spark, sf), fx.li_bound(spark, sf))
+    labels = board.test_labels(fx.li_shots(spark, sf))
     return board.out_programs(_out(spark, sf), labels).withColumn("programs", F.array_join("labels", ";"))
 
 
@@ -328,21 +328,21 @@ def name_resolution(spark, sf):
 
 @query("position:i lot_id wafer_id:i", "(SELECT *, row_number() OVER (ORDER BY lot_id <> 'L00007', lot_id, wafer_id) AS position FROM (SELECT DISTINCT lot_id, wafer_id FROM shots))", "shots")
 def board_order(spark, sf):
-    return board.board_order(fx.li_shots(spark, sf), "L00007", fx.li_bound(spark, sf))
+    return board.board_order(fx.li_shots(spark, sf), "L00007")
 
 
 # ---------------------------------------------------------------- charts
 
 @query("vehicle item day p1:d med:d p99:d", """(SELECT vehicle, item, strftime(tkout_time, '%Y-%m-%d') AS day, quantile_cont(value, 0.01) AS p1, median(value) AS med, quantile_cont(value, 0.99) AS p99 FROM ev GROUP BY ALL)""", "ev")
 def daily_band(spark, sf):
-    return charts.daily_band(fx.ev_long(spark, sf), bound=fx.table(spark, sf, "events").count()).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return charts.daily_band(fx.ev_long(spark, sf)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("vehicle item day p1_roll:d med_roll:d p99_roll:d", """(SELECT vehicle, item, strftime(d, '%Y-%m-%d') AS day, avg(p1) OVER w AS p1_roll, avg(med) OVER w AS med_roll, avg(p99) OVER w AS p99_roll FROM (
  SELECT vehicle, item, CAST(tkout_time AS DATE) AS d, quantile_cont(value, 0.01) AS p1, median(value) AS med, quantile_cont(value, 0.99) AS p99 FROM ev GROUP BY ALL)
  WINDOW w AS (PARTITION BY vehicle, item ORDER BY d RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW))""", "ev")
 def rolling_band(spark, sf):
-    daily = charts.daily_band(fx.ev_long(spark, sf), bound=fx.table(spark, sf, "events").count())
+    daily = charts.daily_band(fx.ev_long(spark, sf))
     return charts.rolling_band(daily).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
@@ -350,19 +350,19 @@ def rolling_band(spark, sf):
  max(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_high, count(*) FILTER (value NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers
  FROM ev JOIN (SELECT {WI}, quantile_cont(value, 0.25) AS q1, median(value) AS med, quantile_cont(value, 0.75) AS q3 FROM ev GROUP BY {WI}) USING ({WI}) GROUP BY {WI}, q1, med, q3)""", "ev")
 def box_numbers(spark, sf):
-    return charts.box_numbers(fx.ev_long(spark, sf), fx.table(spark, sf, "events").count())
+    return charts.box_numbers(fx.ev_long(spark, sf))
 
 
 @query(f"{KWI} event_id:i value:d p:d", f"(SELECT *, CASE WHEN n = 1 THEN 1 ELSE (pos - 1) / (n - 1) END AS p FROM (SELECT *, row_number() OVER (PARTITION BY {WI} ORDER BY value, event_id) AS pos, count(*) OVER (PARTITION BY {WI}) AS n FROM ev))", "ev")
 def empirical_cdf(spark, sf):
-    return charts.empirical_cdf(fx.ev_long(spark, sf), ["event_id"], fx.table(spark, sf, "events").count())
+    return charts.empirical_cdf(fx.ev_long(spark, sf), ["event_id"])
 
 
 @query("vehicle step_id item low:d mid:d high:d", f"""(SELECT {PI}, coalesce(e_lo, 2 * mid - e_hi, p1) AS low, mid, coalesce(e_hi, 2 * mid - e_lo, p99) AS high FROM (
  SELECT {PI}, CASE WHEN dir <> 'UPPER' THEN lo END AS e_lo, CASE WHEN dir <> 'LOWER' THEN hi END AS e_hi, quantile_cont(value, 0.01) AS p1, median(value) AS mid, quantile_cont(value, 0.99) AS p99
  FROM pts JOIN items USING (item) GROUP BY {PI}, dir, lo, hi))""", "pts items")
 def colour_anchors(spark, sf):
-    return charts.colour_anchors(pts(spark, sf), fx.li_items(spark), fx.li_bound(spark, sf))
+    return charts.colour_anchors(pts(spark, sf), fx.li_items(spark))
 
 
 @query(f"{KRI} y_low:d y_high:d", f"""(SELECT {RI}, lo2 - pad AS y_low, hi2 + pad AS y_high FROM (SELECT *, CASE WHEN hi2 > lo2 THEN (hi2 - lo2) * 0.08 ELSE abs(hi2) * 0.08 END AS pad FROM (
@@ -404,9 +404,9 @@ def layout_extent(spark, sf):
 @query(f"{KWI} event_id:i value:d q:d first:b", f"(SELECT *, row_number() OVER (PARTITION BY {WI} ORDER BY event_id) = 1 AS first FROM ev JOIN (SELECT {WI}, quantile_cont(value, 0.1) AS q FROM ev GROUP BY {WI}) USING ({WI}))", "ev")
 def quantile_broadcast(spark, sf):
     """A group quantile on every row, and the first row of the group."""
-    ev, b = fx.ev_long(spark, sf), fx.table(spark, sf, "events").count()
+    ev = fx.ev_long(spark, sf)
     keys = [*WAFER, "item"]
-    q = ordered.quantiles(ev, keys, "value", {"q": 0.1}, b)
+    q = ordered.quantiles(ev, keys, "value", {"q": 0.1})
     head = ev.groupBy(*keys).agg(F.min("event_id").alias("_first"))
     return ev.join(q, keys).join(head, keys).withColumn("first", F.col("event_id") == F.col("_first"))
 

@@ -14,7 +14,7 @@ from waferlake.schema import PRODUCT, REPORT, SHOT_KEY, SITE, WAFER, Limits
 
 
 def li(spark, sf) -> Report:
-    return Report(fx.li_shots(spark, sf), fx.LI_ITEMS, Limits(), fx.li_bound(spark, sf))
+    return Report(fx.li_shots(spark, sf), fx.LI_ITEMS, Limits())
 
 
 def pts(spark, sf, extra=("root_lot_id",)):
@@ -44,7 +44,7 @@ def wafer_robust_stats(spark, sf):
 @query(f"vehicle step_id item center:d scatter:d typical:d", "base", "base")
 def product_wafer_baseline(spark, sf):
     r = li(spark, sf)
-    return detect.product_baseline(r.wafers(), r.bound)
+    return detect.product_baseline(r.wafers())
 
 
 @query("vehicle step_id item pop_median:d pop_spread:d",
@@ -104,7 +104,7 @@ def dispersion_findings(spark, sf):
     """Dispersion alone: flier test off, absolute gate at a tenth of the spec width."""
     lim = Limits(flier_sigma=0.0, dispersion_spec_fraction=0.1)
     r = li(spark, sf)
-    return Report(r.shots, r.items, lim, r.bound).findings().where("type = 'DISPERSION'")
+    return Report(r.shots, r.items, lim).findings().where("type = 'DISPERSION'")
 
 
 @query(f"{KRI} severity type n_out:i", f"""(SELECT {RI}, n_out, CASE WHEN n_out > 0 AND is_check THEN 'NOTICE' WHEN n_out > 0 THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
@@ -112,23 +112,23 @@ def dispersion_findings(spark, sf):
 def excluded_items(spark, sf):
     """Excluded device items vanish; an excluded check item stays as a notice."""
     r = li(spark, sf)
-    return Report(r.shots, r.items, Limits(exclude=("unit*", "*pchk*")), r.bound).findings()
+    return Report(r.shots, r.items, Limits(exclude=("unit*", "*pchk*"))).findings()
 
 
 @query(f"{KRI} target_median:d pctile:d", "pctile", "pctile")
 def median_percentile(spark, sf):
-    return detect.target_percentile(pts(spark, sf), fx.li_bound(spark, sf))
+    return detect.target_percentile(pts(spark, sf))
 
 
 @query(f"{KWI} chip_x:i chip_y:i tkout_time:t out:i seq_no:i",
        "(SELECT *, out_ AS out FROM seqw)", "seqw")
 def measurement_order(spark, sf):
-    return order.measurement_order(pts(spark, sf, ()), fx.li_items(spark), fx.li_bound(spark, sf))
+    return order.measurement_order(pts(spark, sf, ()), fx.li_items(spark))
 
 
 @query(f"{KWI} n:i run:i dead:d front:d back:d", "seqwaf", "seqwaf")
 def wafer_sequences(spark, sf):
-    seq = order.measurement_order(pts(spark, sf, ()), fx.li_items(spark), fx.li_bound(spark, sf))
+    seq = order.measurement_order(pts(spark, sf, ()), fx.li_items(spark))
     return order.wafer_sequence(seq, Limits())
 
 
@@ -279,7 +279,7 @@ def score_bands(spark, sf):
 @query(f"{KWI} index_value:d", f"""(SELECT {WI}, CASE dir WHEN 'UPPER' THEN quantile_cont(value, 0.9) WHEN 'LOWER' THEN quantile_cont(value, 0.1) ELSE median(value) END AS index_value
  FROM pts JOIN items USING (item) GROUP BY {WI}, dir)""", "pts items")
 def index_values(spark, sf):
-    return testlevel.index_values(pts(spark, sf), fx.li_items(spark), fx.li_bound(spark, sf))
+    return testlevel.index_values(pts(spark, sf), fx.li_items(spark))
 
 
 @query(f"{KWI} stat value:f", f"""(SELECT {WI}, unnest(CASE dir WHEN 'UPPER' THEN ['Max', 'P90', 'Med', 'P10'] WHEN 'LOWER' THEN ['P90', 'Med', 'P10', 'Min'] ELSE ['P90', 'Med', 'P10', 'Std'] END) AS stat,
@@ -287,7 +287,7 @@ def index_values(spark, sf):
  SELECT {WI}, dir, max(value) AS mx, min(value) AS mn, stddev_samp(value) AS sd, median(value) AS med, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.1) AS p10
  FROM pts JOIN items USING (item) GROUP BY {WI}, dir))""", "pts items")
 def statistic_table(spark, sf):
-    return testlevel.statistic_table(pts(spark, sf), fx.li_items(spark), fx.li_bound(spark, sf))
+    return testlevel.statistic_table(pts(spark, sf), fx.li_items(spark))
 
 
 METRICS_SQL = f"""(SELECT {RI}, median(value) AS target_median, stddev_samp(value) AS target_std,
@@ -299,14 +299,14 @@ METRICS_SQL = f"""(SELECT {RI}, median(value) AS target_median, stddev_samp(valu
 
 @query(f"{KRI} target_median:d target_std:f pop_median:d pop_std:f spec_out_count:i deviation:d", METRICS_SQL, "pts items")
 def item_metrics(spark, sf):
-    return testlevel.metrics(pts(spark, sf), fx.li_items(spark), fx.li_bound(spark, sf))
+    return testlevel.metrics(pts(spark, sf), fx.li_items(spark))
 
 
 @query(f"{KW} root_lot_id tkout_time:t item value:f aggregated:b", f"""(SELECT {W}, root_lot_id, tkout_time, item, value, false AS aggregated FROM pts WHERE item NOT IN ('QTY', 'PRICE', 'NET')
  UNION ALL SELECT {W}, root_lot_id, tkout_time, item, CASE item WHEN 'QTY' THEN quantile_cont(value, 0.1) WHEN 'PRICE' THEN median(value) ELSE avg(value) END, true
  FROM pts WHERE item IN ('QTY', 'PRICE', 'NET') GROUP BY {W}, root_lot_id, tkout_time, item)""", "pts")
 def per_test_aggregates(spark, sf):
-    return testlevel.per_test(pts(spark, sf), {"QTY": "P10", "PRICE": "MEDIAN", "NET": "MEAN"}, fx.li_bound(spark, sf))
+    return testlevel.per_test(pts(spark, sf), {"QTY": "P10", "PRICE": "MEDIAN", "NET": "MEAN"})
 
 
 @query(f"{KWI} tkout_time:t n:i", f"""(SELECT {WI}, min(tkout_time) AS tkout_time, arg_min(n, tkout_time) AS n FROM (

@@ -67,7 +67,7 @@ def stream_silent_lots(spark, sf):
     out = finished(live.silent_lots(event_stream(spark, sf), "6 hours", "1 day"), "append")
     from waferlake.functions import ordered
 
-    return ordered.running(out, ["lot_id"], ["last_time"], {"session_no": F.lit(1)}, out.count())
+    return ordered.running(out, ["lot_id"], ["last_time"], {"session_no": F.lit(1)})
 
 
 @query("lot_id session_no:i n:i last_time:t", """(SELECT lot_id, row_number() OVER (PARTITION BY lot_id ORDER BY last_time) AS session_no, n, last_time FROM (
@@ -79,7 +79,7 @@ def stream_silent_lots_whole(spark, sf):
     out = out.join(F.broadcast(out.agg(F.max("_batch").alias("_batch"))), "_batch")
     from waferlake.functions import ordered
 
-    return ordered.running(out, ["lot_id"], ["last_time"], {"session_no": F.lit(1)}, out.count())
+    return ordered.running(out, ["lot_id"], ["last_time"], {"session_no": F.lit(1)})
 
 
 @query("lot_id day n:i total:f", """(SELECT lot_id, strftime(tkout_time, '%Y-%m-%d') AS day, count(*) AS n, sum(value) AS total FROM ev GROUP BY ALL)""", "ev")

@@ -38,18 +38,8 @@ def test_flier_needs_five_points_and_respects_the_cap(spark):
     assert scored(spark, two, "UPPER", Limits(flier_max_points=1))["flier_count"] is None
 
 
-def test_large_group_route_gives_the_same_findings(spark, sf, monkeypatch):
-    cols = ["vehicle", "step_id", "lot_id", "item", "severity", "type", "priority", "rank"]
-    shots = fx.li_shots(spark, sf).where("vehicle = 'VF' AND step_id = 'SN' AND lot_id < 'L00002'").select("*").cache()
-    items = fx.LI_ITEMS[:3]
-    a = Report(shots, items, Limits(), 10_000).ranked().select(cols).toPandas()
-    monkeypatch.setattr(ordered, "GROUP_LIMIT", 15)
-    b = Report(shots, items, Limits(), None).ranked().select(cols).toPandas()
-    pd.testing.assert_frame_equal(a.sort_values(cols, ignore_index=True), b.sort_values(cols, ignore_index=True))
-
-
 def test_one_built_in_finding_per_item_and_class_order(spark, sf):
-    r = Report(fx.li_shots(spark, sf), fx.LI_ITEMS, Limits(), fx.li_bound(spark, sf)).ranked().toPandas()
+    r = Report(fx.li_shots(spark, sf), fx.LI_ITEMS, Limits()).ranked().toPandas()
     assert not r.duplicated(["vehicle", "step_id", "lot_id", "item"]).any()
     assert (r[r["type"] == "SPEC_OUT"]["priority"] >= 20000).all()
     assert r[r["type"] != "SPEC_OUT"]["priority"].between(10000, 19999).all()
@@ -62,9 +52,7 @@ def test_missing_bound_fails_a_two_sided_pass(spark):
     assert got == {"A": 0, "B": 1, "C": 0}
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 3])
-def test_runs_and_halves(spark, monkeypatch, limit):
-    monkeypatch.setattr(ordered, "GROUP_LIMIT", limit)
+def test_runs_and_halves(spark):
     flags = [1, 1, 0, 1, 1, 1, 0, 0, 0, 1]
     rows = [("V", "S", "L", 1, "A", i % 5, i // 5, 0, 9.0 if f else 1.0) for i, f in enumerate(flags)]
     pts = spark.createDataFrame(rows, "vehicle string, step_id string, lot_id string, wafer_id int, item string, chip_x int, chip_y int, tkout_time int, value double")

@@ -1,14 +1,15 @@
-"""Exact order statistics that hold up when one group owns much of the table.
-
-A group no larger than ``GROUP_LIMIT`` rows is handled inside one aggregate or
-one window partition. Larger groups are range-partitioned over the whole
-cluster: every range gets its own running totals and the totals of the ranges
-before it are added, so no task ever sees a whole hot group.
-
-``bound`` is a proven upper bound on the rows of any group (for instance the
-row count of the source files). With ``bound <= GROUP_LIMIT`` the plan has only
-the in-group form; otherwise the groups are counted and only the larger ones
-take the other route.
+"""Exact order statistics by one route for every group size.
+
+Quantiles are selected by narrowing: rows are counted per (group, bin) on a
+fixed logarithmic grid, with the least and the greatest value of every bin.
+Running totals of the counts name the bin of a wanted rank; a bin with equal
+ends, or one whose end is the rank itself, gives the value at once. What is
+left is counted again on a finer grid between the ends of its bin. Counts are
+combined before the shuffle, so a group of any size costs one row per bin and
+task, and no row is sorted or gathered.
+
+Running sums need an order of all rows: these are range-partitioned, every
+range counts on from the totals of the ranges before it.
 """
 
 from __future__ import annotations
@@ -19,151 +20,146 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from waferlake.session import checkpoint_dir
+from waferlake.session import checkpoint_dir, staged
 
-GROUP_LIMIT = 1_000_000
+#: first grid: bins per doubling of the magnitude, and the magnitudes it covers
+PER_OCTAVE, OCTAVES = 32, 1100
+#: later grids: bins between the ends of one bin
+FINER = 512
 
 
-def source_rows(df: DataFrame) -> int:
-    """Rows of a source table; for Parquet this reads the footers only."""
-    return df.count()
+def grid(value: str | Column) -> Column:
+    """Bin of a number: grows with it, bins of equal relative width. NaN, as everywhere in Spark, is the greatest."""
+    v = F.col(value) if isinstance(value, str) else value
+    size = F.abs(v)
+    step = F.floor(F.log2(size) * PER_OCTAVE) + F.lit(OCTAVES * PER_OCTAVE)
+    step = F.when(size == 0, 0).when(size == F.lit(float("inf")), 2 * OCTAVES * PER_OCTAVE).otherwise(step)
+    return F.when(F.isnan(v), 3 * OCTAVES * PER_OCTAVE).otherwise(F.when(v < 0, -step).otherwise(step)).cast("int")
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups within the limit, and rows of the larger groups if there are any.
+def between(lo: Column, hi: Column, part: Column) -> Column:
+    """Interpolate as Spark's own percentile does; equal ends stay exact."""
+    return F.when(lo == hi, lo).otherwise(lo * (1 - part) + hi * part)
 
-    The larger groups are counted first; there are at most total/limit of them,
-    and Spark broadcasts their keys only if the measured size allows it.
-    """
-    checkpoint_dir(df.sparkSession)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    hot = sizes.where(F.col("_rows") > limit).drop("_rows").checkpoint(eager=True)
-    if hot.isEmpty():
-        return df, None
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
 
+def joined(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner", on: Column | None = None) -> DataFrame:
+    """Join on equal keys, nulls included; the keys stay once."""
+    renamed = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    test = F.lit(True) if on is None else on
+    for k in keys:
+        test = test & a[k].eqNullSafe(F.col(f"_r_{k}"))
+    return a.join(renamed, test, how).drop(*[f"_r_{k}" for k in keys])
 
-def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows cut in ranges of (keys, order), each tagged with its ``_range``.
 
-    The tag depends on the sampled range bounds, so it is stored in the
-    checkpoint folder before anything is computed from it: a lost executor then
-    reads the stored tag again and cannot see other bounds.
-    """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id())
-    return cut.checkpoint(eager=True)
-
-
-def in_limit(bound: int | None, limit: int | None) -> tuple[bool, int]:
-    """Whether every group is proven to fit, and the limit in force."""
-    limit = GROUP_LIMIT if limit is None else limit
-    return bound is not None and bound <= limit, limit
-
-
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    sums: Mapping[str, str | Column],
-    bound: int | None = None,
-    limit: int | None = None,
-) -> DataFrame:
-    """Add inclusive running sums over ``order`` within ``keys``.
+def _counted(rows: DataFrame, keys: Sequence[str], extra: Mapping[str, Column]) -> DataFrame:
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *[c.alias(n) for n, c in extra.items()])
 
-    ``sums`` maps the new column to the summed expression; ``F.lit(1)`` gives
-    the row number. ``order`` must be a total order inside a group.
-    """
-    df = df.select("*", *[(F.col(e) if isinstance(e, str) else e).alias(f"_in_{c}") for c, e in sums.items()])
-    keys, order = list(keys), list(order)
-
-    def in_group(rows: DataFrame) -> DataFrame:
-        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return rows.select("*", *[F.sum(f"_in_{c}").over(w).alias(c) for c in sums])
-
-    def across_ranges(rows: DataFrame) -> DataFrame:
-        cut = ranged(rows, keys, order)
-        totals = cut.groupBy(*keys, "_range").agg(*[F.sum(f"_in_{c}").alias(f"_t_{c}") for c in sums])
-        # one row per range of a group, at most as many as there are ranges
-        before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-        totals = totals.select(
-            *keys, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums]
-        )
-        within = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        out = cut.join(totals, [*keys, "_range"])
-        return out.select(
-            *rows.columns, *[(F.sum(f"_in_{c}").over(within) + F.col(f"_b_{c}")).alias(c) for c in sums]
-        )
-
-    fits, limit = in_limit(bound, limit)
-    cold, hot = (df, None) if fits else split_hot(df, keys, limit)
-    out = in_group(cold) if hot is None else in_group(cold).unionByName(across_ranges(hot))
-    return out.drop(*[f"_in_{c}" for c in sums])
 
+def _wanted(probs: Mapping[str, float], n: Column) -> Column:
+    """Ranks from 0 below and above every quantile, as structs of name and rank."""
+    at = []
+    for i, p in enumerate(probs.values()):
+        pos = (n - 1) * F.lit(float(p))
+        at += [F.struct(F.lit(2 * i + k).alias("_i"), r.cast("long").alias("_at")) for k, r in enumerate((F.floor(pos), F.ceil(pos)))]
+    return F.array(*at)
 
-def between(lo: Column, hi: Column, part: Column) -> Column:
-    """Interpolate as Spark's own percentile does; equal ends stay exact."""
-    return F.when(lo == hi, lo).otherwise(lo * (1 - part) + hi * part)
 
+_DONE = "_lo <=> _hi OR _at = 0 OR _at = _c - 1"
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
-    """One row per distinct value of a group with its count (map-side combined)."""
-    weight = F.lit(1) if weight is None else weight
-    return df.groupBy(*keys, value).agg(F.sum(weight).cast("long").alias("_c"))
 
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], moments: bool = False) -> DataFrame:
+    """Exact interpolated quantiles per group, one column per entry of ``probs``.
 
-def quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    bound: int | None = None,
-    limit: int | None = None,
-) -> DataFrame:
-    """Exact interpolated quantiles per group, one column per entry of ``probs``."""
+    With ``moments`` also n, std (sample, NULL for one value), v_min and v_max,
+    which the same counts give. NULL values do not count; a group without any
+    other is absent. ``df`` is read once for each round, so a long plan should
+    be stored before.
+    """
     keys = list(keys)
-    df = df.where(F.col(value).isNotNull()).select(*keys, value)
-
-    def in_group(rows: DataFrame) -> DataFrame:
-        ps = F.array(*[F.lit(float(p)) for p in probs.values()])
-        out = rows.groupBy(*keys).agg(F.percentile(value, ps).alias("_q"))
-        return out.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-
-    def by_rank(rows: DataFrame) -> DataFrame:
-        counts = value_counts(rows, keys, value)
-        ranks = running(counts, keys, [value], {"_upto": "_c"}, limit=limit)
-        size = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-        ranks = ranks.join(size, keys)
-        picked = []
-        for name, p in probs.items():
-            pos = (F.col("_n") - 1) * F.lit(float(p))
-            for edge, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-                holds = (F.col("_upto") - F.col("_c") <= at) & (at < F.col("_upto"))
-                picked.append(F.max(F.when(holds, F.col(value))).alias(f"_{name}_{edge}"))
-        out = ranks.groupBy(*keys, "_n").agg(*picked)
-        cols = []
-        for name, p in probs.items():
-            pos = (F.col("_n") - 1) * F.lit(float(p))
-            lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-            cols.append(between(lo, hi, pos - F.floor(pos)).alias(name))
-        return out.select(*keys, *cols)
-
-    fits, limit = in_limit(bound, limit)
-    cold, hot = (df, None) if fits else split_hot(df, keys, limit)
-    return in_group(cold) if hot is None else in_group(cold).unionByName(by_rank(hot))
-
-
-def share_below(
-    population: DataFrame,
-    probes: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probe: str,
-    bound: int | None = None,
-    limit: int | None = None,
-) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    extra = {"_mean": F.avg("_v"), "_var": F.var_pop("_v")} if moments else {}
+    rows = rows.withColumn("_bin", grid("_v"))
+    bins = _counted(rows, [*keys, "_bin"], extra)
+    group = W.partitionBy(*keys)
+    upto = F.sum("_c").over(group.orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
+    # a group has at most as many rows here as the grid has bins
+    bins = bins.withColumns({"_before": upto - F.col("_c"), "_n": F.sum("_c").over(group)})
+    held = F.transform(
+        F.filter(_wanted(probs, F.col("_n")), lambda w: (w["_at"] >= F.col("_before")) & (w["_at"] < F.col("_before") + F.col("_c"))),
+        lambda w: F.struct(w["_i"].alias("_i"), (w["_at"] - F.col("_before")).alias("_at")),
+    )
+    facts = ["_n"]
+    if moments:
+        mean = F.sum(F.col("_c") * F.col("_mean")).over(group) / F.col("_n")
+        bins = bins.withColumns({"_all": mean, "v_min": F.min("_lo").over(group), "v_max": F.max("_hi").over(group)})
+        square = F.sum(F.col("_c") * (F.col("_var") + F.pow(F.col("_mean") - F.col("_all"), F.lit(2.0)))).over(group)
+        flat = F.col("v_min") == F.col("v_max")
+        std = F.when(F.col("_n") > 1, F.when(flat, 0.0).otherwise(F.sqrt(square / (F.col("_n") - 1))))
+        bins = bins.withColumn("std", std)
+        facts += ["std", "v_min", "v_max"]
+    found = staged(bins.withColumn("_w", held).where(F.size("_w") > 0).select(*keys, *facts, "_bin", "_c", "_lo", "_hi", F.inline("_w")), "ranks")
+    done = [found.where(_DONE)]
+    left = found.where(f"NOT ({_DONE})")
+    while not left.isEmpty():
+        found = staged(_finer(rows, left, keys, facts), "ranks")
+        done.append(found.where(_DONE))
+        left = found.where(f"NOT ({_DONE})")
+    every = done[0]
+    for d in done[1:]:
+        every = every.unionByName(d)
+    # the end of the bin that is the rank itself
+    every = every.withColumn("_x", F.when(F.col("_at") == 0, F.col("_lo")).otherwise(F.col("_hi")))
+    picks = [F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(f"_q{i}") for i in range(2 * len(probs))]
+    wide = every.groupBy(*keys).agg(*[F.first(f).alias(f) for f in facts], *picks)
+    cols = []
+    for i, (name, p) in enumerate(probs.items()):
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        cols.append(between(F.col(f"_q{2 * i}"), F.col(f"_q{2 * i + 1}"), pos - F.floor(pos)).alias(name))
+    more = [F.col("_n").alias("n"), *facts[1:]] if moments else []
+    return wide.select(*keys, *more, *cols)
+
+
+def _finer(rows: DataFrame, left: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
+    """The ranks left over, each within a bin of the finer grid between the ends of its own."""
+    parent = [*keys, "_bin", "_from", "_to"]
+    asks = left.groupBy(*keys, *facts, "_bin", F.col("_lo").alias("_from"), F.col("_hi").alias("_to")).agg(F.collect_list(F.struct("_i", "_at")).alias("_w"))
+    inside = (F.col("_v") >= F.col("_from")) & (F.col("_v") <= F.col("_to"))
+    own = joined(rows, asks.select(*parent), [*keys, "_bin"], on=inside)
+    part = F.floor((F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from")) * FINER)
+    bins = _counted(own.withColumn("_sub", F.least(part, F.lit(FINER - 1))), [*parent, "_sub"], {})
+    upto = F.sum("_c").over(W.partitionBy(*parent).orderBy("_sub").rowsBetween(W.unboundedPreceding, 0))
+    bins = joined(bins.withColumn("_before", upto - F.col("_c")), asks, parent)
+    held = F.transform(
+        F.filter("_w", lambda w: (w["_at"] >= F.col("_before")) & (w["_at"] < F.col("_before") + F.col("_c"))),
+        lambda w: F.struct(w["_i"].alias("_i"), (w["_at"] - F.col("_before")).alias("_at")),
+    )
+    return bins.withColumn("_w", held).where(F.size("_w") > 0).select(*keys, *facts, "_bin", "_c", "_lo", "_hi", F.inline("_w"))
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, str | Column]) -> DataFrame:
+    """Add inclusive running sums over ``order`` within ``keys``.
+
+    ``sums`` maps the new column to the summed expression; ``F.lit(1)`` gives
+    the row number. ``order`` must be a total order inside a group.
+    """
+    keys, order, columns = list(keys), list(order), df.columns
+    spark = df.sparkSession
+    cut = df.select("*", *[(F.col(e) if isinstance(e, str) else e).alias(f"_in_{c}") for c, e in sums.items()])
+    cut = cut.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, *order)
+    # range bounds are sampled, so the tags are stored before anything builds on them
+    cut = staged(cut.withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = cut.groupBy(*keys, "_range").agg(*[F.sum(f"_in_{c}").alias(f"_t_{c}") for c in sums])
+    # one row per range of a group, at most as many as there are ranges
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    within = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = joined(cut, totals, [*keys, "_range"])
+    return out.select(*columns, *[(F.sum(f"_in_{c}").over(within) + F.col(f"_b_{c}")).alias(c) for c in sums])
+
+
+def share_below(population: DataFrame, probes: DataFrame, keys: Sequence[str], value: str, probe: str) -> DataFrame:
     """For each distinct probe of a group: share of the population strictly below.
 
     Probes enter the value counts with weight zero, so a running sum answers
@@ -175,9 +171,10 @@ def share_below(
     counts = pop.unionByName(ask).groupBy(*keys, "_v").agg(
         F.sum("_w").cast("long").alias("_c"), F.min("_w").alias("_kind")
     )
-    ranks = running(counts, keys, ["_v"], {"_upto": "_c"}, bound, limit)
+    counts = staged(counts, "counts")
+    ranks = running(counts, keys, ["_v"], {"_upto": "_c"})
     size = counts.groupBy(*keys).agg(F.sum("_c").alias("_n")).where("_n > 0")
-    hits = ranks.where("_kind = 0").join(size, keys)
+    hits = joined(ranks.where("_kind = 0"), size, keys)
     return hits.select(
         *keys, F.col("_v").alias(probe), ((F.col("_upto") - F.col("_c")) / F.col("_n") * 100.0).alias("pctile")
     )

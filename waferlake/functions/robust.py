@@ -13,117 +13,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waferlake.functions import ordered
+from waferlake.session import staged
 
 MAD_FACTOR = 1.4826
 IQR_FACTOR = 1.349
 
 
-def array_quantile(values: Column, p: float) -> Column:
-    """Interpolated quantile of a sorted, non-empty array."""
-    pos = (F.size(values) - 1) * F.lit(float(p))
-    lo = F.floor(pos).cast("int")
-    a, b = F.get(values, lo), F.get(values, F.ceil(pos).cast("int"))
-    return ordered.between(a, b, pos - lo)
-
-
 def spread_of(mad: Column, q1: Column, q3: Column, std: Column) -> Column:
     """The fallback chain; each step is tried only when the one before is zero."""
     first, second = F.lit(MAD_FACTOR) * mad, (q3 - q1) / F.lit(IQR_FACTOR)
     return F.when(first > 0, first).when(second > 0, second).when(std > 0, std)
 
 
-def profile(
-    df: DataFrame, keys: Sequence[str], value: str, bound: int | None = None, limit: int | None = None
-) -> DataFrame:
-    """Per group: n, median, std (0 for one value), spread, v_min, v_max, vals.
-
-    ``vals`` holds the sorted values of a group within the limit, for tests on
-    single points that only become possible later; it is NULL for larger
-    groups, whose points have to be joined again.
-    """
+def profile(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Per group: n, median, std (0 for one value), spread, v_min, v_max."""
     keys = list(keys)
-    df = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    fits, limit = ordered.in_limit(bound, limit)
-    cold, hot = (df, None) if fits else ordered.split_hot(df, keys, limit)
-    out = _in_group(cold, keys)
-    return out if hot is None else out.unionByName(_by_rank(hot, keys, limit))
-
-
-def profile_wide(
-    shots: DataFrame,
-    keys: Sequence[str],
-    items: Sequence[str],
-    bound: int | None = None,
-    limit: int | None = None,
-) -> DataFrame:
-    """``profile`` of every item column, as rows of (keys, item, ...).
-
-    The wide rows are aggregated as they are and only the aggregates are turned
-    to rows, so one row per shot is shuffled and not one per measured value.
-    """
-    keys, items = list(keys), list(items)
-
-    def in_group(rows: DataFrame) -> DataFrame:
-        aggs = [F.struct(F.collect_list(i).alias("v"), F.stddev_samp(i).alias("s")).alias(i) for i in items]
-        out = rows.groupBy(*keys).agg(*aggs).unpivot(keys, items, "item", "_a")
-        out = out.where(F.size("_a.v") > 0)
-        return _finish(
-            out.select(*keys, "item", F.sort_array("_a.v").alias("vals"), F.col("_a.s").alias("_s")), [*keys, "item"]
-        )
-
-    fits, limit = ordered.in_limit(bound, limit)
-    cold, hot = (shots, None) if fits else ordered.split_hot(shots, keys, limit)
-    if hot is None:
-        return in_group(cold)
-    long = hot.unpivot(keys, items, "item", "_v").where(F.col("_v").isNotNull())
-    return in_group(cold).unionByName(_by_rank(long, [*keys, "item"], limit))
-
-
-def _in_group(df: DataFrame, keys: list[str]) -> DataFrame:
-    out = df.groupBy(*keys).agg(
-        F.sort_array(F.collect_list("_v")).alias("vals"), F.stddev_samp("_v").alias("_s")
-    )
-    return _finish(out, keys)
-
-
-def _finish(out: DataFrame, keys: list[str]) -> DataFrame:
-    out = out.withColumn("median", array_quantile(F.col("vals"), 0.5))
-    out = out.withColumn(
-        "_mad",
-        array_quantile(F.sort_array(F.transform("vals", lambda v: F.abs(v - F.col("median")))), 0.5),
-    )
+    # read once for the quartiles and once for the deviations, or more often where bins have to be narrowed
+    rows = staged(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x")), "values")
+    q = staged(ordered.quantiles(rows, keys, "_x", {"_q1": 0.25, "median": 0.5, "_q3": 0.75}, moments=True), "quartiles")
+    away = ordered.joined(rows, q.select(*keys, "median"), keys).withColumn("_d", F.abs(F.col("_x") - F.col("median")))
+    out = ordered.joined(q, ordered.quantiles(away, keys, "_d", {"_mad": 0.5}), keys)
     return out.select(
-        *keys,
-        F.size("vals").cast("long").alias("n"),
-        "median",
-        F.coalesce("_s", F.lit(0.0)).alias("std"),
-        spread_of(
-            F.col("_mad"),
-            array_quantile(F.col("vals"), 0.25),
-            array_quantile(F.col("vals"), 0.75),
-            F.col("_s"),
-        ).alias("spread"),
-        F.get("vals", F.lit(0)).alias("v_min"),
-        F.element_at("vals", -1).alias("v_max"),
-        "vals",
+        *keys, "n", "median", F.coalesce("std", F.lit(0.0)).alias("std"),
+        spread_of(F.col("_mad"), F.col("_q1"), F.col("_q3"), F.col("std")).alias("spread"), "v_min", "v_max",
     )
 
 
-def _by_rank(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    q = ordered.quantiles(df, keys, "_v", {"_q1": 0.25, "median": 0.5, "_q3": 0.75}, limit=limit)
-    base = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.stddev_samp("_v").alias("_s"), F.min("_v").alias("v_min"), F.max("_v").alias("v_max")
-    )
-    dev = df.join(q.select(*keys, "median"), keys).select(*keys, F.abs(F.col("_v") - F.col("median")).alias("_d"))
-    mad = ordered.quantiles(dev, keys, "_d", {"_mad": 0.5}, limit=limit)
-    out = base.join(q, keys).join(mad, keys)
-    return out.select(
-        *keys,
-        "n",
-        "median",
-        F.coalesce("_s", F.lit(0.0)).alias("std"),
-        spread_of(F.col("_mad"), F.col("_q1"), F.col("_q3"), F.col("_s")).alias("spread"),
-        "v_min",
-        "v_max",
-        F.lit(None).cast("array<double>").alias("vals"),
-    )
+def profile_wide(shots: DataFrame, keys: Sequence[str], items: Sequence[str]) -> DataFrame:
+    """``profile`` of every item column, as rows of (keys, item, ...)."""
+    return profile(shots.unpivot(list(keys), list(items), "item", "_v"), [*keys, "item"], "_v")

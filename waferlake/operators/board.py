@@ -50,11 +50,11 @@ def band_counts(rates: DataFrame) -> DataFrame:
     )
 
 
-def board_order(rates: DataFrame, target: str, bound: int | None = None) -> DataFrame:
+def board_order(rates: DataFrame, target: str) -> DataFrame:
     """Target lot first, other lots by name, wafers ascending."""
     cols = rates.select("lot_id", "wafer_id").distinct().withColumn("_other", (F.col("lot_id") != target).cast("int"))
     order = ["_other", "lot_id", "wafer_id"]
-    rows = ordered.running(cols.withColumn("_all", F.lit(0)), ["_all"], order, {"position": F.lit(1)}, bound)
+    rows = ordered.running(cols.withColumn("_all", F.lit(0)), ["_all"], order, {"position": F.lit(1)})
     return rows.drop("_all", "_other")
 
 
@@ -64,17 +64,17 @@ def test_points(shots: DataFrame) -> DataFrame:
     return shots.join(shots.groupBy(*keys).agg(F.count("*").alias("points")), keys)
 
 
-def repeat_numbers(tests: DataFrame, keys: Sequence[str], bound: int | None = None) -> DataFrame:
+def repeat_numbers(tests: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Number each distinct test time within its group, earliest first."""
     distinct = tests.select(*keys, "tkout_time").distinct()
-    return ordered.running(distinct, keys, ["tkout_time"], {"dup_no": F.lit(1)}, bound)
+    return ordered.running(distinct, keys, ["tkout_time"], {"dup_no": F.lit(1)})
 
 
-def test_labels(shots: DataFrame, bound: int | None = None) -> DataFrame:
+def test_labels(shots: DataFrame) -> DataFrame:
     """Cleaned program label of every test: step, points, repeat number above one."""
     keys = ["lot_id", "wafer_id", "step_id", "points"]
     tests = test_points(shots).select("vehicle", *keys, "tkout_time").distinct()
-    rows = tests.join(repeat_numbers(tests, keys, bound), [*keys, "tkout_time"])
+    rows = tests.join(repeat_numbers(tests, keys), [*keys, "tkout_time"])
     label = S.clean_label(S.program_label("step_id", "points", "dup_no"))
     return rows.select(*WAFER, "tkout_time", label.alias("label"))
 

@@ -16,10 +16,10 @@ from waferlake.schema import PRODUCT
 WAFER_RADIUS_MM = 150.0
 
 
-def daily_band(points: DataFrame, time: str = "tkout_time", bound: int | None = None) -> DataFrame:
+def daily_band(points: DataFrame, time: str = "tkout_time") -> DataFrame:
     """P1, median and P99 per vehicle, item and day."""
     rows = points.withColumn("day", F.to_date(time))
-    return ordered.quantiles(rows, ["vehicle", "item", "day"], "value", {"p1": 0.01, "med": 0.5, "p99": 0.99}, bound)
+    return ordered.quantiles(rows, ["vehicle", "item", "day"], "value", {"p1": 0.01, "med": 0.5, "p99": 0.99})
 
 
 def rolling_band(daily: DataFrame, days: int = 3) -> DataFrame:
@@ -28,9 +28,9 @@ def rolling_band(daily: DataFrame, days: int = 3) -> DataFrame:
     return daily.select("vehicle", "item", "day", *[F.avg(c).over(w).alias(f"{c}_roll") for c in ("p1", "med", "p99")])
 
 
-def box_numbers(points: DataFrame, bound: int | None = None) -> DataFrame:
+def box_numbers(points: DataFrame) -> DataFrame:
     """Quartiles, whiskers at 1.5 interquartile ranges, and outlier count per wafer item."""
-    q = ordered.quantiles(points, WAFER_ITEM, "value", {"q1": 0.25, "med": 0.5, "q3": 0.75}, bound)
+    q = ordered.quantiles(points, WAFER_ITEM, "value", {"q1": 0.25, "med": 0.5, "q3": 0.75})
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= lo) & (F.col("value") <= hi)
@@ -42,22 +42,22 @@ def box_numbers(points: DataFrame, bound: int | None = None) -> DataFrame:
     return q.join(whiskers, WAFER_ITEM)
 
 
-def empirical_cdf(points: DataFrame, tie: list[str], bound: int | None = None) -> DataFrame:
+def empirical_cdf(points: DataFrame, tie: list[str]) -> DataFrame:
     """Share of smaller ranks per wafer item: rank/(n-1), one for a single point."""
     n = points.groupBy(*WAFER_ITEM).agg(F.count("*").alias("n"))
-    pos = ordered.running(points, WAFER_ITEM, ["value", *tie], {"pos": F.lit(1)}, bound)
+    pos = ordered.running(points, WAFER_ITEM, ["value", *tie], {"pos": F.lit(1)})
     return pos.join(n, WAFER_ITEM).withColumn(
         "p", F.when(F.col("n") == 1, 1.0).otherwise((F.col("pos") - 1) / (F.col("n") - 1))
     )
 
 
-def colour_anchors(points: DataFrame, items: DataFrame, bound: int | None = None) -> DataFrame:
+def colour_anchors(points: DataFrame, items: DataFrame) -> DataFrame:
     """Low, middle and high end of a map's colour scale per product item.
 
     Spec ends if both count; a single end is mirrored around the median; without
     a spec the 1st and 99th percentile.
     """
-    q = ordered.quantiles(points, [*PRODUCT, "item"], "value", {"p1": 0.01, "mid": 0.5, "p99": 0.99}, bound)
+    q = ordered.quantiles(points, [*PRODUCT, "item"], "value", {"p1": 0.01, "mid": 0.5, "p99": 0.99})
     dims = items.select(F.col("alias").alias("item"), "spec_low", "spec_high", S.direction("direction").alias("d"))
     lo, hi = S.effective_bounds("spec_low", "spec_high", "d")
     rows = q.join(dims, "item").withColumn("_lo", lo).withColumn("_hi", hi)

@@ -8,26 +8,27 @@ from pyspark.sql import functions as F
 from waferlake.functions import ordered, robust
 from waferlake.functions import scalars as S
 from waferlake.schema import PRODUCT, REPORT, WAFER, Limits
+from waferlake.session import staged
 
 WAFER_ITEM = [*WAFER, "item"]
 REPORT_ITEM = [*REPORT, "item"]
 PRODUCT_ITEM = [*PRODUCT, "item"]
 
 
-def wafer_stats(points: DataFrame, bound: int | None = None) -> DataFrame:
+def wafer_stats(points: DataFrame) -> DataFrame:
     """Robust statistics of every (report, wafer, item)."""
-    return robust.profile(points, WAFER_ITEM, "value", bound)
+    return robust.profile(points, WAFER_ITEM, "value")
 
 
-def wafer_stats_wide(shots: DataFrame, items, bound: int | None = None) -> DataFrame:
+def wafer_stats_wide(shots: DataFrame, items) -> DataFrame:
     """The same from wide shots, without a row per value."""
-    return robust.profile_wide(shots, WAFER, items, bound)
+    return robust.profile_wide(shots, WAFER, items)
 
 
-def product_baseline(wafers: DataFrame, bound: int | None = None) -> DataFrame:
+def product_baseline(wafers: DataFrame) -> DataFrame:
     """Per product item: centre and scatter of wafer medians, typical wafer spread."""
     stats = wafers.unpivot(PRODUCT_ITEM, ["median", "spread"], "stat", "x").where("x > 0 OR stat = 'median'")
-    per = robust.profile(stats, [*PRODUCT_ITEM, "stat"], "x", bound)
+    per = robust.profile(stats, [*PRODUCT_ITEM, "stat"], "x")
     return per.groupBy(*PRODUCT_ITEM).agg(
         F.max(F.when(F.col("stat") == "median", F.col("median"))).alias("center"),
         F.max(F.when(F.col("stat") == "median", F.col("spread"))).alias("scatter"),
@@ -35,9 +36,9 @@ def product_baseline(wafers: DataFrame, bound: int | None = None) -> DataFrame:
     )
 
 
-def population_stats(points: DataFrame, bound: int | None = None) -> DataFrame:
+def population_stats(points: DataFrame) -> DataFrame:
     """Median and robust spread over every chip of the product."""
-    per = robust.profile(points, PRODUCT_ITEM, "value", bound)
+    per = robust.profile(points, PRODUCT_ITEM, "value")
     return per.select(*PRODUCT_ITEM, F.col("median").alias("pop_median"), F.col("spread").alias("pop_spread"))
 
 
@@ -51,13 +52,12 @@ def _is_flier(dev: Column, direc: Column, lim: Limits) -> Column:
 
 
 def score_wafers(
-    wafers: DataFrame, baseline: DataFrame, items: DataFrame, points: DataFrame, lim: Limits, bound: int | None = None
+    wafers: DataFrame, baseline: DataFrame, items: DataFrame, points: DataFrame, lim: Limits
 ) -> DataFrame:
     """Each wafer item scored against its product: counts out of spec, shift, dispersion, fliers.
 
-    A small table tests single points on the values its wafer aggregate
-    carries. Otherwise those arrays are dropped before the join, and only the
-    wafers whose extremes can hold a flier are joined with their points again.
+    Only the wafers whose extremes can be out of spec or hold a flier are joined
+    with their points again.
     """
     spec = items.select(
         F.col("alias").alias("item"), "spec_low", "spec_high", "report_order", "cat2",
@@ -71,38 +71,22 @@ def score_wafers(
         out = out.withColumn("spec_low", lo).withColumn("spec_high", hi)
         lo, hi = F.col("spec_low"), F.col("spec_high")
 
-    d, size = F.col("direction"), lambda test: F.size(F.filter("vals", test)).cast("long")
+    d = F.col("direction")
     dev = lambda v: (S.col(v) - F.col("median")) / F.col("typical")
+    out = ordered.joined(out, baseline, PRODUCT_ITEM, "left")
     # the extremes say whether a test on single points can hit at all
-    maybe = F.col("typical").isNotNull() & (
-        _is_flier(dev("v_max"), d, lim) | _is_flier(dev("v_min"), d, lim)
+    maybe = F.col("typical").isNotNull() & (_is_flier(dev("v_max"), d, lim) | _is_flier(dev("v_min"), d, lim))
+    outside = S.below("v_min", lo) | S.above("v_max", hi)
+    out = staged(out, "wafers")
+    ask = out.where(F.coalesce(maybe, F.lit(False)) | F.coalesce(outside, F.lit(False))).select(
+        *WAFER_ITEM, "median", "typical", "spec_low", "spec_high", "direction"
     )
-    below = F.when(S.below("v_min", lo), size(lambda v: v < lo)).otherwise(F.lit(0))
-    above = F.when(S.above("v_max", hi), size(lambda v: v > hi)).otherwise(F.lit(0))
-    if ordered.in_limit(bound, None)[0]:
-        out = out.join(baseline, PRODUCT_ITEM, "left").select(
-            "*", below.alias("n_below"), above.alias("n_above"),
-            F.when(maybe, size(lambda v: _is_flier(dev(v), d, lim))).otherwise(F.lit(0)).alias("n_flier"),
-        ).drop("vals")
-    else:
-        carried = F.col("vals").isNotNull()
-        out = out.select(
-            "*", F.when(carried, below).alias("_below"), F.when(carried, above).alias("_above")
-        ).drop("vals").join(baseline, PRODUCT_ITEM, "left")
-        ask = out.where(maybe | F.col("_below").isNull()).select(
-            *WAFER_ITEM, "median", "typical", "spec_low", "spec_high", "direction"
-        )
-        tested = points.join(ask, WAFER_ITEM).groupBy(*WAFER_ITEM).agg(
-            F.count_if(S.below("value", "spec_low")).alias("_pt_below"),
-            F.count_if(S.above("value", "spec_high")).alias("_pt_above"),
-            F.count_if(F.coalesce(_is_flier(dev("value"), d, lim), F.lit(False))).alias("_pt_flier"),
-        )
-        out = out.join(tested, WAFER_ITEM, "left").select(
-            *out.columns,
-            F.coalesce("_below", "_pt_below", F.lit(0)).alias("n_below"),
-            F.coalesce("_above", "_pt_above", F.lit(0)).alias("n_above"),
-            F.coalesce("_pt_flier", F.lit(0)).alias("n_flier"),
-        )
+    tested = ordered.joined(points, ask, WAFER_ITEM).groupBy(*WAFER_ITEM).agg(
+        F.count_if(S.below("value", "spec_low")).alias("n_below"),
+        F.count_if(S.above("value", "spec_high")).alias("n_above"),
+        F.count_if(F.coalesce(_is_flier(dev("value"), d, lim), F.lit(False))).alias("n_flier"),
+    )
+    out = ordered.joined(out, tested, WAFER_ITEM, "left").fillna(0, ["n_below", "n_above", "n_flier"])
 
     up, down = (F.col("v_max") - F.col("median")), (F.col("median") - F.col("v_min"))
     widest = F.greatest(up, down)
@@ -259,8 +243,8 @@ def findings(stats: DataFrame, lim: Limits) -> DataFrame:
     )
 
 
-def target_percentile(points: DataFrame, bound: int | None = None) -> DataFrame:
+def target_percentile(points: DataFrame) -> DataFrame:
     """Median of each report item and its percentile in the product population."""
-    med = ordered.quantiles(points, REPORT_ITEM, "value", {"target_median": 0.5}, bound)
-    share = ordered.share_below(points, med, PRODUCT_ITEM, "value", "target_median", bound)
+    med = ordered.quantiles(points, REPORT_ITEM, "value", {"target_median": 0.5})
+    share = ordered.share_below(points, med, PRODUCT_ITEM, "value", "target_median")
     return med.join(share, [*PRODUCT_ITEM, "target_median"])

@@ -14,7 +14,7 @@ FRONT_SHARE = 0.6
 BACK_SHARE = 0.2
 
 
-def measurement_order(points: DataFrame, items: DataFrame, bound: int | None = None) -> DataFrame:
+def measurement_order(points: DataFrame, items: DataFrame) -> DataFrame:
     """seq_no (row by row, then along the row) and out_no (running out count) per wafer item."""
     spec = items.select(F.col("alias").alias("item"), "spec_low", "spec_high")
     flagged = points.join(spec, "item").where("spec_low IS NOT NULL OR spec_high IS NOT NULL").withColumn(
@@ -22,7 +22,7 @@ def measurement_order(points: DataFrame, items: DataFrame, bound: int | None = N
     )
     return ordered.running(
         flagged.drop("spec_low", "spec_high"), WAFER_ITEM, ["chip_y", "chip_x", "tkout_time"],
-        {"seq_no": F.lit(1), "out_no": F.col("out")}, bound,
+        {"seq_no": F.lit(1), "out_no": F.col("out")},
     )
 
 

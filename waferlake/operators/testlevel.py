@@ -51,7 +51,7 @@ def quantile_of(spec: str) -> float | None:
     return None if name in MEAN_WORDS else 0.5
 
 
-def per_test(points: DataFrame, table: Mapping[str, str], bound: int | None = None) -> DataFrame:
+def per_test(points: DataFrame, table: Mapping[str, str]) -> DataFrame:
     """Replace the points of the listed items by one value per test; others pass through."""
     keys = [*TEST, "item"]
     kept = points.where(~F.col("item").isin(*table)).select(*keys, "value", F.lit(False).alias("aggregated"))
@@ -65,7 +65,7 @@ def per_test(points: DataFrame, table: Mapping[str, str], bound: int | None = No
         if q is None:
             one = rows.groupBy(*keys).agg(F.avg("value").alias("value"))
         else:
-            one = ordered.quantiles(rows, keys, "value", {"value": q}, bound)
+            one = ordered.quantiles(rows, keys, "value", {"value": q})
         out = out.unionByName(one.select(*keys, "value", F.lit(True).alias("aggregated")))
     return out
 
@@ -75,17 +75,17 @@ def index_value(direction: str | Column, p10: str = "p10", med: str = "med", p90
     return F.when(d == "UPPER", F.col(p90)).when(d == "LOWER", F.col(p10)).otherwise(F.col(med))
 
 
-def index_values(points: DataFrame, items: DataFrame, bound: int | None = None) -> DataFrame:
+def index_values(points: DataFrame, items: DataFrame) -> DataFrame:
     """P90, P10 or median per wafer by report direction."""
-    q = ordered.quantiles(points, [*WAFER, "item"], "value", {"p10": 0.1, "med": 0.5, "p90": 0.9}, bound)
+    q = ordered.quantiles(points, [*WAFER, "item"], "value", {"p10": 0.1, "med": 0.5, "p90": 0.9})
     dims = items.select(F.col("alias").alias("item"), S.direction("direction").alias("direction"))
     return q.join(dims, "item").withColumn("index_value", index_value("direction"))
 
 
-def statistic_table(points: DataFrame, items: DataFrame, bound: int | None = None) -> DataFrame:
+def statistic_table(points: DataFrame, items: DataFrame) -> DataFrame:
     """Four statistics per wafer item, chosen by direction, as rows."""
     keys = [*WAFER, "item"]
-    q = ordered.quantiles(points, keys, "value", {"p10": 0.1, "med": 0.5, "p90": 0.9}, bound)
+    q = ordered.quantiles(points, keys, "value", {"p10": 0.1, "med": 0.5, "p90": 0.9})
     m = points.groupBy(*keys).agg(
         F.max("value").alias("mx"), F.min("value").alias("mn"), F.stddev_samp("value").alias("sd")
     )
@@ -109,14 +109,14 @@ def first_tests(points: DataFrame, min_points: int) -> DataFrame:
     )
 
 
-def metrics(points: DataFrame, items: DataFrame, bound: int | None = None) -> DataFrame:
+def metrics(points: DataFrame, items: DataFrame) -> DataFrame:
     """Population against target: medians, deviations, out-of-spec counts."""
     product = ["vehicle", "step_id", "item"]
-    pop = ordered.quantiles(points, product, "value", {"pop_median": 0.5}, bound).join(
+    pop = ordered.quantiles(points, product, "value", {"pop_median": 0.5}).join(
         points.groupBy(*product).agg(F.stddev_samp("value").alias("pop_std")), product
     )
     keys = [*REPORT, "item"]
-    tgt = ordered.quantiles(points, keys, "value", {"target_median": 0.5}, bound)
+    tgt = ordered.quantiles(points, keys, "value", {"target_median": 0.5})
     dims = items.select(F.col("alias").alias("item"), "spec_low", "spec_high", S.direction("direction").alias("d"))
     spec = dims.select("item", *[c.alias(n) for c, n in zip(S.effective_bounds("spec_low", "spec_high", "d"), ("lo", "hi"))])
     base = points.join(spec, "item").groupBy(*keys).agg(

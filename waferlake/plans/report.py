@@ -21,7 +21,6 @@ class Report:
     shots: DataFrame
     items: Sequence[Item]
     limits: Limits = Limits()
-    bound: int | None = None
 
     @property
     def names(self) -> list[str]:
@@ -36,12 +35,12 @@ class Report:
         return reshape.points(self.shots, self.names, [*WAFER, *SITE])
 
     def wafers(self) -> DataFrame:
-        return detect.wafer_stats_wide(self.shots, self.names, self.bound)
+        return detect.wafer_stats_wide(self.shots, self.names)
 
     def scored(self) -> DataFrame:
         w = self.wafers()
-        base = detect.product_baseline(w, self.bound)
-        return detect.score_wafers(w, base, self.item_dim, self.points, self.limits, self.bound)
+        base = detect.product_baseline(w)
+        return detect.score_wafers(w, base, self.item_dim, self.points, self.limits)
 
     def items_scored(self, scored: DataFrame | None = None) -> DataFrame:
         return detect.item_stats(self.scored() if scored is None else scored, self.limits)
@@ -56,7 +55,7 @@ class Report:
         return rank.ranked(self.findings(), self.limits)
 
     def population(self) -> DataFrame:
-        per = robust.profile_wide(self.shots, PRODUCT, self.names, self.bound)
+        per = robust.profile_wide(self.shots, PRODUCT, self.names)
         return per.select(*PRODUCT, "item", F.col("median").alias("pop_median"), F.col("spread").alias("pop_spread"))
 
     def sequence(self, scored: DataFrame | None = None) -> DataFrame:
@@ -71,7 +70,7 @@ class Report:
         )
         wafers = scored.where(checked).select(*detect.WAFER_ITEM, "n_out")
         hit = wafers.where("n_out > 0").drop("n_out")
-        seq = order.measurement_order(self.points.join(hit, detect.WAFER_ITEM, "left_semi"), self.item_dim, self.bound)
+        seq = order.measurement_order(self.points.join(hit, detect.WAFER_ITEM, "left_semi"), self.item_dim)
         rows = order.wafer_sequence(seq, self.limits)
         zero = [F.lit(0).alias("run"), F.lit(0.0).alias("dead"), F.lit(0.0).alias("front"), F.lit(0.0).alias("back")]
         calm = wafers.where("n_out = 0").select(*detect.WAFER_ITEM, *zero)
@@ -104,14 +103,14 @@ class Report:
         The shots, the scored wafers and the few out points are each read by
         several branches, so each is computed once and stored.
         """
-        r = Report(staged(self.shots, "shots"), self.items, self.limits, self.bound)
+        r = Report(staged(self.shots, "shots"), self.items, self.limits)
         scored, out = staged(r.scored(), "scored"), staged(r.out_points(), "out")
         key = detect.REPORT_ITEM
         over = overlap.overlap_counts(overlap.shot_overlap(r.shots, r.items))
         return (
             r.items_scored(scored)
             .join(r.population(), detect.PRODUCT_ITEM, "left")
-            .join(detect.target_percentile(r.points, r.bound), key, "left")
+            .join(detect.target_percentile(r.points), key, "left")
             .join(r.sequence(scored), key, "left")
             .join(r.patterns(layout, out), key, "left")
             .join(over, key, "left")

@@ -77,21 +77,62 @@ def test_suppression_and_conditional_exclusion(spark, ctx):
     assert kept == {("L1", "B"), ("L2", "B"), ("L1", "A")}
 
 
-def test_frequent_and_maximal_sets_against_brute_force(spark):
-    baskets = ["abc", "abc", "abcd", "bd", "bd", "bd", "e", "e", "e", "ae", "f"]
-    rows = [("V", "S", str(n), i, "SPEC_OUT") for n, b in enumerate(baskets) for i in b]
-    f = spark.createDataFrame(rows, "vehicle string, step_id string, lot_id string, item string, type string")
-    want = {}
-    for k in range(1, 5):
-        for c in itertools.combinations("abcdef", k):
-            n = sum(set(c) <= set(b) for b in baskets)
-            if n >= 3:
-                want[c] = n
-    sets = digest.frequent_sets(f, 3)
-    assert {tuple(r["items"]): r["reports"] for r in sets.collect()} == want
-    top = {c for c in want if not any(set(c) < set(d) for d in want)}
-    assert {tuple(r["items"]) for r in digest.maximal_sets(sets).collect()} == top
-    assert {tuple(r["items"]) for r in digest.maximal_sets(sets, ["bdx"]).collect()} == top - {("b", "d")}
+def greedy(baskets, least, rules=()):
+    """Item sets as the text of ``item_sets`` says, by counting subsets of the baskets."""
+    support = lambda s: sum(set(s) <= set(b) for b in baskets)
+    names, done, out, used = sorted(set("".join(baskets))), [], [], set()
+    covered = lambda s: any({x.lower() for x in s} <= {x.lower() for x in r} for r in rules)
+    for pair in sorted(itertools.combinations(names, 2), key=lambda p: (-support(p), p)):
+        if support(pair) < least or any(set(pair) <= d for d in done):
+            continue
+        group = set(pair)
+        for x in names:
+            if support(group | {x}) >= least:
+                group.add(x)
+        done.append(group)
+        if not covered(group):
+            out.append(("".join(sorted(group)), support(group)))
+            used |= group
+    return sorted(out + [(x, support(x)) for x in names if support(x) >= least and x not in used and not covered(x)])
+
+
+def out_of_spec(spark, baskets):
+    rows = [("V", "S", str(n), i, "SPEC_OUT", "CRITICAL") for n, b in enumerate(baskets) for i in b]
+    rows += [("V", "S", "0", "q", "FLIER", "CRITICAL"), ("V", "S", "1", "q", "SPEC_OUT", "NOTICE")]
+    return spark.createDataFrame(rows, "vehicle string, step_id string, lot_id string, item string, type string, severity string")
+
+
+@pytest.mark.parametrize("rules_held", [(), ["bdx"], ["ABC"], ["e"]])
+def test_item_sets_against_brute_force(spark, rules_held):
+    baskets = ["abc", "abc", "abcd", "bd", "bd", "bd", "e", "e", "e", "ae", "f", "bde", "acf"]
+    got = digest.item_sets(out_of_spec(spark, baskets), 3, rules_held).collect()
+    assert sorted(("".join(r["items"]), r["reports"]) for r in got) == greedy(baskets, 3, rules_held)
+
+
+def test_item_sets_of_many_reports(spark):
+    """More reports than a word has bits, and supports that differ from the order of names."""
+    draw = random.Random(1)
+    baskets = ["".join(c for c in "abcdefgh" if draw.random() < 0.45) for _ in range(300)]
+    got = digest.item_sets(out_of_spec(spark, baskets), 25).collect()
+    assert sorted(("".join(r["items"]), r["reports"]) for r in got) == greedy(baskets, 25)
+    want = {p: sum(set(p) <= set(b) for b in baskets) for p in itertools.combinations("abcdefgh", 2)}
+    pairs = digest.frequent_pairs(out_of_spec(spark, baskets), 60).collect()
+    assert {(r["item_a"], r["item_b"]): r["reports"] for r in pairs} == {p: n for p, n in want.items() if n >= 60}
+
+
+def test_forty_items_out_together_end(spark):
+    """A listing of subsets would hold 2**40 of them."""
+    many = [f"i{k:02}" for k in range(40)]
+    rows = [("V", "S", str(n), i, "SPEC_OUT", "CRITICAL") for n in range(3) for i in many]
+    f = spark.createDataFrame(rows, "vehicle string, step_id string, lot_id string, item string, type string, severity string")
+    assert [(r["items"], r["reports"]) for r in digest.item_sets(f, 3).collect()] == [(many, 3)]
+
+
+def test_reports_in_doubt_count_once(spark):
+    rows = [("V", "S", "1", "PCHK_A", None, "MEAS_SUSPECT"), ("V", "S", "1", "PCHK_B", "PCHK", "MEAS_SUSPECT"), ("V", "S", "2", "X", "PCHK", "FLIER"), ("V", "S", "3", "X", "PCHK", "FLIER"), ("V", "S", "4", "Y", None, "SPEC_OUT")]
+    f = spark.createDataFrame(rows, "vehicle string, step_id string, lot_id string, item string, cat2 string, type string")
+    over = spark.createDataFrame([("V", "S", "2", "X", 3), ("V", "S", "3", "X", 0), ("V", "S", "4", "Y", 2), ("V", "S", "1", "PCHK_A", 1)], "vehicle string, step_id string, lot_id string, item string, overlap_shots int")
+    assert sorted(r["lot_id"] for r in digest.suspect_reports(f, over).collect()) == ["1", "2"]
 
 
 def generated(n, seed=3):

@@ -25,20 +25,58 @@ def scanner(n: int) -> regex.Pattern:
     return regex.compile(rb" [^ ]++" * n + rb"(?= )")
 
 
+def _zeros(longest: int) -> np.ndarray:
+    """[length, byte, value]: what a byte of a CRC-32 adds to it after so many further zero bytes."""
+    one = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        one = (one >> np.uint32(1)) ^ (np.uint32(0xEDB88320) * (one & np.uint32(1)))
+    out = np.empty((longest + 1, 4, 256), np.uint32)
+    out[0] = np.arange(256, dtype=np.uint32) << (8 * np.arange(4, dtype=np.uint32))[:, None]
+    for k in range(longest):
+        out[k + 1] = one[out[k] & 255] ^ (out[k] >> np.uint32(8))
+    return out
+
+
+LONGEST = 255
+ZEROS = _zeros(LONGEST)
+SPACE = np.uint32(zlib.crc32(b" "))
+
+
+def _extended(crc: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """CRCs moved on over `length` zero bytes, the part of a CRC that an earlier prefix has in a later one."""
+    out = ZEROS[length, 0, crc & 255]
+    for k in (1, 2, 3):
+        out = out ^ ZEROS[length, k, (crc >> np.uint32(8 * k)) & 255]
+    return out
+
+
 def buckets_of(text: bytes | None, scanners: list[regex.Pattern], size: int) -> tuple[int, np.ndarray]:
     """Number of words of a UTF-8 text, and the buckets of all its n-grams, ascending.
 
     Separators collapse to single spaces, so an n-gram is a plain span of the text. The overlapped scan goes
-    on one byte after a match began, which gives the run that starts at the next word.
+    on one byte after a match began, which gives the run that starts at the next word. The first scan also
+    carries the CRC of the text so far; that of a span is what its end has beyond its start.
     """
-    words = (text or b"").translate(PLAIN).split()
-    line = b" ".join([b"", *words, b""])
-    crc = zlib.crc32
-    found = [
-        np.fromiter((crc(line[a + 1 : b]) for a, b in (m.span() for m in rx.finditer(line, overlapped=True))), np.uint32)
-        for rx in scanners
-    ]
-    return len(words), np.sort(np.concatenate(found) % np.uint32(size)).astype(np.uint32)
+    line = b" ".join([b"", *(text or b"").translate(PLAIN).split(), b""])
+    crc, state = zlib.crc32, 0
+    prefix, ends = [], []
+    for m in scanners[0].finditer(line, overlapped=True):
+        prefix.append(state := crc(m[0], state))
+        ends.append(m.end())
+    done, end = np.array(prefix, np.uint32), np.array(ends, np.int64)
+    start = np.append(0, end[:-1]) + 1
+    before = _extended(np.append(np.uint32(0), done[:-1]), 1) ^ SPACE
+    found = []
+    for n, rx in enumerate(scanners):
+        stop = np.array([m.end() for m in rx.finditer(line, overlapped=True)], np.int64) if n else end
+        # the k-th match starts with the k-th word and ends with the n-th from there
+        length = stop - start[: len(stop)]
+        code = done[n : n + len(stop)] ^ _extended(before[: len(stop)], np.minimum(length, LONGEST))
+        for k in np.flatnonzero(length > LONGEST):
+            code[k] = crc(line[start[k] : stop[k]])
+        found.append(code)
+    buckets = np.concatenate(found) % np.uint32(size)
+    return len(end), np.sort(buckets.astype(np.uint16), kind="stable").astype(np.uint32) if size <= 1 << 16 else np.sort(buckets)
 
 
 def sketches(texts: DataFrame, text_col: str, grams: int, size: int) -> DataFrame:

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from checks import columns, core, ruled, streams  # noqa: F401
+from checks import columns, core, ruled, stored, streams  # noqa: F401
 from checks.base import ORACLE, QUERIES  # noqa: F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import query
-from checks.common import PI, R, RI, W, WI, chain, robust
+from checks.common import PI, R, RI, W, WI, chain, robust, solved_sql
 from checks.core import KR, KRI, KW, KWI, METRICS_SQL, pts
 from waferlake import fixtures as fx
 from waferlake.functions import formulas, ordered
@@ -34,13 +34,6 @@ def scan_measurements(spark, sf):
     return measurements.scan(_ev_raw(spark, sf), "2024-01-05", "2024-01-20", ["click", "error", "view"], "S%")
 
 
-@query("event_id:i value:d", "ev WHERE tkout_time >= TIMESTAMP '2024-01-23'", "ev")
-def recent_days_scan(spark, sf):
-    """The last seven days before a fixed date."""
-    ev = fx.ev_long(spark, sf)
-    return ev.where(F.col("tkout_time") >= F.date_sub(F.lit("2024-01-30").cast("date"), 7).cast("timestamp"))
-
-
 @query("window_from:t window_to:t n:i", """(SELECT w AS window_from, least(w + INTERVAL 90 DAY, d1) AS window_to,
  (SELECT count(*) FROM lineitem WHERE l_shipdate >= w AND l_shipdate < least(w + INTERVAL 90 DAY, d1)) AS n
  FROM (SELECT unnest(generate_series(d0, d1 - INTERVAL 1 DAY, INTERVAL 90 DAY)) AS w, d1 FROM (SELECT min(l_shipdate) AS d0, max(l_shipdate) + INTERVAL 1 DAY AS d1 FROM lineitem)))""")
@@ -377,15 +370,32 @@ def trend_classes(spark, sf):
     return out.groupBy("class", "item").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@query(f"{KWI} n:i c0:d c1:d c2:d c3:d")
+chain("radial_z", "pts layout", f"""SELECT *, (r - avg(r) OVER w) / stddev_pop(r) OVER w AS z, count(*) OVER w AS n
+ FROM (SELECT p.*, radius AS r FROM pts p JOIN layout USING (vehicle, chip_x, chip_y)) WINDOW w AS (PARTITION BY {WI})
+ QUALIFY n >= 4 AND stddev_pop(r) OVER w > 0 AND len(list_distinct(list(r) OVER w)) >= 4""")
+chain("radial_m", "radial_z", f"SELECT {WI}, n, " + ", ".join([f"sum(z ** {i + j}) AS m{i}{j}" for i in range(4) for j in range(i, 4)] + [f"sum(z ** {i} * value) AS v{i}" for i in range(4)]) + f" FROM radial_z GROUP BY {WI}, n")
+solved_sql("radial_m", f"{WI}, n", 4, ["c0", "c1", "c2", "c3"], "radial_s")
+
+
+@query(f"{KWI} n:i c0:f c1:f c2:f c3:f", "radial_s", "radial_s")
 def radial_fits(spark, sf):
-    """Cubic of value over radius per wafer item."""
-    return charts.radial_fits(pts(spark, sf).where(F.col("item") == "PRICE"), fx.li_layout(spark, sf))
+    """Cubic of value over radius per wafer and item, all items."""
+    return charts.radial_fits(pts(spark, sf), fx.li_layout(spark, sf))
+
+
+TERMS = ["u * u", "v * v", "u", "v", "1.0"]
+chain("circle_uv", "layout", "SELECT vehicle, radius AS r, avg(chip_x) OVER w AS mx, avg(chip_y) OVER w AS my, chip_x - mx AS u, chip_y - my AS v FROM layout WINDOW w AS (PARTITION BY vehicle)")
+chain("circle_m", "circle_uv", "SELECT vehicle, mx, my, min(u) AS u0, max(u) AS u1, min(v) AS v0, max(v) AS v1, max(sqrt(u * u + v * v)) AS far, count(*) AS n, "
+      + ", ".join([f"sum({TERMS[i]} * {TERMS[j]}) AS m{i}{j}" for i in range(5) for j in range(i, 5)] + [f"sum({TERMS[i]} * r * r) AS w{i}" for i in range(5)]) + " FROM circle_uv GROUP BY vehicle, mx, my")
+solved_sql("(SELECT * RENAME (v0 AS vlow, v1 AS vhigh, w0 AS v0, w1 AS v1, w2 AS v2, w3 AS v3, w4 AS v4) FROM circle_m)", "vehicle, mx, my, u0, u1, vlow, vhigh, far, n", 5, ["a", "b", "p", "q", "c"], "circle_s", "circle_m")
 
 
-@query("mask cx:d cy:d pitch_x:d pitch_y:d semi_x:d semi_y:d aspect:d fitted:b", """(SELECT DISTINCT vehicle AS mask, 6.0 AS cx, 6.0 AS cy, 12.0 AS pitch_x, 15.0 AS pitch_y, 12.5 AS semi_x, 10.0 AS semi_y, 1.25 AS aspect, true AS fitted FROM layout)""", "layout")
+@query("mask cx:d cy:d pitch_x:d pitch_y:d semi_x:d semi_y:d aspect:d fitted:b", """(SELECT vehicle AS mask, mx + CASE WHEN ok THEN x ELSE 0 END AS cx, my + CASE WHEN ok THEN y ELSE 0 END AS cy, CASE WHEN ok THEN sqrt(a) END AS pitch_x, CASE WHEN ok THEN sqrt(b) END AS pitch_y,
+ CASE WHEN ok THEN 150 / sqrt(a) ELSE 1.05 * far END AS semi_x, CASE WHEN ok THEN 150 / sqrt(b) ELSE 1.05 * far END AS semi_y, CASE WHEN ok THEN sqrt(b / a) ELSE 1 END AS aspect, ok AS fitted FROM (
+ SELECT *, coalesce(n >= 6 AND a > 0 AND b > 0 AND b / a BETWEEN 0.01 AND 100 AND greatest(abs(u0 - x), abs(u1 - x)) <= 300 / sqrt(a) AND greatest(abs(vlow - y), abs(vhigh - y)) <= 300 / sqrt(b), false) AS ok FROM (
+ SELECT *, -p / (2 * a) AS x, -q / (2 * b) AS y FROM circle_s)))""", "circle_s")
 def wafer_circle(spark, sf):
-    """The layout is built with pitch 12 x 15 around (6, 6); the fit must find that."""
+    """Centre, pitch and axes of every vehicle's wafer from the radii of its sites."""
     return charts.wafer_circle(fx.li_layout(spark, sf))
 
 

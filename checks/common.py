@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from checks.base import DEPENDS, cte
 from waferlake import fixtures as fx
 
@@ -24,6 +26,24 @@ def chain(name: str, deps: str, text: str) -> None:
     cte(name, text)
 
 
+def solved_sql(source: str, keep: str, n: int, names: Sequence[str], tables: str, deps: str | None = None) -> None:
+    """Register common table expressions that solve a system m .. = v .. per row: elimination of the full matrix, pivot by pivot."""
+    cell = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+    full = [f"{cell(i, j)} AS a{i}{j}" for i in range(n) for j in range(n)] + [f"v{i} AS a{i}{n}" for i in range(n)]
+    out = {f"{tables}0": f"SELECT {keep}, {', '.join(full)} FROM {source}"}
+    for k in range(n):
+        cols = []
+        for i in range(n):
+            for j in range(n + 1):
+                cols.append(f"a{k}{j} / a{k}{k} AS a{k}{j}" if i == k else f"a{i}{j} - a{i}{k} * a{k}{j} / a{k}{k} AS a{i}{j}")
+        out[f"{tables}{k + 1}"] = f"SELECT {keep}, {', '.join(cols)} FROM {tables}{k}"
+    out[tables] = f"SELECT {keep}, {', '.join(f'a{i}{n} AS {names[i]}' for i in range(n))} FROM {tables}{n}"
+    before = deps or source
+    for name, text in out.items():
+        chain(name, before, text)
+        before = name
+
+
 def robust(name: str, src: str, keys: str, value: str) -> None:
     """name(keys, n, median, std, spread, v_min, v_max) over a relation."""
     chain(f"{name}_m", src, f"""SELECT {keys}, count(*) AS n, median({value}) AS median, quantile_cont({value}, 0.25) AS q1,

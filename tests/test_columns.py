@@ -68,6 +68,17 @@ def test_lineage_with_shared_inputs_and_a_circle(spark):
     assert got == {("d", "a"), ("b", "a"), ("c", "a"), ("x", "a"), ("y", "a")}
 
 
+def test_lineage_of_a_long_chain(spark, monkeypatch):
+    """A thousand formulas on top of each other: about ten rounds, every pair written once."""
+    written = []
+    keep = formulas.staged
+    monkeypatch.setattr(formulas, "staged", lambda df, name: written.append(keep(df, name)) or written[-1])
+    edges = spark.createDataFrame([(f"f{k}", f"f{k - 1}" if k else "m") for k in range(1000)], "alias string, ref string").coalesce(2)
+    got = formulas.lineage(edges).collect()
+    assert {r["alias"] for r in got} == {f"f{k}" for k in range(1000)} and {r["leaf"] for r in got} == {"m"} and len(got) == 1000
+    assert len(written) <= 12 and sum(w.count() for w in written) == 1000 * 1001 // 2
+
+
 def test_radial_fit_against_polyfit(spark):
     rng = np.random.default_rng(5)
     lay = [("V", x, y, float(np.hypot(12 * x, 15 * y))) for x in range(7) for y in range(7)]

@@ -78,7 +78,7 @@ def li_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_tax").alias("TAX"),
         # arrival order: a total one, date first
         packed_order(
-            (F.unix_seconds("l_shipdate"), 12), (F.col("l_partkey"), 12), (hundredths("l_quantity"), 6),
+            (F.unix_seconds(F.col("l_shipdate").cast("timestamp")), 12), (F.col("l_partkey"), 12), (hundredths("l_quantity"), 6),
             (hundredths("l_discount"), 4), (hundredths("l_tax"), 4),
         ).alias("ord"),
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waferlake.schema import Item
-from waferlake.session import checkpoint_dir
+from waferlake.session import staged
 
 REFERENCE = re.compile(r"\{([^{}]+)\}")
 GROUP = ["root_lot_id", "wafer_id", "tkout_time"]
@@ -264,20 +264,21 @@ def lineage(edges: DataFrame) -> DataFrame:
     """Measured items every derived item finally rests on.
 
     ``edges`` holds (alias, ref); a ref that is no alias itself is measured.
-    The closure grows by one formula level per round and drops what it has
-    already, so shared inputs and circular formulas end too.
+    Pairs are paths with their least number of steps. A round joins the paths
+    of exactly 1, 2, 4, 8 ... steps with all up to that length, which doubles
+    the length reached: rounds grow with the logarithm of the depth, and a
+    pair comes from the middles at that distance only. New pairs are written
+    beside those before; shared inputs and circular formulas bring none.
     """
-    checkpoint_dir(edges.sparkSession)
-    step = edges.select(F.col("alias").alias("ref"), F.col("ref").alias("next"))
-    reach = newest = edges.select("alias", "ref").distinct().checkpoint()
-    while not newest.isEmpty():
-        newest = (
-            newest.join(step, "ref").select("alias", F.col("next").alias("ref")).distinct()
-            .join(reach, ["alias", "ref"], "left_anti").checkpoint()
-        )
-        reach = reach.union(newest).checkpoint()
+    paths = staged(edges.select("alias", "ref", F.lit(1).alias("steps")).distinct(), "paths")
+    length = 1
+    while not (halves := paths.where(F.col("steps") == length)).isEmpty():
+        on = paths.select(F.col("alias").alias("ref"), F.col("ref").alias("next"), F.col("steps").alias("more"))
+        longer = halves.join(on, "ref").groupBy("alias", F.col("next").alias("ref")).agg(F.min(F.col("steps") + F.col("more")).alias("steps"))
+        paths = paths.unionByName(staged(longer.join(paths, ["alias", "ref"], "left_anti"), "paths"))
+        length *= 2
     derived = edges.select(F.col("alias").alias("ref")).distinct()
-    return reach.join(derived, "ref", "left_anti").select("alias", F.col("ref").alias("leaf"))
+    return paths.join(derived, "ref", "left_anti").select("alias", F.col("ref").alias("leaf"))
 
 
 def formula_edges(items: DataFrame) -> DataFrame:

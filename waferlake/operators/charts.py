@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from waferlake.functions import ordered
+from waferlake.functions import linear, ordered
 from waferlake.functions import scalars as S
 from waferlake.operators.detect import REPORT_ITEM, WAFER_ITEM
 from waferlake.schema import PRODUCT
 
+# fixed values
 WAFER_RADIUS_MM = 150.0
+MIN_CIRCLE_SITES = 6
+MAX_ASPECT = 10.0
 
 
 def daily_band(points: DataFrame, time: str = "tkout_time") -> DataFrame:
@@ -93,7 +94,7 @@ def radial_fits(points: DataFrame, layout: DataFrame, min_points: int = 4) -> Da
 
     Radius is standardised by its mean and population deviation. The moments
     are ordinary sums, so a large wafer is combined before the shuffle; each
-    row then holds one small linear system.
+    row then holds one small linear system, solved as column expressions.
     """
     dim = layout.select(F.col("mask").alias("vehicle"), "chip_x", "chip_y", F.col("chip_radius").alias("r"))
     rows = points.join(dim, ["vehicle", "chip_x", "chip_y"])
@@ -101,72 +102,49 @@ def radial_fits(points: DataFrame, layout: DataFrame, min_points: int = 4) -> Da
         F.count("*").alias("n"), F.avg("r").alias("mu"), F.stddev_pop("r").alias("sd"), F.count_distinct("r").alias("nr")
     ).where((F.col("n") >= min_points) & (F.col("sd") > 0) & (F.col("nr") >= 4))
     z = rows.join(scale, WAFER_ITEM).withColumn("z", (F.col("r") - F.col("mu")) / F.col("sd"))
-    moments = z.groupBy(*WAFER_ITEM, "n", "mu", "sd").agg(
-        *[F.sum(F.pow("z", F.lit(float(k)))).alias(f"s{k}") for k in range(7)],
-        *[F.sum(F.pow("z", F.lit(float(k))) * F.col("value")).alias(f"t{k}") for k in range(4)],
-    )
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in moments.select(*WAFER_ITEM, "n", "mu", "sd").schema)
-
-    def solve(batches):
-        for pdf in batches:
-            s = pdf[[f"s{k}" for k in range(7)]].to_numpy(float)
-            t = pdf[[f"t{k}" for k in range(4)]].to_numpy(float)
-            gram = np.stack([np.stack([s[:, i + j] for j in range(4)], axis=1) for i in range(4)], axis=1)
-            coef = (np.linalg.pinv(gram, hermitian=True) @ t[:, :, None])[:, :, 0] if len(pdf) else np.empty((0, 4))
-            out = pdf[[*WAFER_ITEM, "n", "mu", "sd"]].copy()
-            for k in range(4):
-                out[f"c{k}"] = coef[:, k]
-            yield out
-
-    return moments.mapInPandas(solve, f"{fields}, c0 double, c1 double, c2 double, c3 double")
+    powers = [F.pow("z", F.lit(float(k))) for k in range(4)]
+    sums = z.groupBy(*WAFER_ITEM, "n", "mu", "sd").agg(*linear.moments(powers, F.col("value")))
+    return linear.solved(sums, 4, ["c0", "c1", "c2", "c3"])
 
 
 def wafer_circle(layout: DataFrame) -> DataFrame:
     """Centre, chip pitch and semi-axes of the wafer on the chip grid, per vehicle.
 
-    Least squares of r^2 = A x^2 + B y^2 + p x + q y + C over distinct sites. The
-    normal equations are sums; only their 25 numbers per vehicle leave the
-    aggregate. Falls back to a circle around the mean site, five percent wider
-    than the farthest site.
+    The squared radius of a site is a quadratic of its grid place, each axis
+    with its own pitch and none mixed: five coefficients by least squares over
+    the distinct sites, places counted from the mean site. A vehicle without a
+    radius for every site, or with a fit that no wafer can have, gets a circle
+    around the mean site, five percent wider than the farthest one.
     """
-    rows = layout.where(F.col("chip_x").isNotNull() & F.col("chip_y").isNotNull())
-    sites = rows.groupBy("mask", "chip_x", "chip_y").agg(F.median("chip_radius").alias("r"))
-    mean = sites.groupBy("mask").agg(F.avg("chip_x").alias("mx"), F.avg("chip_y").alias("my"))
-    sites = sites.join(mean, "mask")
-    x, y = F.col("chip_x").cast("double"), F.col("chip_y").cast("double")
-    terms = [x * x, y * y, x, y, F.lit(1.0)]
-    r2 = F.col("r") * F.col("r")
-    aggs = [F.sum(a * b).alias(f"m{i}{j}") for i, a in enumerate(terms) for j, b in enumerate(terms) if j >= i]
-    aggs += [F.sum(a * r2).alias(f"v{i}") for i, a in enumerate(terms)]
-    moments = sites.groupBy("mask", "mx", "my").agg(
-        F.count("*").alias("n"), F.count("r").alias("nr"), F.stddev_pop("r").alias("sr"),
-        F.min("chip_x").alias("x0"), F.max("chip_x").alias("x1"), F.min("chip_y").alias("y0"), F.max("chip_y").alias("y1"),
-        F.max(F.hypot(x - F.col("mx"), y - F.col("my"))).alias("far"), *aggs,
+    placed = layout.where(F.col("chip_x").isNotNull() & F.col("chip_y").isNotNull())
+    sites = placed.groupBy("mask", "chip_x", "chip_y").agg(F.median("chip_radius").alias("r"))
+    middle = sites.groupBy("mask").agg(F.avg("chip_x").alias("mx"), F.avg("chip_y").alias("my"))
+    sites = sites.join(middle, "mask").withColumns({"u": F.col("chip_x") - F.col("mx"), "v": F.col("chip_y") - F.col("my")})
+    u, v, square = F.col("u"), F.col("v"), F.col("r") * F.col("r")
+    sums = sites.groupBy("mask", "mx", "my").agg(
+        (F.count("r") == F.count("*")).alias("every"), F.count("*").alias("n"), F.stddev_pop("r").alias("scatter"),
+        F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.max(F.hypot(u, v)).alias("far"),
+        *linear.moments([u * u, v * v, u, v, F.lit(1.0)], square),
     )
-
-    def solve(batches):
-        for pdf in batches:
-            out = [fit(row) for _, row in pdf.iterrows()]
-            yield pd.DataFrame(out, columns=["mask", "cx", "cy", "pitch_x", "pitch_y", "semi_x", "semi_y", "aspect", "fitted"])
-
-    def fit(row):
-        if row.nr >= 6 and row.nr == row.n and row.sr > 1e-9:
-            m = np.array([[row[f"m{min(i, j)}{max(i, j)}"] for j in range(5)] for i in range(5)])
-            a, b, p, q, _ = np.linalg.lstsq(m, np.array([row[f"v{i}"] for i in range(5)]), rcond=None)[0]
-            if a > 0 and b > 0:
-                cx, cy, w, h = -p / (2 * a), -q / (2 * b), a**0.5, b**0.5
-                sx, sy = WAFER_RADIUS_MM / w, WAFER_RADIUS_MM / h
-                rx = max(abs(row.x0 - cx), abs(row.x1 - cx))
-                ry = max(abs(row.y0 - cy), abs(row.y1 - cy))
-                if 0.1 <= h / w <= 10.0 and sx >= rx / 2 and sy >= ry / 2:
-                    return [row["mask"], cx, cy, w, h, sx, sy, h / w, True]
-        r = row.far * 1.05
-        return [row["mask"], row.mx, row.my, None, None, r, r, 1.0, False]
-
-    return moments.mapInPandas(
-        solve,
-        "mask string, cx double, cy double, pitch_x double, pitch_y double, semi_x double, semi_y double, "
-        "aspect double, fitted boolean",
+    fit = linear.solved(sums, 5, ["quad_u", "quad_v", "lin_u", "lin_v", "const"])
+    bowl = F.col("every") & (F.col("n") >= MIN_CIRCLE_SITES) & (F.col("scatter") > 1e-9) & (F.col("quad_u") > 0) & (F.col("quad_v") > 0)
+    for axis in "uv":
+        quad, lin = F.when(bowl, F.col(f"quad_{axis}")), F.col(f"lin_{axis}")
+        fit = fit.withColumns({f"at_{axis}": -lin / (2 * quad), f"pitch_{axis}": F.sqrt(quad), f"semi_{axis}": WAFER_RADIUS_MM / F.sqrt(quad)})
+    aspect = F.col("pitch_v") / F.col("pitch_u")
+    fair = aspect.between(1 / MAX_ASPECT, MAX_ASPECT)
+    for axis in "uv":
+        # the sites may not reach twice as far as the wafer
+        reach = F.greatest(F.abs(F.col(f"{axis}0") - F.col(f"at_{axis}")), F.abs(F.col(f"{axis}1") - F.col(f"at_{axis}")))
+        fair = fair & (reach <= 2 * F.col(f"semi_{axis}"))
+    fit = fit.withColumn("fitted", F.coalesce(fair, F.lit(False)))
+    pick = lambda good, plain: F.when(F.col("fitted"), good).otherwise(plain)
+    around = F.col("far") * 1.05
+    return fit.select(
+        "mask", (F.col("mx") + pick(F.col("at_u"), 0.0)).alias("cx"), (F.col("my") + pick(F.col("at_v"), 0.0)).alias("cy"),
+        F.when(F.col("fitted"), F.col("pitch_u")).alias("pitch_x"), F.when(F.col("fitted"), F.col("pitch_v")).alias("pitch_y"),
+        pick(F.col("semi_u"), around).alias("semi_x"), pick(F.col("semi_v"), around).alias("semi_y"),
+        pick(aspect, F.lit(1.0)).alias("aspect"), "fitted",
     )
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waferlake.functions import scalars as S
+from waferlake.session import exists, local_frame
 
 
 def lot_log(tests: DataFrame) -> DataFrame:
@@ -74,8 +73,51 @@ def reportable(done: DataFrame, without_prefix: str | None = None, layers: DataF
     return out
 
 
-def write_ledger(ledger: DataFrame, root: str) -> str:
-    """Write a new version next to the old one, so readers never see half a ledger."""
-    path = f"{root}/version={uuid.uuid4().hex}"
-    ledger.write.parquet(path)
-    return path
+def _commits(spark: SparkSession, root: str) -> DataFrame | None:
+    path = f"{root}/commits"
+    return spark.read.schema("version long, rows long").parquet(path) if exists(spark, path) else None
+
+
+def committed(spark: SparkSession, root: str) -> list[tuple[int, int]]:
+    """(version, rows) of the committed versions, newest first; one small row each."""
+    log = _commits(spark, root)
+    return [] if log is None else [(r["version"], r["rows"]) for r in log.orderBy(F.desc("version")).collect()]
+
+
+def write_ledger(ledger: DataFrame, root: str) -> int:
+    """Write the next version beside the older ones and give its number.
+
+    The version counts from the moment its commit row stands, which is written
+    last: readers never see half a ledger, and a run that broke off leaves
+    files under a number that the next run uses again.
+    """
+    spark = ledger.sparkSession
+    done = committed(spark, root)
+    version = done[0][0] + 1 if done else 1
+    path = f"{root}/versions/v{version:09}"
+    ledger.write.mode("overwrite").parquet(path)
+    rows = spark.read.parquet(path).count()
+    local_frame(spark, [(version, rows)], "version long, rows long").coalesce(1).write.mode("append").parquet(f"{root}/commits")
+    return version
+
+
+def ledger_as_of(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
+    """The newest complete version, at most the given one; None before the first.
+
+    Complete means committed and holding as many rows as its commit row says.
+    """
+    for number, rows in committed(spark, root):
+        path = f"{root}/versions/v{number:09}"
+        if (version is None or number <= version) and exists(spark, path):
+            found = spark.read.parquet(path)
+            if found.count() == rows:
+                return found
+    return None
+
+
+def resume(log: DataFrame, wip: DataFrame, root: str, now: str, delay_minutes: int) -> DataFrame:
+    """One run: completion on top of the newest ledger, written as the next version and read back."""
+    spark = log.sparkSession
+    before = ledger_as_of(spark, root)
+    write_ledger(completion(log, wip, before, now, delay_minutes), root)
+    return ledger_as_of(spark, root)

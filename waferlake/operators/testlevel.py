@@ -11,31 +11,31 @@ from pyspark.sql import functions as F
 from waferlake.functions import ordered
 from waferlake.functions import scalars as S
 from waferlake.schema import REPORT, WAFER
+from waferlake.session import staged
 
 TEST = [*WAFER, "root_lot_id", "tkout_time"]
 
 
 def aggregate_spec(name: str, table: Mapping[str, str]) -> str | None:
-    """Aggregate of an item: exact key, wildcard, derived column, else P10 for windows."""
-    if name in table:
-        return table[name]
-    for k, v in table.items():
-        if re.fullmatch(re.escape(k).replace(r"\*", ".*").replace(r"\?", "."), name):
-            return v
-    for k, v in table.items():
-        if name.startswith(f"{k}_"):
-            return v
-    return "P10" if "window" in name.lower() else None
+    """Aggregate of an item, case ignored: the first key that is the name, a wildcard of it, or its owner;
+    without one P10 for windows."""
+    low = name.lower()
+    for key, spec in table.items():
+        k = key.lower()
+        pattern = re.escape(k).replace(r"\*", ".*").replace(r"\?", ".")
+        if re.fullmatch(pattern, low) or low.startswith(f"{k}_"):
+            return spec
+    return "P10" if "window" in low else None
 
 
 def aggregate_spec_column(name: str, table: Mapping[str, str]) -> Column:
     """The same lookup for a column of names."""
-    exact, pattern, derived = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k, v in reversed(table.items()):
-        exact = F.when(F.col(name) == k, v).otherwise(exact)
-        pattern = F.when(S.wildcard(name, [k]), v).otherwise(pattern)
-        derived = F.when(F.col(name).startswith(f"{k}_"), v).otherwise(derived)
-    return F.coalesce(exact, pattern, derived, F.when(F.lower(name).contains("window"), "P10"))
+    low = F.lower(name)
+    out = F.when(low.contains("window"), "P10")
+    for key, spec in reversed(table.items()):
+        k = key.lower()
+        out = F.when(S.wildcard(name, [key]) | (low == k) | low.startswith(f"{k}_"), spec).otherwise(out)
+    return out
 
 
 MEAN_WORDS = frozenset({"mean", "avg"})
@@ -52,22 +52,30 @@ def quantile_of(spec: str) -> float | None:
 
 
 def per_test(points: DataFrame, table: Mapping[str, str]) -> DataFrame:
-    """Replace the points of the listed items by one value per test; others pass through."""
+    """Replace the points of the listed items by one value per test; others pass through.
+
+    The value stands on the first site of the test (in row, then column order)
+    where the points have sites. One pass gives every statistic the table asks
+    for; each item takes its own.
+    """
     keys = [*TEST, "item"]
-    kept = points.where(~F.col("item").isin(*table)).select(*keys, "value", F.lit(False).alias("aggregated"))
-    out = kept
-    for spec in sorted(set(table.values())):
-        rows = points.where(F.col("item").isin(*[i for i, s in table.items() if s == spec]))
-        # a group whose key holds a NULL disappears
-        for k in keys:
-            rows = rows.where(F.col(k).isNotNull())
-        q = quantile_of(spec)
-        if q is None:
-            one = rows.groupBy(*keys).agg(F.avg("value").alias("value"))
-        else:
-            one = ordered.quantiles(rows, keys, "value", {"value": q})
-        out = out.unionByName(one.select(*keys, "value", F.lit(True).alias("aggregated")))
-    return out
+    sites = [c for c in ("chip_y", "chip_x") if c in points.columns]
+    kept = points.where(~F.col("item").isin(*table)).select(*keys, *sites, "value", F.lit(False).alias("aggregated"))
+    rows = points.where(F.col("item").isin(*table))
+    # a group whose key holds a NULL disappears
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    rows = staged(rows.select(*keys, *sites, "value"), "test-points")
+    asked = {item: quantile_of(spec) for item, spec in table.items()}
+    probs = {f"_p{n}": p for n, p in enumerate(sorted({p for p in asked.values() if p is not None}))}
+    one = rows.groupBy(*keys).agg(F.avg("value").alias("_mean"), F.min(F.struct(*sites)).alias("_at") if sites else F.lit(None).alias("_at"))
+    if probs:
+        one = one.join(ordered.quantiles(rows, keys, "value", probs), keys, "left")
+    value = F.col("_mean")
+    for name, p in probs.items():
+        value = F.when(F.col("item").isin(*[i for i, q in asked.items() if q == p]), F.col(name)).otherwise(value)
+    out = one.select(*keys, *[F.col(f"_at.{c}").alias(c) for c in sites], value.alias("value"), F.lit(True).alias("aggregated"))
+    return kept.unionByName(out)
 
 
 def index_value(direction: str | Column, p10: str = "p10", med: str = "med", p90: str = "p90") -> Column:
@@ -126,3 +134,17 @@ def metrics(points: DataFrame, items: DataFrame) -> DataFrame:
     out = tgt.join(base, keys).join(pop, product)
     gap = F.abs(F.col("target_median") - F.col("pop_median")) / F.col("pop_std")
     return out.withColumn("deviation", F.when(F.col("pop_std") > 0, F.round(gap, 2)).otherwise(0.0))
+
+
+def spec_items_added(measured: DataFrame, items: DataFrame) -> DataFrame:
+    """Items to look at per report: those with metrics first, then dictionary items that are measured without.
+
+    ``measured`` has a row per (report, item) with ``n`` values and ``has_metrics``; an item of the dictionary
+    counts if it has a report order. Both parts keep the dictionary's order.
+    """
+    dims = items.select(F.col("alias").alias("item"), "report_order", "decl_order")
+    first = measured.where("has_metrics").join(dims, "item", "left")
+    ordered_items = dims.where(F.col("report_order").isNotNull())
+    rest = measured.where("n > 0").join(ordered_items, "item").join(first.select(*REPORT, "item"), [*REPORT, "item"], "left_anti")
+    cols = [*REPORT, "item", "report_order", "decl_order"]
+    return first.select(*cols, F.lit(False).alias("added")).unionByName(rest.select(*cols, F.lit(True).alias("added")))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waferlake.functions import robust
-from waferlake.operators import detect, order, overlap, rank, reshape, rules, spatial
+from waferlake.operators import detect, order, overlap, rank, reshape, rules, spatial, testlevel
 from waferlake.schema import PRODUCT, REPORT, SITE, WAFER, Item, Limits, item_frame
 from waferlake.session import staged
 
@@ -32,18 +32,30 @@ class Report:
 
     @property
     def points(self) -> DataFrame:
-        return reshape.points(self.shots, self.names, [*WAFER, *SITE])
+        table = self.lim.aggregated
+        if not table:
+            return reshape.points(self.shots, self.names, [*WAFER, *SITE])
+        every = reshape.points(self.shots, self.names, [*WAFER, *SITE, "root_lot_id"])
+        return testlevel.per_test(every, table).drop("aggregated", "root_lot_id")
+
+    @property
+    def lim(self) -> Limits:
+        """The limits with every item that counts by one value per test, and its statistic, by its own name."""
+        found = {n: testlevel.aggregate_spec(n, self.limits.aggregated) for n in self.names}
+        return replace(self.limits, aggregated={n: spec for n, spec in found.items() if spec})
 
     def wafers(self) -> DataFrame:
+        if self.lim.aggregated:
+            return detect.wafer_stats(self.points)
         return detect.wafer_stats_wide(self.shots, self.names)
 
     def scored(self) -> DataFrame:
         w = self.wafers()
         base = detect.product_baseline(w)
-        return detect.score_wafers(w, base, self.item_dim, self.points, self.limits)
+        return detect.score_wafers(w, base, self.item_dim, self.points, self.lim)
 
     def items_scored(self, scored: DataFrame | None = None) -> DataFrame:
-        return detect.item_stats(self.scored() if scored is None else scored, self.limits)
+        return detect.item_stats(self.scored() if scored is None else scored, self.lim)
 
     def out_points(self) -> DataFrame:
         return spatial.out_points(self.points, self.item_dim)
@@ -55,7 +67,10 @@ class Report:
         return rank.ranked(self.findings(), self.limits)
 
     def population(self) -> DataFrame:
-        per = robust.profile_wide(self.shots, PRODUCT, self.names)
+        if self.lim.aggregated:
+            per = robust.profile(self.points, [*PRODUCT, "item"], "value")
+        else:
+            per = robust.profile_wide(self.shots, PRODUCT, self.names)
         return per.select(*PRODUCT, "item", F.col("median").alias("pop_median"), F.col("spread").alias("pop_spread"))
 
     def sequence(self, scored: DataFrame | None = None) -> DataFrame:

@@ -65,6 +65,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, asked of the file system Spark reads it by."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def staged(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write a table several branches read to the shared folder and read it back.
 

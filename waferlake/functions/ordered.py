@@ -6,7 +6,8 @@ Running totals of the counts name the bin of a wanted rank; a bin with equal
 ends, or one whose end is the rank itself, gives the value at once. What is
 left is counted again on a finer grid between the ends of its bin. Counts are
 combined before the shuffle, so a group of any size costs one row per bin and
-task, and no row is sorted or gathered.
+task, what is gathered of it are its bins, which the grid bounds, and no row
+is sorted.
 
 Running sums need an order of all rows: these are range-partitioned, every
 range counts on from the totals of the ranges before it.
@@ -20,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from waferlake.session import checkpoint_dir, staged
+from waferlake.session import staged
 
 #: first grid: bins per doubling of the magnitude, and the magnitudes it covers
-PER_OCTAVE, OCTAVES = 32, 1100
+PER_OCTAVE, OCTAVES = 4096, 1100
 #: later grids: bins between the ends of one bin
 FINER = 512
 
@@ -56,75 +57,136 @@ def _counted(rows: DataFrame, keys: Sequence[str], extra: Mapping[str, Column])
         F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *[c.alias(n) for n, c in extra.items()])
 
 
-def _wanted(probs: Mapping[str, float], n: Column) -> Column:
-    """Ranks from 0 below and above every quantile, as structs of name and rank."""
-    at = []
-    for i, p in enumerate(probs.values()):
-        pos = (n - 1) * F.lit(float(p))
-        at += [F.struct(F.lit(2 * i + k).alias("_i"), r.cast("long").alias("_at")) for k, r in enumerate((F.floor(pos), F.ceil(pos)))]
-    return F.array(*at)
+def _let(value: Column, body) -> Column:
+    """Bind an expression to a name, so that using it often evaluates it once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _position(p: float, n: Column) -> Column:
+    return (n - 1) * F.lit(float(p))
+
+
+def _place(weighted: Column, rank: Column, n: Column) -> Column:
+    """(index, before): the entry that holds a rank, and the rows of the entries before it. Entries carry their rows as ``c``."""
+    zero = F.lit(0).cast("long")
+    walk = F.aggregate(
+        weighted, F.struct(zero.alias("seen"), F.lit(0).alias("index"), zero.alias("before")),
+        lambda acc, b: F.struct(
+            (acc["seen"] + b["c"]).alias("seen"),
+            F.when(acc["seen"] + b["c"] <= rank, acc["index"] + 1).otherwise(acc["index"]).alias("index"),
+            F.when(acc["seen"] + b["c"] <= rank, acc["seen"] + b["c"]).otherwise(acc["before"]).alias("before"),
+        ))
+    single = F.struct(n.alias("seen"), rank.cast("int").alias("index"), rank.alias("before"))
+    return F.when(F.size(weighted) == n, single).otherwise(walk)
+
+
+def _held(weighted: Column, p: float, n: Column) -> Column:
+    """The two entries a quantile lies between, as an array of (at, e): the rank within the entry, and the entry."""
+    low, high = F.floor(_position(p, n)).cast("long"), F.ceil(_position(p, n)).cast("long")
+
+    def both(place: Column) -> Column:
+        first = F.get(weighted, place["index"])
+        over = high - place["before"] - first["c"]
+        # the rank above is in the same entry or at the start of the next
+        return F.array(
+            F.struct((low - place["before"]).alias("at"), first.alias("e")),
+            F.when(over < 0, F.struct((high - place["before"]).alias("at"), first.alias("e"))).otherwise(
+                F.struct(over.alias("at"), F.get(weighted, place["index"] + 1).alias("e"))),
+        )
+
+    return _let(_place(weighted, low, n), both)
+
+
+def _explicit(bins: Column) -> Column:
+    """Whether the ends of all bins are all values there are."""
+    return F.forall(bins, lambda b: b["lo"].eqNullSafe(b["hi"]) | (b["c"] <= 2))
+
+
+def _away(bins: Column, centre: Column) -> Column:
+    """Distances from a centre with their counts, ascending, of bins that are explicit."""
+    one = lambda v, c: F.struct(F.abs(v - centre).alias("v"), c.alias("c"))
+    return F.sort_array(F.flatten(F.transform(bins, lambda b: F.when(b["lo"].eqNullSafe(b["hi"]), F.array(one(b["lo"], b["c"]))).otherwise(
+        F.array(one(b["lo"], F.lit(1).cast("long")), one(b["hi"], F.lit(1).cast("long")))))))
 
 
 _DONE = "_lo <=> _hi OR _at = 0 OR _at = _c - 1"
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], moments: bool = False) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], spread_of: str | None = None) -> DataFrame:
     """Exact interpolated quantiles per group, one column per entry of ``probs``.
 
-    With ``moments`` also n, std (sample, NULL for one value), v_min and v_max,
-    which the same counts give. NULL values do not count; a group without any
-    other is absent. ``df`` is read once for each round, so a long plan should
-    be stored before.
+    With ``spread_of``, one of the quantiles, also n, std (sample, NULL for one
+    value), v_min, v_max and ``mad``, the median distance from it, NULL where
+    the bins do not show all values: such a distance needs a round of its own.
+    NULL values do not count; a group without any other is absent. ``df`` is
+    read once for each round, so a long plan should be stored before.
     """
     keys = list(keys)
-    checkpoint_dir(df.sparkSession)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    extra = {"_mean": F.avg("_v"), "_var": F.var_pop("_v")} if moments else {}
     rows = rows.withColumn("_bin", grid("_v"))
-    bins = _counted(rows, [*keys, "_bin"], extra)
-    group = W.partitionBy(*keys)
-    upto = F.sum("_c").over(group.orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
-    # a group has at most as many rows here as the grid has bins
-    bins = bins.withColumns({"_before": upto - F.col("_c"), "_n": F.sum("_c").over(group)})
-    held = F.transform(
-        F.filter(_wanted(probs, F.col("_n")), lambda w: (w["_at"] >= F.col("_before")) & (w["_at"] < F.col("_before") + F.col("_c"))),
-        lambda w: F.struct(w["_i"].alias("_i"), (w["_at"] - F.col("_before")).alias("_at")),
-    )
-    facts = ["_n"]
-    if moments:
-        mean = F.sum(F.col("_c") * F.col("_mean")).over(group) / F.col("_n")
-        bins = bins.withColumns({"_all": mean, "v_min": F.min("_lo").over(group), "v_max": F.max("_hi").over(group)})
-        square = F.sum(F.col("_c") * (F.col("_var") + F.pow(F.col("_mean") - F.col("_all"), F.lit(2.0)))).over(group)
+    extra = {"_mean": F.avg("_v"), "_var": F.var_pop("_v")} if spread_of else {}
+    # a hash ahead of the keys makes the sorts below compare numbers and hardly ever texts
+    bins = _counted(rows.withColumn("_h", F.xxhash64(*keys)), ["_h", *keys, "_bin"], extra)
+    fields = [F.col("_bin").alias("bin"), F.col("_c").alias("c"), F.col("_lo").alias("lo"), F.col("_hi").alias("hi")]
+    facts = [F.sum("_c").alias("_n")]
+    if spread_of:
+        mean = F.sum(F.col("_c") * F.col("_mean")) / F.sum("_c")
+        fields += [F.col("_mean").alias("mean"), F.col("_var").alias("var")]
+        facts += [mean.alias("_all"), F.min("_lo").alias("v_min"), F.max("_hi").alias("v_max")]
+    # a group has at most as many bins as the grid has in its range
+    group = bins.groupBy("_h", *keys).agg(*facts, F.sort_array(F.collect_list(F.struct(*fields))).alias("_b"))
+    b, n = F.col("_b"), F.col("_n")
+    found = group.withColumn("_w", F.array(*[_held(b, p, n) for p in probs.values()]))
+    names = ["_n"]
+    if spread_of:
+        square = F.aggregate(b, F.lit(0.0), lambda acc, e: acc + e["c"] * (e["var"] + (e["mean"] - F.col("_all")) * (e["mean"] - F.col("_all"))))
         flat = F.col("v_min") == F.col("v_max")
-        std = F.when(F.col("_n") > 1, F.when(flat, 0.0).otherwise(F.sqrt(square / (F.col("_n") - 1))))
-        bins = bins.withColumn("std", std)
-        facts += ["std", "v_min", "v_max"]
-    found = staged(bins.withColumn("_w", held).where(F.size("_w") > 0).select(*keys, *facts, "_bin", "_c", "_lo", "_hi", F.inline("_w")), "ranks")
-    done = [found.where(_DONE)]
-    left = found.where(f"NOT ({_DONE})")
+        found = found.withColumn("std", F.when(n > 1, F.when(flat, 0.0).otherwise(F.sqrt(square / (n - 1)))))
+        # the quantile the distances are taken from, and theirs, where the bins show all values
+        p = probs[spread_of]
+        end = lambda h: F.when(h["at"] == 0, h["e"]["lo"]).otherwise(h["e"]["hi"])
+        part = lambda q: _position(q, n) - F.floor(_position(q, n))
+        centre = _let(F.get("_w", F.lit(list(probs).index(spread_of))), lambda w: between(end(w[0]), end(w[1]), part(p)))
+        away = _let(centre, lambda m: _away(b, m))
+        middle = _let(away, lambda d: _let(_held(d, 0.5, n), lambda w: between(w[0]["e"]["v"], w[1]["e"]["v"], part(0.5))))
+        found = found.withColumn("mad", F.when(_explicit(b), middle))
+        names += ["std", "v_min", "v_max", "mad"]
+    # one row for each group: the values at ranks that are known, and the ranks that are not
+    entry = lambda h, i: F.struct(
+        i.alias("_i"), h["at"].alias("_at"), h["e"]["c"].alias("_c"), h["e"]["lo"].alias("_lo"), h["e"]["hi"].alias("_hi"), h["e"]["bin"].alias("_bin"))
+    known = lambda w: w["_lo"].eqNullSafe(w["_hi"]) | (w["_at"] == 0) | (w["_at"] == w["_c"] - 1)
+    found = found.select(*keys, *names, F.transform(F.flatten("_w"), entry).alias("_w"))
+    found = found.select(
+        *keys, *names, F.transform("_w", lambda w: F.when(known(w), F.when(w["_at"] == 0, w["_lo"]).otherwise(w["_hi"]))).alias("_x"),
+        F.filter("_w", lambda w: ~known(w)).alias("_open"))
+    found = staged(found, "ranks")
+    x = F.col("_x")
+    left, done = found.where(F.size("_open") > 0).select(*keys, F.inline("_open")), []
     while not left.isEmpty():
-        found = staged(_finer(rows, left, keys, facts), "ranks")
-        done.append(found.where(_DONE))
-        left = found.where(f"NOT ({_DONE})")
-    every = done[0]
-    for d in done[1:]:
-        every = every.unionByName(d)
-    # the end of the bin that is the rank itself
-    every = every.withColumn("_x", F.when(F.col("_at") == 0, F.col("_lo")).otherwise(F.col("_hi")))
-    picks = [F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(f"_q{i}") for i in range(2 * len(probs))]
-    wide = every.groupBy(*keys).agg(*[F.first(f).alias(f) for f in facts], *picks)
+        finer = staged(_finer(rows, left, keys), "ranks")
+        # the end of the bin that is the rank itself
+        done.append(finer.where(_DONE).select(*keys, "_i", F.when(F.col("_at") == 0, F.col("_lo")).otherwise(F.col("_hi")).alias("_v")))
+        left = finer.where(f"NOT ({_DONE})")
+    if done:
+        every = done[0]
+        for d in done[1:]:
+            every = every.unionByName(d)
+        late = every.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_late"))
+        found = joined(found, late, keys, "left")
+        x = F.transform("_x", lambda v, i: F.coalesce(v, F.element_at(F.col("_late"), i)))
+    found = found.withColumn("_x", x)
     cols = []
     for i, (name, p) in enumerate(probs.items()):
-        pos = (F.col("_n") - 1) * F.lit(float(p))
-        cols.append(between(F.col(f"_q{2 * i}"), F.col(f"_q{2 * i + 1}"), pos - F.floor(pos)).alias(name))
-    more = [F.col("_n").alias("n"), *facts[1:]] if moments else []
-    return wide.select(*keys, *more, *cols)
+        pos = _position(p, F.col("_n"))
+        cols.append(between(F.get("_x", F.lit(2 * i)), F.get("_x", F.lit(2 * i + 1)), pos - F.floor(pos)).alias(name))
+    more = [F.col("_n").alias("n"), *names[1:]] if spread_of else []
+    return found.select(*keys, *more, *cols)
 
 
-def _finer(rows: DataFrame, left: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
+def _finer(rows: DataFrame, left: DataFrame, keys: list[str]) -> DataFrame:
     """The ranks left over, each within a bin of the finer grid between the ends of its own."""
     parent = [*keys, "_bin", "_from", "_to"]
-    asks = left.groupBy(*keys, *facts, "_bin", F.col("_lo").alias("_from"), F.col("_hi").alias("_to")).agg(F.collect_list(F.struct("_i", "_at")).alias("_w"))
+    asks = left.groupBy(*keys, "_bin", F.col("_lo").alias("_from"), F.col("_hi").alias("_to")).agg(F.collect_list(F.struct("_i", "_at")).alias("_w"))
     inside = (F.col("_v") >= F.col("_from")) & (F.col("_v") <= F.col("_to"))
     own = joined(rows, asks.select(*parent), [*keys, "_bin"], on=inside)
     part = F.floor((F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from")) * FINER)
@@ -135,7 +197,7 @@ def _finer(rows: DataFrame, left: DataFrame, keys: list[str], facts: list[str])
         F.filter("_w", lambda w: (w["_at"] >= F.col("_before")) & (w["_at"] < F.col("_before") + F.col("_c"))),
         lambda w: F.struct(w["_i"].alias("_i"), (w["_at"] - F.col("_before")).alias("_at")),
     )
-    return bins.withColumn("_w", held).where(F.size("_w") > 0).select(*keys, *facts, "_bin", "_c", "_lo", "_hi", F.inline("_w"))
+    return bins.withColumn("_w", held).where(F.size("_w") > 0).select(*keys, "_bin", "_c", "_lo", "_hi", F.inline("_w"))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, str | Column]) -> DataFrame:

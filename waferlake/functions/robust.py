@@ -28,17 +28,28 @@ def spread_of(mad: Column, q1: Column, q3: Column, std: Column) -> Column:
 def profile(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Per group: n, median, std (0 for one value), spread, v_min, v_max."""
     keys = list(keys)
-    # read once for the quartiles and once for the deviations, or more often where bins have to be narrowed
+    # read once for the bins, and again only where bins have to be narrowed
     rows = staged(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x")), "values")
-    q = staged(ordered.quantiles(rows, keys, "_x", {"_q1": 0.25, "median": 0.5, "_q3": 0.75}, moments=True), "quartiles")
-    away = ordered.joined(rows, q.select(*keys, "median"), keys).withColumn("_d", F.abs(F.col("_x") - F.col("median")))
-    out = ordered.joined(q, ordered.quantiles(away, keys, "_d", {"_mad": 0.5}), keys)
-    return out.select(
+    q = staged(ordered.quantiles(rows, keys, "_x", {"_q1": 0.25, "median": 0.5, "_q3": 0.75}, spread_of="median"), "quartiles")
+    open_groups = q.where("mad IS NULL").select(*keys, "median")
+    if not open_groups.isEmpty():
+        away = ordered.joined(rows, open_groups, keys).withColumn("_d", F.abs(F.col("_x") - F.col("median")))
+        q = ordered.joined(q, ordered.quantiles(away, keys, "_d", {"_mad": 0.5}), keys, "left")
+        q = q.withColumn("mad", F.coalesce("mad", "_mad"))
+    return q.select(
         *keys, "n", "median", F.coalesce("std", F.lit(0.0)).alias("std"),
-        spread_of(F.col("_mad"), F.col("_q1"), F.col("_q3"), F.col("std")).alias("spread"), "v_min", "v_max",
+        spread_of(F.col("mad"), F.col("_q1"), F.col("_q3"), F.col("std")).alias("spread"), "v_min", "v_max",
     )
 
 
 def profile_wide(shots: DataFrame, keys: Sequence[str], items: Sequence[str]) -> DataFrame:
-    """``profile`` of every item column, as rows of (keys, item, ...)."""
-    return profile(shots.unpivot(list(keys), list(items), "item", "_v"), [*keys, "item"], "_v")
+    """``profile`` of every item column, as rows of (keys, item, ...).
+
+    Groups get numbers first, so that one number and not all key texts goes
+    through the shuffles with every value.
+    """
+    keys, items = list(keys), list(items)
+    wide = staged(shots.select(*keys, *items), "wide")
+    ids = staged(wide.select(*keys).distinct().withColumn("_g", F.monotonically_increasing_id()), "groups")
+    long = ordered.joined(wide, ids, keys).unpivot(["_g"], items, "item", "_v")
+    return profile(long, ["_g", "item"], "_v").join(ids, "_g").select(*keys, "item", "n", "median", "std", "spread", "v_min", "v_max")

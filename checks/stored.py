@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks import columns  # noqa: F401  registers what is used below
 from checks.base import query
 from checks.common import R, RI, W, WI, chain, robust
 from checks.core import KR, KRI, li, pts

@@ -13,6 +13,13 @@ from waferlake.session import staged
 REQUEST = ["report_id", "vehicle", "lot_id", "root_lot_id", "step_id", "as_of", "days"]
 
 
+def _in_days(stored: DataFrame, requests: DataFrame) -> DataFrame:
+    """Stored rows of the vehicles and days of each request."""
+    day = F.explode(F.sequence(F.date_sub("as_of", F.col("days")), F.col("as_of")))
+    wide = requests.select("report_id", "vehicle", F.col("lot_id").alias("_lot"), F.col("root_lot_id").alias("_root"), F.col("step_id").alias("_step"), day.alias("date"))
+    return stored.join(wide, ["vehicle", "date"])
+
+
 def scoped(stored: DataFrame, requests: DataFrame) -> DataFrame:
     """Rows of every request with its ``report_id``; a row may serve several.
 
@@ -26,9 +33,7 @@ def scoped(stored: DataFrame, requests: DataFrame) -> DataFrame:
     all steps, or, if the lot has no row, every lot whose name starts with the
     root. ``is_target`` marks the rows of the lot itself, or those that stand for it.
     """
-    day = F.explode(F.sequence(F.date_sub("as_of", F.col("days")), F.col("as_of")))
-    wide = requests.select("report_id", "vehicle", F.col("lot_id").alias("_lot"), F.col("root_lot_id").alias("_root"), F.col("step_id").alias("_step"), day.alias("date"))
-    rows = stored.join(wide, ["vehicle", "date"])
+    rows = _in_days(stored, requests)
     strict = F.col("_root").isNotNull() & F.col("_step").isNotNull()
     same = F.coalesce(F.col("lot_id") == F.col("_lot"), F.lit(False))
     kind = (

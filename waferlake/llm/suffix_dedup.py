@@ -28,10 +28,10 @@ from pyspark.sql.window import Window
 from waferlake.llm.common import partitions, staged
 
 GRAM = 16
-PIECE = 1 << 20
-BLOCK = 1 << 22
-FLUSH = 48 << 20
-EXPAND = 1 << 20
+PIECE = 1 << 19
+BLOCK = 1 << 20
+FLUSH = 32 << 20
+EXPAND = 1 << 18
 #: sampled anchors for each bucket, each the one of so many in its text
 SAMPLED, THIN = 128, 16
 NO_ID = 2**63 - 1

@@ -162,11 +162,13 @@ def test_importance(spark, hard):
 def test_importance_words():
     """Overlapped spans are the runs of consecutive words, also where words repeat or a separator is a letter's neighbour."""
     rx = [importance.scanner(n) for n in (1, 2, 3)]
-    for text in ("", "...", "A", "a a a a", "B-52s, don't stop", "é\u00a0x\ty", "x" * 5000 + " y"):
-        n, got = importance.buckets_of(text.encode(), rx, 10_000)
-        w = brute.alnum(text)
-        want = sorted(importance.zlib.crc32(" ".join(w[i : i + k]).encode()) % 10_000 for k in (1, 2, 3) for i in range(len(w) - k + 1))
-        assert n == len(w) and got.tolist() == want
+    texts = ["", "...", "A", "a a a a", "B-52s, don't stop", "", "é\u00a0x\ty", "x" * 5000 + " y " + "z" * 200 + " " + "q" * 60, None]
+    for some in ([t] for t in texts), (texts,):
+        for run in some:
+            for text, (n, got) in zip(run, importance.buckets_of([None if t is None else t.encode() for t in run], rx, 10_000), strict=True):
+                w = brute.alnum(text)
+                want = sorted(importance.zlib.crc32(" ".join(w[i : i + k]).encode()) % 10_000 for k in (1, 2, 3) for i in range(len(w) - k + 1))
+                assert n == len(w) and got.tolist() == want
 
 
 def test_repeats(spark, hard):

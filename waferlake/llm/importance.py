@@ -17,6 +17,7 @@ from waferlake.llm.common import checkpoint_dir, partitions, staged
 
 #: per byte: A-Z lower-cased, digits, letters and bytes past ASCII as they are, everything else a space
 PLAIN = bytes(b + 32 if 65 <= b < 91 else b if b >= 128 or 48 <= b < 58 or 97 <= b < 123 else 32 for b in range(256))
+RUN = 1 << 18
 SKETCH = "n_words long, n_features long, steps binary"
 
 
@@ -50,33 +51,61 @@ def _extended(crc: np.ndarray, length: np.ndarray | int) -> np.ndarray:
     return out
 
 
-def buckets_of(text: bytes | None, scanners: list[regex.Pattern], size: int) -> tuple[int, np.ndarray]:
-    """Number of words of a UTF-8 text, and the buckets of all its n-grams, ascending.
+def buckets_of(texts: list[bytes | None], scanners: list[regex.Pattern], size: int) -> list[tuple[int, np.ndarray]]:
+    """For each UTF-8 text its number of words, and the buckets of all its n-grams, ascending.
 
     Separators collapse to single spaces, so an n-gram is a plain span of the text. The overlapped scan goes
     on one byte after a match began, which gives the run that starts at the next word. The first scan also
     carries the CRC of the text so far; that of a span is what its end has beyond its start.
     """
-    line = b" ".join([b"", *(text or b"").translate(PLAIN).split(), b""])
-    crc, state = zlib.crc32, 0
-    prefix, ends = [], []
-    for m in scanners[0].finditer(line, overlapped=True):
-        prefix.append(state := crc(m[0], state))
-        ends.append(m.end())
-    done, end = np.array(prefix, np.uint32), np.array(ends, np.int64)
-    start = np.append(0, end[:-1]) + 1
-    before = _extended(np.append(np.uint32(0), done[:-1]), 1) ^ SPACE
+    crc = zlib.crc32
+    lines = [b" ".join([b"", *(t or b"").translate(PLAIN).split(), b""]) for t in texts]
+    stops: list[list[int]] = [[] for _ in scanners]
+    counts = [[] for _ in scanners]
+    prefix: list[int] = []
+    for line in lines:
+        state, had = 0, len(prefix)
+        for m in scanners[0].finditer(line, overlapped=True):
+            prefix.append(state := crc(m[0], state))
+            stops[0].append(m.end())
+        counts[0].append(len(prefix) - had)
+        for n in range(1, len(scanners)):
+            own = [m.end() for m in scanners[n].finditer(line, overlapped=True)]
+            stops[n] += own
+            counts[n].append(len(own))
+    words = np.array(counts[0], np.int64)
+    offset = np.cumsum(words) - words
+    done, end = np.array(prefix, np.uint32), np.array(stops[0], np.int64)
+    # a text's first word starts after one space, every other after the word before and a space
+    heads = offset[words > 0]
+    start, before = np.roll(end, 1), np.roll(done, 1)
+    start[heads], before[heads] = 0, 0
+    start, before = start + 1, _extended(before, 1) ^ SPACE
     found = []
-    for n, rx in enumerate(scanners):
-        stop = np.array([m.end() for m in rx.finditer(line, overlapped=True)], np.int64) if n else end
-        # the k-th match starts with the k-th word and ends with the n-th from there
-        length = stop - start[: len(stop)]
-        code = done[n : n + len(stop)] ^ _extended(before[: len(stop)], np.minimum(length, LONGEST))
+    for n in range(len(scanners)):
+        # the k-th match of a text starts with its k-th word and ends with the n-th from there
+        count = np.array(counts[n], np.int64)
+        first = np.arange(count.sum()) + np.repeat(offset - (np.cumsum(count) - count), count)
+        length = np.array(stops[n], np.int64) - start[first]
+        code = done[first + n] ^ _extended(before[first], np.minimum(length, LONGEST))
         for k in np.flatnonzero(length > LONGEST):
-            code[k] = crc(line[start[k] : stop[k]])
-        found.append(code)
-    buckets = np.concatenate(found) % np.uint32(size)
-    return len(end), np.sort(buckets.astype(np.uint16), kind="stable").astype(np.uint32) if size <= 1 << 16 else np.sort(buckets)
+            own = int(np.searchsorted(np.cumsum(count), k, "right"))
+            code[k] = crc(lines[own][start[first[k]] : stops[n][k]])
+        found.append(np.split((code % np.uint32(size)).astype(np.uint16 if size <= 1 << 16 else np.uint32), np.cumsum(count)[:-1]))
+    return [(int(w), np.sort(np.concatenate(own), kind="stable").astype(np.uint32)) for w, own in zip(words, zip(*found))]
+
+
+def _runs(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    """Neighbouring texts of some RUN bytes together; a longer text is a run of its own."""
+    run, room = [], RUN
+    for t in texts:
+        run.append(t)
+        room -= len(t or b"")
+        if room <= 0:
+            yield run
+            run, room = [], RUN
+    if run:
+        yield run
 
 
 def sketches(texts: DataFrame, text_col: str, grams: int, size: int) -> DataFrame:
@@ -87,7 +116,8 @@ def sketches(texts: DataFrame, text_col: str, grams: int, size: int) -> DataFram
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanners = [scanner(n + 1) for n in range(grams)]
         for batch in batches:
-            rows = [buckets_of(t, scanners, size) for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
+            texts = batch.column(text_col).cast(pa.binary()).to_pylist()
+            rows = [r for some in _runs(texts) for r in buckets_of(some, scanners, size)]
             made = [
                 pa.array([n for n, _ in rows], pa.int64()),
                 pa.array([len(b) for _, b in rows], pa.int64()),

@@ -15,8 +15,8 @@ def scored(spark, vals, direction, lim=Limits(), others=40):
     rows = calm + [("V", "S", "T", 2, "A", float(v)) for v in vals]
     pts = spark.createDataFrame(rows, "vehicle string, step_id string, lot_id string, wafer_id int, item string, value double")
     items = item_frame(spark, [Item("REAL", "A", direction=direction)])
-    w = detect.wafer_stats(pts, 1000)
-    out = detect.score_wafers(w, detect.product_baseline(w, 1000), items, pts, lim, 1000)
+    w = detect.wafer_stats(pts)
+    out = detect.score_wafers(w, detect.product_baseline(w), items, pts, lim)
     return out.where("lot_id = 'T'").collect()[0]
 
 

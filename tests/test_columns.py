@@ -136,8 +136,8 @@ def test_archive_and_basis(spark, tmp_path):
     sinks.write_basis(df, f"{tmp_path}/basis")
     assert spark.read.option("header", True).csv(f"{tmp_path}/basis").collect()[0]["xs"] == "[1,2]"
     assert sinks.target_rows(df, df).count() == 1
-    path = ledger.write_ledger(df, str(tmp_path / "ledger"))
-    assert spark.read.parquet(path).count() == 1
+    assert ledger.write_ledger(df, str(tmp_path / "ledger")) == 1
+    assert ledger.ledger_as_of(spark, str(tmp_path / "ledger")).count() == 1
 
 
 def test_completion_delay_and_memory(spark):

@@ -21,6 +21,12 @@ class Report:
     shots: DataFrame
     items: Sequence[Item]
     limits: Limits = Limits()
+    #: whether the shots are a stored table already
+    is_stored: bool = False
+
+    def stored(self) -> Report:
+        """The same over shots that are computed once and stored, for plans that read them more than once."""
+        return self if self.is_stored else replace(self, shots=staged(self.shots, "shots"), is_stored=True)
 
     @property
     def names(self) -> list[str]:
@@ -50,9 +56,9 @@ class Report:
         return detect.wafer_stats_wide(self.shots, self.names)
 
     def scored(self) -> DataFrame:
-        w = self.wafers()
-        base = detect.product_baseline(w)
-        return detect.score_wafers(w, base, self.item_dim, self.points, self.lim)
+        r = self.stored()
+        w = r.wafers()
+        return detect.score_wafers(w, detect.product_baseline(w), r.item_dim, r.points, r.lim)
 
     def items_scored(self, scored: DataFrame | None = None) -> DataFrame:
         return detect.item_stats(self.scored() if scored is None else scored, self.lim)
@@ -118,7 +124,7 @@ class Report:
         The shots, the scored wafers and the few out points are each read by
         several branches, so each is computed once and stored.
         """
-        r = Report(staged(self.shots, "shots"), self.items, self.limits)
+        r = self.stored()
         scored, out = staged(r.scored(), "scored"), staged(r.out_points(), "out")
         key = detect.REPORT_ITEM
         over = overlap.overlap_counts(overlap.shot_overlap(r.shots, r.items))

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
+import json
 
 import numpy as np
 import pandas as pd
 import regex
-import tiktoken
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waferlake.llm.common import partitions, staged
 
 CHUNK_CHARS = 4_000_000
+#: distinct words a task remembers; beyond it the memory starts anew
+REMEMBERED = 500_000
+#: parts a chunk's words are dealt to, for each shuffle partition
+PARTS = 4
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -28,75 +34,151 @@ def _pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
-def _chunks(docs: DataFrame, pattern: str, text_col: str) -> DataFrame:
-    """One row per document with the positions of its pre-tokens as numbers in its chunk's word list, and one
-    row per chunk with that list. A chunk is a run of rows of one partition, of about CHUNK_CHARS characters;
-    a longer text is a chunk of its own. Written once, so the chunk numbers do not change on a rerun."""
+def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Token ids of one pre-token: the adjacent pair of least rank is joined first, the leftmost of equal ones.
+
+    Open pairs wait in a heap, so a word of any length takes n log n steps.
+    """
+    if word in ranks:
+        return [ranks[word]]
+    n = len(word)
+    ends = list(range(1, n + 1))  # end of the part that starts here, 0 once it is joined to its left
+    before = list(range(-1, n))
+    open_pairs = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(open_pairs)
+    while open_pairs:
+        _, i, end = heapq.heappop(open_pairs)
+        mid = ends[i]
+        if not mid or mid >= n or ends[mid] != end:  # one of its parts has changed since
+            continue
+        ends[i], ends[mid] = end, 0
+        if end < n:
+            before[end] = i
+            if (r := ranks.get(word[i : ends[end]])) is not None:
+                heapq.heappush(open_pairs, (r, i, ends[end]))
+        if (left := before[i]) >= 0 and (r := ranks.get(word[left:end])) is not None:
+            heapq.heappush(open_pairs, (r, left, end))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : ends[i]]])
+        i = ends[i]
+    return out
+
+
+def _pack(*arrays) -> bytes:
+    """Arrays of 32-bit numbers as one compressed value."""
+    return zstandard.compress(np.concatenate([np.asarray(a, np.uint32) for a in arrays]).tobytes(), 3)
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint32)
+
+
+def _chunks(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
+    """For each chunk, a run of rows of one partition of about CHUNK_CHARS characters (a longer text is one of its
+    own): one row with the row keys and the positions of their pre-tokens as numbers in the chunk's word list
+    (`_part` null), and one row per part of that list, a word's part being its hash."""
 
     def split(frames):
         from pyspark import TaskContext
 
         find = _pattern(pattern).findall
-        part, number = TaskContext.get().partitionId(), 0
+        task, number = TaskContext.get().partitionId(), 0
         words: dict[str, int] = {}
-        rows, room = [], CHUNK_CHARS
+        keys, streams, room = [], [], CHUNK_CHARS
 
         def emit():
-            frame = pd.DataFrame(rows, columns=["_row", "_ids"])
-            frame["_chunk"] = f"{part}-{number}"
-            frame["_words"] = None
-            yield frame
-            yield pd.DataFrame({"_row": [None], "_ids": [None], "_chunk": [f"{part}-{number}"], "_words": [list(words)]})
+            at = pd.util.hash_array(np.array(list(words), object)).astype(np.uint64) % np.uint64(parts) if words else np.zeros(0, np.uint64)
+            order = np.argsort(at, kind="stable")
+            listed = list(words)
+            cuts = np.flatnonzero(np.diff(at[order])) + 1
+            groups = np.split(order, cuts) if len(order) else []
+            body = _pack([len(order)], order, *streams)
+            rows = [(None, keys, [len(s) for s in streams], body)]
+            rows += [(int(at[g[0]]), None, None, zstandard.compress(json.dumps([listed[i] for i in g], ensure_ascii=False).encode(), 3)) for g in groups]
+            frame = pd.DataFrame(rows, columns=["_part", "_keys", "_sizes", "_body"])
+            frame["_part"] = frame["_part"].astype("Int32")
+            frame.insert(0, "_chunk", (task << 32) + number)
+            return frame
 
         for f in frames:
-            for row, text in zip(f["_row"], f["_text"]):
+            for key, text in zip(f["_row"], f["_text"]):
                 own = find(text)
-                rows.append((row, np.fromiter((words.setdefault(w, len(words)) for w in own), np.uint32, len(own)).tobytes()))
+                streams.append(np.fromiter((words.setdefault(w, len(words)) for w in own), np.uint32, len(own)))
+                keys.append(key)
                 room -= len(text)
                 if room <= 0:
-                    yield from emit()
-                    rows, room, number = [], CHUNK_CHARS, number + 1
+                    yield emit()
+                    keys, streams, room, number = [], [], CHUNK_CHARS, number + 1
                     words.clear()
-        if rows:
-            yield from emit()
+        if keys:
+            yield emit()
 
-    return docs.select(F.col("_row"), F.coalesce(text_col, F.lit("")).alias("_text")).mapInPandas(split, "_row binary, _ids binary, _chunk string, _words array<string>")
+    return docs.mapInPandas(split, "_chunk long, _part int, _keys array<string>, _sizes array<int>, _body binary")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) of every row; `ids` are the token ids as little-endian 32-bit integers.
 
-    Pre-tokens keep their positions in numbered word lists of row chunks. The lists are shuffled by word, each
-    distinct word of the corpus is encoded once, and (chunk, number, ids) comes back and is put together by
-    chunk and position. A word in many chunks has one row per
-    chunk, not one per place. A null or empty text
-    has no ids; null ids and repeated rows are kept.
+    Pre-tokens keep their positions as numbers in the word lists of row chunks. The lists are dealt by the words'
+    hashes, so that all places of a word meet in one task and it is encoded once there (a task with more than
+    REMEMBERED distinct words may encode one again); the ids return to the chunks and are put together by
+    position. A word in many chunks is sent once per chunk, packed with the chunk's other words of its part, never
+    once per place. A null or empty text has no ids, an empty table gives no rows, a very long text is a chunk of
+    its own; null ids, empty ids and repeated rows are kept. Only id and text are read, so other columns cannot clash.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
-    plain = docs.select(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "utf-8").alias("_row"), F.col(text_col).alias("_t"))
-    chunks = staged(_chunks(plain, pattern, "_t"), "bpe-chunks")
-    lists = chunks.where(F.col("_words").isNotNull()).select("_chunk", F.posexplode("_words").alias("_n", "_word"))
+    n = partitions(docs)
+    plain = docs.select(F.col(id_col).cast("string").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    # written once, so that chunk numbers do not change on a rerun
+    chunks = staged(_chunks(plain, pattern, n * PARTS), "bpe-chunks")
 
     def merge(frames):
-        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
+        own, known = shared.value, {}
         for f in frames:
-            yield pd.DataFrame({"_word": f["_word"], "_piece": [np.array(enc._encode_single_piece(w.encode()), np.uint32).tobytes() for w in f["_word"]]})
-
-    table = staged(lists.select("_word").distinct().mapInPandas(merge, "_word string, _piece binary"), "bpe-words")
-    pieces = lists.join(table, "_word").select(F.col("_chunk").alias("_of"), "_n", "_piece")
-    streams = chunks.where(F.col("_words").isNull()).select("_chunk", "_row", "_ids")
+            out = []
+            for body in f["_body"]:
+                lens, flat = [], []
+                for w in json.loads(zstandard.decompress(body)):
+                    ids = known.get(w)
+                    if ids is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        ids = known[w] = merge_word(w.encode(), own)
+                    lens.append(len(ids))
+                    flat += ids
+                out.append(_pack([len(lens)], lens, flat))
+            yield pd.DataFrame({"_of": f["_chunk"], "_at": f["_part"], "_ids": out})
+
+    dealt = chunks.where(F.col("_part").isNotNull()).select("_chunk", "_part", "_body").repartition(n, "_part").sortWithinPartitions("_part")
+    pieces = dealt.mapInPandas(merge, "_of long, _at int, _ids binary")
+    streams = chunks.where(F.col("_part").isNull()).drop("_part")
 
     def assemble(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        by = np.empty(len(right), object)
-        by[right["_n"].to_numpy()] = right["_piece"].to_numpy()
-        out = [b"".join(by[np.frombuffer(x, np.uint32)]) if len(x) else b"" for x in left["_ids"]]
-        return pd.DataFrame({"_row": left["_row"], "ids": out})
-
-    n = partitions(docs)
-    done = streams.repartition(n, "_chunk").groupBy("_chunk").cogroup(pieces.repartition(n, "_of").groupBy("_of")).applyInPandas(assemble, "_row binary, ids binary")
-    kind = docs.schema[id_col].dataType
-    return done.select(F.nullif(F.decode("_row", "utf-8"), F.lit("")).cast(kind).alias(id_col), "ids")
+        lens, flat = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+        for data in right.sort_values("_at")["_ids"]:
+            x = _numbers(data)
+            lens.append(x[1 : 1 + x[0]])
+            flat.append(x[1 + x[0] :])
+        lens, flat = np.concatenate(lens).astype(np.int64), np.concatenate(flat)
+        rows = []
+        for keys, sizes, body in zip(left["_keys"], left["_sizes"], left["_body"]):
+            x = _numbers(body)
+            order, places = x[1 : 1 + x[0]], x[1 + x[0] :]
+            length, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            length[order], start[order] = lens, np.cumsum(lens) - lens
+            lo = 0
+            for key, size in zip(keys, sizes):
+                own = places[lo : lo + size]
+                lo += size
+                per = length[own]
+                at = np.repeat(start[own] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+                rows.append((key, flat[at].tobytes()))
+        return pd.DataFrame(rows, columns=["_row", "ids"])
+
+    done = streams.repartition(n, "_chunk").groupBy("_chunk").cogroup(pieces.repartition(n, "_of").groupBy("_of")).applyInPandas(assemble, "_row string, ids binary")
+    return done.select(F.col("_row").cast(docs.schema[id_col].dataType).alias(id_col), "ids")
 
 
 def token_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:

@@ -257,3 +257,46 @@ def test_nearest(width):
     order = vector_codes.sequency(16)
     hadamard = vector_codes.transformed(np.eye(16, dtype=np.int64))
     assert len(set(order.tolist())) == 16 and [(np.diff(hadamard[:, k]) != 0).sum() for k in range(16)] == list(range(16))
+
+
+def test_near_large_groups(spark):
+    """Thousands of near copies are one component; texts that share a long licence and nothing else are none."""
+    rng = random.Random(5)
+    base, licence = [f"b{i}" for i in range(200)], [f"l{i}" for i in range(120)]
+    rows = []
+    for i in range(2000):
+        words = list(base)
+        for _ in range(2):
+            words[rng.randrange(200)] = f"e{i}x{rng.random()}"
+        rows.append((i, " ".join(words)))
+    rows += [(i, " ".join(licence + [f"u{i}x{k}" for k in range(rng.randrange(40, 200))])) for i in range(2000, 3000)]
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == {i: 0 if i < 2000 else i for i in range(3000)}
+
+
+def test_near_bitmaps_keep_links(spark):
+    """No pair of sets at the threshold is ruled out by its bitmaps or sketch bounds."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(400):
+        n = int(rng.integers(1, 120))
+        m = int(rng.integers(n, max(n, int(n / 0.8)) + 1))
+        both = min(n, -(-4 * (n + m) // 9))
+        pool = np.unique(rng.integers(0, 2**63, n + m - both, dtype=np.uint64))
+        x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n:]]))
+        if 100 * both >= 80 * len(pool):
+            rows.append((len(x), near_dedup.bitmap(x[:64]).tolist(), len(y), near_dedup.bitmap(y[:64]).tolist()))
+    df = spark.createDataFrame(rows, "n long, x array<long>, m long, y array<long>")
+    assert len(rows) > 100 and df.where(near_dedup.may_share("x", "y", "n", "m")).count() == len(rows)
+
+
+def test_bpe_merges_and_ids(spark):
+    """The merge loop gives the library's ids on random words; an empty id stays apart from a null one."""
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdeinorst éЖ漢0.") for _ in range(rng.choice((1, 2, 3, 7, 15, 60)))) for _ in range(3000)] + ["a" * 5001, "ab" * 3000]
+    assert [byte_bpe.merge_word(w.encode(), ranks) for w in words] == [enc._encode_single_piece(w.encode()) for w in words]
+    got = byte_bpe.encode(spark.createDataFrame([("", "a"), (None, "b")], "doc_id string, text string"), ranks, public_tokenizers.PATTERN)
+    assert {r.doc_id for r in got.collect()} == {"", None}

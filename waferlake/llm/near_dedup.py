@@ -16,6 +16,10 @@ from waferlake.llm.common import SPACE_WORD, ascii_lower, partitions, staged
 SKETCH = 64
 #: of SKETCH retained values a pair at the threshold shares 51 on average, deviation 3; fewer than this does not happen
 SHARED = 30
+#: least hashes kept of a set in the second look at a pair; sets of this size or less are compared exactly there.
+#: A pair at the threshold shares 205 of them on average, deviation 6.4; fewer than FULL_SHARED does not happen
+FULL = 256
+FULL_SHARED = 160
 BLOCK = 256
 CACHE = 300_000
 
@@ -41,37 +45,72 @@ def text_key(words: list[str]) -> bytes | None:
 
 
 def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, n_shingles, sketch): `text_key` is a digest of the word sequence, `sketch` the SKETCH least
-    hashes of the set. Staged, as everything after it reads it."""
+    """(id, row_key, text_key, n_shingles, sketch, bits): `row_key` is a hash of the text as it stands, `text_key` a
+    digest of the word sequence, `sketch` the SKETCH least hashes of the set and `bits` their bitmap of 512 bits.
+    Staged, as everything after it reads it."""
 
-    @F.pandas_udf("text_key binary, n_shingles long, sketch array<long>")
+    @F.pandas_udf("text_key binary, n_shingles long, sketch array<long>, bits array<long>")
     def make(texts: pd.Series) -> pd.DataFrame:
         cache, out = {}, []
         for t in texts:
             words = SPACE_WORD.findall(ascii_lower(t or ""))
             own = shingle_set(words, width, cache)
-            out.append((text_key(words), len(own), own[:SKETCH].view(np.int64)))
-        return pd.DataFrame(out, columns=["text_key", "n_shingles", "sketch"])
+            out.append((text_key(words), len(own), own[:SKETCH].view(np.int64), bitmap(own[:SKETCH])))
+        return pd.DataFrame(out, columns=["text_key", "n_shingles", "sketch", "bits"])
 
-    made = docs.select(F.col(id_col).alias("_id"), make(text_col).alias("_m")).select("_id", "_m.*")
+    made = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("row_key"), make(text_col).alias("_m")).select("_id", "row_key", "_m.*")
     return staged(made, "sketches")
 
 
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """512 bits as eight longs, one bit for each value by its lowest nine bits."""
+    at = (values % np.uint64(512)).astype(np.int64)
+    out = np.zeros(8, np.uint64)
+    np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return out.view(np.int64)
+
+
+def may_share(x: str, y: str, nx: str, ny: str):
+    """False only for bitmaps whose sketches share fewer values than a pair at the threshold must.
+
+    Values that fall on one bit of x are lost to the count, so they are granted; a shared value always leaves
+    its bit in both."""
+    ones = lambda of: sum((F.bit_count(of(i)) for i in range(8)), F.lit(0))
+    both = ones(lambda i: F.col(x)[i].bitwiseAND(F.col(y)[i]))
+    lost = F.least(F.col(nx), F.lit(SKETCH)) - ones(lambda i: F.col(x)[i])
+    return both + lost >= F.least(least_shared(F.col(nx)), least_shared(F.col(ny)))
+
+
+def least_shared(n):
+    """Values a set of n shares, in the sketches, with any set at the threshold.
+
+    A set that fits its sketch meets its partner in c >= 4 (n + m) / 9 values, of which the partner's sketch of a
+    set of m > SKETCH may miss m - SKETCH; the least over all m from 0.8 n to n / 0.8 is where m is largest, or
+    four fifths of n where the partner is no larger than the sketch. Larger sets go by SHARED."""
+    whole = F.ceil(4 * n / F.lit(5))
+    cut = n - F.greatest(F.floor(5 * n / F.lit(4)) - SKETCH, F.lit(0))
+    return F.when(n <= SKETCH, F.least(whole, cut)).otherwise(SHARED).cast("int")
+
+
 def _candidates(reps: DataFrame) -> DataFrame:
-    """(value, rep, n): every representative under its rarest retained values. Two sets that share SHARED of
-    their SKETCH values share one of the first SKETCH - SHARED + 1 in any common order; a set that fits its
-    sketch whole needs a fifth of its values and one more. Values nobody shares are left out afterwards."""
+    """(value, rep, n): every representative under its rarest retained values. Two sets that share s of their k
+    retained values share one of the first k - s + 1 in any common order, s being `least_shared`. Values nobody
+    shares are left out afterwards."""
     entries = reps.select("rep", "n", F.explode("sketch").alias("v"))
-    used = entries.groupBy("v").agg(F.count("*").alias("holders"))
-    ranked = entries.join(used, "v").withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("holders", "v")))
-    length = F.when(F.col("n") <= SKETCH, F.col("n") - F.ceil(F.col("n") * 0.8) + 1).otherwise(SKETCH - SHARED + 1)
-    # a small set may meet one beyond its sketch only if that one is at most a quarter larger
-    length = F.when((F.col("n") > 0.8 * SKETCH - 1) & (F.col("n") <= SKETCH), F.greatest(length, F.lit(SKETCH - SHARED + 1))).otherwise(length)
-    return staged(ranked.where((F.col("at") <= length) & (F.col("holders") > 1)).select("v", "rep", "n"), "inverted")
+    used = entries.groupBy("v").agg(F.count("*").alias("holders")).where(F.col("holders") > 1)
+    # a value of one holder sorts first and takes a place, but is not sent: its rank is known by counting
+    ranked = entries.join(used, "v")
+    places = Window.partitionBy("rep").orderBy("holders", "v")
+    kept = F.least(F.col("n"), F.lit(SKETCH))
+    ranked = ranked.withColumn("at", F.row_number().over(places) + kept - F.count("*").over(Window.partitionBy("rep")))
+    return staged(ranked.where(F.col("at") <= kept - least_shared(F.col("n")) + 1).select("v", "rep", "n"), "inverted")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b) whose sketches do not rule them out and whose full sets pass 100 * both >= 80 * either."""
+    """Pairs (a, b) whose sketches do not rule them out and whose full sets pass 100 * both >= 80 * either.
+
+    `reps` names a row of each representative by id and text hash in `top`, `texts` holds the rows. A pair is looked at by sketches of SKETCH values, then by
+    sketches of FULL, made once for each text still wanted, and only larger sets that pass both by their texts."""
 
     @F.pandas_udf("boolean")
     def near(na: pd.Series, sa: pd.Series, nb: pd.Series, sb: pd.Series) -> pd.Series:
@@ -86,8 +125,22 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -
         return pd.Series(out)
 
     @F.pandas_udf("binary")
-    def key_of(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: text_key(SPACE_WORD.findall(ascii_lower(t))))
+    def wide(texts: pd.Series) -> pd.Series:
+        cache = {}
+        return texts.map(lambda t: shingle_set(SPACE_WORD.findall(ascii_lower(t)), width, cache)[:FULL].tobytes())
+
+    @F.pandas_udf("int")
+    def closer(na: pd.Series, wa: pd.Series, nb: pd.Series, wb: pd.Series) -> pd.Series:
+        """1 for a link, 0 for none, -1 where only the texts can tell."""
+        out = []
+        for n, x, m, y in zip(na, wa, nb, wb):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            shared = np.intersect1d(x, y, True)
+            if n <= FULL and m <= FULL:
+                out.append(int(100 * len(shared) >= 80 * (n + m - len(shared))))
+            else:
+                out.append(-1 if len(np.intersect1d(shared, np.union1d(x, y)[:FULL], True)) >= FULL_SHARED else 0)
+        return pd.Series(out)
 
     @F.pandas_udf("boolean")
     def same(ta: pd.Series, tb: pd.Series) -> pd.Series:
@@ -114,16 +167,26 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -
         wide = wide.select(F.col("rep").alias(key), "_salt", *[F.col(c).alias(n) for c, n in names.items()])
         return salted.join(wide, [key, "_salt"]).drop("_salt")
 
+    def held(pairs: DataFrame) -> DataFrame:
+        """(rep, t) of the pairs' representatives: only their texts go on, found by id and text hash."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("_r")).distinct()
+        keys = reps.join(wanted, F.col("rep") == F.col("_r")).select("rep", F.col("top._id").alias("_i"), F.col("top.row_key").alias("_k"))
+        found = texts.join(keys, (F.col("_id") == F.col("_i")) & (F.col("row_key") == F.col("_k")))
+        return found.groupBy("rep").agg(F.first("_t").alias("t"))
+
     slim = reps.select("rep", "n", "sketch")
     left = attach(pairs, slim, "a", {"n": "na", "sketch": "sa"})
     both = attach(left, slim, "b", {"n": "nb", "sketch": "sb"})
-    likely = staged(both.where(near("na", "sa", "nb", "sb")).select("a", "b"), "likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    # an id may carry several texts: the one with the representative's words is taken
-    held = texts.join(wanted.withColumn("_rid", F.col("rep.id")), texts["_id"] == F.col("_rid")).where(F.xxhash64(key_of("_t")) == F.col("rep.k"))
-    full = staged(held.groupBy("rep").agg(F.min("_t").alias("t")), "verify-texts")
-    both = attach(attach(likely, full, "a", {"t": "ta"}), full, "b", {"t": "tb"})
-    return staged(both.where(same("ta", "tb")).select("a", "b"), "links")
+    likely = staged(both.where(near("na", "sa", "nb", "sb")).select("a", "b", "na", "nb"), "likely")
+    # sets that fit their sketches are decided by then
+    small = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH)
+    open_pairs = likely.where(~small)
+    second = staged(held(open_pairs).select("rep", wide("t").alias("w"), "t"), "second-sketches")
+    judged = attach(attach(open_pairs, second, "a", {"w": "wa"}), second, "b", {"w": "wb"})
+    judged = staged(judged.select("a", "b", closer("na", "wa", "nb", "wb").alias("link")).where(F.col("link") != 0), "judged")
+    unsure = judged.where(F.col("link") < 0).select("a", "b")
+    last = attach(attach(unsure, second, "a", {"t": "ta"}), second, "b", {"t": "tb"}).where(same("ta", "tb"))
+    return staged(likely.where(small).select("a", "b").union(judged.where(F.col("link") > 0).select("a", "b")).union(last.select("a", "b")), "links")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -168,12 +231,13 @@ def groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: st
     sk = sketches(docs, width, id_col, text_col)
     known = sk.where(F.col("_id").isNotNull() & (F.col("n_shingles") > 0))
     # the class of a word sequence: partial aggregates, so a class of any size is one row per task
-    classes = known.groupBy("text_key").agg(F.min("_id").alias("id"), F.count("*").alias("size"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = known.groupBy("text_key").agg(F.min("_id").alias("id"), F.count("*").alias("size"), F.min(F.struct("_id", "row_key")).alias("top"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
     # an id with several texts is represented once per text, so a representative is its id and a hash of the words;
     # the least of a component has its least id
     classes = staged(classes.withColumn("rep", F.struct("id", F.xxhash64("text_key").alias("k"))).drop("id"), "classes")
-    reps = classes.select("rep", "n", "sketch")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.col("_t").isNotNull())
+    reps = classes.select("rep", "n", "sketch", "top")
+    # the text of a representative is found by its id and the hash of the text as it stands, without splitting words anew
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("_t"))
     lists = _candidates(reps)
 
     ordered = Window.partitionBy("v").orderBy("n", "rep")
@@ -186,14 +250,19 @@ def groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: st
     links = _verified(first, reps, texts, width).union(_shared_ids(known, classes))
     comps = components(reps.select("rep"), links)
 
-    # lists that still hold several components: pairs across components only
+    # lists that still hold several components: every member outside a list's largest component meets the members of
+    # other components, so the largest one is never paired with itself
     held = lists.join(comps, "rep")
-    mixed = held.groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1")).select("v")
-    open_lists = staged(held.join(mixed, "v").withColumn("bin", F.floor(F.log("n") / F.log(F.lit(1.25)))), "open-lists")
-    # sizes within a quarter lie in the same size bin or the next one
-    right = open_lists.select("v", F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    same_bin = open_lists.join(right, ["v", "bin"]).where((F.col("comp") != F.col("cb")) & near_n(F.col("n"), F.col("nb")))
-    cross = same_bin.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    parts = held.groupBy("v", "comp").agg(F.count("*").alias("c"))
+    mains = parts.groupBy("v").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("k")).where(F.col("k") > 1).drop("k")
+    held = held.join(mains, "v").join(classes.select("rep", "bits"), "rep").withColumn("bin", F.floor(F.log("n") / F.log(F.lit(1.25))))
+    open_lists = staged(held, "open-lists")
+    # sizes within a quarter lie in the same size bin or a neighbouring one
+    left = open_lists.where(F.col("comp") != F.col("main")).drop("main")
+    right = open_lists.select("v", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("bits").alias("yb"), (F.col("comp") == F.col("main")).alias("of_main"))
+    met = left.withColumnRenamed("bits", "xb").join(right, ["v", "bin"]).where(
+        (F.col("comp") != F.col("cb")) & (F.col("of_main") | (F.col("rep") < F.col("b"))) & near_n(F.col("n"), F.col("nb")) & may_share("xb", "yb", "n", "nb"))
+    cross = met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
     cross = staged(cross.join(first, ["a", "b"], "left_anti"), "pairs")
     comps = components(reps.select("rep"), links.union(_verified(cross, reps, texts, width)))
 
@@ -202,6 +271,6 @@ def groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: st
     moved = member.where(F.col("size") > 1).select("text_key", "comp").union(classes.where(F.col("size") == 1).join(comps.where(F.col("rep") != F.col("comp")), "rep").select("text_key", "comp"))
     salts = 32
     hot = moved.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    tagged = sk.drop("sketch").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")).join(hot, ["text_key", "_salt"], "left")
+    tagged = sk.drop("sketch", "bits", "row_key").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")).join(hot, ["text_key", "_salt"], "left")
     comp = F.when(F.col("_id").isNotNull(), F.coalesce("comp.id", "_id"))
     return tagged.select(F.col("_id").alias(id_col), "n_shingles", comp.alias("component_id"), F.coalesce(F.col("_id") == comp, F.lit(True)).alias("kept"))

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import heapq
 import json
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -16,11 +17,9 @@ from pyspark.sql import functions as F
 
 from waferlake.llm.common import partitions, staged
 
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 12_000_000
 #: distinct words a task remembers; beyond it the memory starts anew
 REMEMBERED = 500_000
-#: parts a chunk's words are dealt to, for each shuffle partition
-PARTS = 4
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,12 +65,15 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _pack(*arrays) -> bytes:
-    """Arrays of 32-bit numbers as one compressed value."""
-    return zstandard.compress(np.concatenate([np.asarray(a, np.uint32) for a in arrays]).tobytes(), 3)
+    """Arrays of 32-bit numbers as one compressed value: all first bytes, then all second ones and so on, since
+    the high bytes of small numbers are nearly all zero."""
+    data = np.concatenate([np.asarray(a, np.uint32) for a in arrays])
+    return zstandard.compress(np.ascontiguousarray(data.view(np.uint8).reshape(-1, 4).T).tobytes(), 5)
 
 
 def _numbers(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), np.uint32)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
 
 
 def _chunks(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
@@ -88,14 +90,16 @@ def _chunks(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
         keys, streams, room = [], [], CHUNK_CHARS
 
         def emit():
-            at = pd.util.hash_array(np.array(list(words), object)).astype(np.uint64) % np.uint64(parts) if words else np.zeros(0, np.uint64)
-            order = np.argsort(at, kind="stable")
             listed = list(words)
-            cuts = np.flatnonzero(np.diff(at[order])) + 1
-            groups = np.split(order, cuts) if len(order) else []
-            body = _pack([len(order)], order, *streams)
-            rows = [(None, keys, [len(s) for s in streams], body)]
-            rows += [(int(at[g[0]]), None, None, zstandard.compress(json.dumps([listed[i] for i in g], ensure_ascii=False).encode(), 3)) for g in groups]
+            # frequent words get small numbers; within a part words are sent in sorted order. Both only help compression
+            rank = np.empty(len(listed), np.uint32)
+            counts = np.bincount(np.concatenate(streams), minlength=len(listed))
+            rank[np.argsort(-counts, kind="stable")] = np.arange(len(listed), dtype=np.uint32)
+            at = (pd.util.hash_array(np.array(listed, object)) % np.uint64(parts)).tolist() if listed else []
+            order = sorted(range(len(listed)), key=lambda i: (at[i], listed[i]))
+            rows = [(None, keys, [len(x) for x in streams], _pack([len(order)], rank[order], *(rank[x] for x in streams)))]
+            for part, own in groupby(order, at.__getitem__):
+                rows.append((part, None, None, zstandard.compress(json.dumps([listed[i] for i in own], ensure_ascii=False, separators=(",", ":")).encode(), 5)))
             frame = pd.DataFrame(rows, columns=["_part", "_keys", "_sizes", "_body"])
             frame["_part"] = frame["_part"].astype("Int32")
             frame.insert(0, "_chunk", (task << 32) + number)
@@ -132,7 +136,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     n = partitions(docs)
     plain = docs.select(F.col(id_col).cast("string").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     # written once, so that chunk numbers do not change on a rerun
-    chunks = staged(_chunks(plain, pattern, n * PARTS), "bpe-chunks")
+    chunks = staged(_chunks(plain, pattern, n), "bpe-chunks")
 
     def merge(frames):
         own, known = shared.value, {}

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import heapq
 import json
+import uuid
 from itertools import groupby
 
 import numpy as np
@@ -15,11 +16,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waferlake.llm.common import partitions, staged
+from waferlake.llm.common import checkpoint_dir, partitions
 
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 5_000_000
 #: distinct words a task remembers; beyond it the memory starts anew
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -121,6 +122,13 @@ def _chunks(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
     return docs.mapInPandas(split, "_chunk long, _part int, _keys array<string>, _sizes array<int>, _body binary")
 
 
+def _bucketed(df: DataFrame, buckets: int, key: str) -> DataFrame:
+    """Writes a table in buckets of `key` to the shared folder and reads it back: no shuffle now, nor for a grouping by `key`."""
+    name = f"staged_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{checkpoint_dir(df.sparkSession)}/staged/{name}").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids) of every row; `ids` are the token ids as little-endian 32-bit integers.
 
@@ -135,8 +143,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     shared = spark.sparkContext.broadcast(ranks)
     n = partitions(docs)
     plain = docs.select(F.col(id_col).cast("string").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    # written once, so that chunk numbers do not change on a rerun
-    chunks = staged(_chunks(plain, pattern, n), "bpe-chunks")
+    # written once, so that chunk numbers do not change on a rerun, and in buckets, so that the long streams are not shuffled
+    chunks = _bucketed(_chunks(plain, pattern, n), n, "_chunk")
 
     def merge(frames):
         own, known = shared.value, {}
@@ -181,7 +189,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 rows.append((key, flat[at].tobytes()))
         return pd.DataFrame(rows, columns=["_row", "ids"])
 
-    done = streams.repartition(n, "_chunk").groupBy("_chunk").cogroup(pieces.repartition(n, "_of").groupBy("_of")).applyInPandas(assemble, "_row string, ids binary")
+    done = streams.groupBy("_chunk").cogroup(pieces.repartition(n, "_of").groupBy("_of")).applyInPandas(assemble, "_row string, ids binary")
     return done.select(F.col("_row").cast(docs.schema[id_col].dataType).alias(id_col), "ids")
 
 

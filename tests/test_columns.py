@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -62,6 +63,20 @@ def test_margin_window_against_polyfit(spark):
     assert set(one(spark, **missing).values()) == {None}
 
 
+def test_margin_window_without_quadratic_part(spark):
+    """Prices of quantity^2 * (1 - discount) have none: what the rounding leaves must be what the SQL leaves."""
+    rows = [(float(round(q * q * (100 - d) / 100, 2)), float(q), d / 100) for q in range(1, 200) for d in range(0, 30)]
+    df = spark.createDataFrame(rows, "PRICE double, QTY double, DISC double").selectExpr("*", "PRICE * (1 - DISC) AS NET", "PRICE / QTY AS UNIT")
+    cols = formulas.window_margins([-1, 0, 1, 2], [F.col(c) for c in ("PRICE", "QTY", "NET", "UNIT")], float(np.log10(500.0)), 6.0)
+    got = df.select("PRICE", "QTY", "DISC", cols["plus_margin"].alias("plus"), cols["minus_margin"].alias("minus")).collect()
+    for r in got:
+        y1, y2, y3, y4 = (math.log10(x + 1e-14) for x in (r["PRICE"], r["QTY"], r["PRICE"] * (1 - r["DISC"]), r["PRICE"] / r["QTY"]))
+        a2, a1, a0 = (y1 - y2 - y3 + y4) / 4, (-11 * y1 + 3 * y2 + 7 * y3 + y4) / 20, (3 * y1 + 11 * y2 + 9 * y3 - 3 * y4) / 20
+        dd = a1 * a1 - 4 * a2 * (a0 - float(np.log10(500.0)))
+        plus, minus = (6, -6) if a2 <= 0 else (0, 0) if dd < 0 else (min((-a1 + math.sqrt(max(dd, 0.0))) / (2 * a2), 6), max((-a1 - math.sqrt(max(dd, 0.0))) / (2 * a2), -6))
+        assert (r["plus"], r["minus"]) == pytest.approx((plus, minus), abs=1e-7), r
+
+
 def test_lineage_with_shared_inputs_and_a_circle(spark):
     edges = spark.createDataFrame([("d", "b"), ("d", "c"), ("b", "a"), ("c", "a"), ("x", "y"), ("y", "x"), ("y", "a")], "alias string, ref string")
     got = {(r["alias"], r["leaf"]) for r in formulas.lineage(edges).collect()}

@@ -10,10 +10,14 @@ import ast
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from fractions import Fraction
+from math import lcm
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waferlake.schema import Item
 from waferlake.session import staged
@@ -78,6 +82,43 @@ def log10_abs(x: Column) -> Column:
     return F.log10(F.nullif(F.abs(x), F.lit(0.0)))
 
 
+@F.pandas_udf(T.DoubleType())
+def _log10(x: pd.Series) -> pd.Series:
+    return np.log10(x)
+
+
+def libm_log10(x: Column) -> Column:
+    """Logarithm as the C library rounds it.
+
+    Spark's own may differ in the last bit, which decides the sign of what the
+    logarithms leave where they cancel.
+    """
+    return F.when(F.isnan(x), x).when(x > 0, _log10(F.when(x > 0, x)))
+
+
+def parabola_weights(xs: Sequence[float]) -> list[tuple[list[float], float]]:
+    """Weights of y in the least-squares coefficients of x^2, x and 1: whole numbers over one divisor each.
+
+    Weights rounded on their own would leave a remainder where the quadratic
+    part of y is exactly zero, and its sign decides the margin.
+    """
+    xs = [Fraction(x) for x in xs]
+    moment = [sum(x**k for x in xs) for k in range(5)]
+    rows = [[moment[4 - i - j] for j in range(3)] + [x ** (2 - i) for x in xs] for i in range(3)]
+    if len(set(xs)) < 3:  # not determined: the shortest solution
+        return [([float(w) for w in r], 1.0) for r in np.linalg.pinv(np.vander(np.asarray(xs, float), 3))]
+    for k in range(3):
+        rows[k] = [c / rows[k][k] for c in rows[k]]
+        rows = [r if i == k else [c - r[k] * p for c, p in zip(r, rows[k])] for i, r in enumerate(rows)]
+    out = []
+    for r in (r[3:] for r in rows):
+        divisor = lcm(*[w.denominator for w in r])
+        whole = [w * divisor for w in r]
+        small = divisor <= 2**53 and all(abs(w) <= 2**53 for w in whole)
+        out.append(([float(w) for w in whole], float(divisor)) if small else ([float(w) for w in r], 1.0))
+    return out
+
+
 def window_margins(xs: Sequence[float], ys: Sequence[Column], spec: float, compliance: float) -> dict[str, Column]:
     """Margins at which a parabola through log10(y) over fixed x meets the spec.
 
@@ -86,16 +127,15 @@ def window_margins(xs: Sequence[float], ys: Sequence[Column], spec: float, compl
     """
     if len(xs) != len(ys):
         return {name: F.lit(None).cast("double") for name in WINDOW_OUTPUTS}
-    weights = np.linalg.pinv(np.vander(np.asarray(xs, float), 3))
-    logs = [F.log10(y + F.lit(LOG_SHIFT)) for y in ys]
+    logs = [libm_log10(y + F.lit(LOG_SHIFT)) for y in ys]
 
-    def combine(row):
-        total = F.lit(float(row[0])) * logs[0]
+    def combine(row, divisor):
+        total = F.lit(row[0]) * logs[0]
         for w, c in zip(row[1:], logs[1:]):
-            total = total + F.lit(float(w)) * c
-        return total
+            total = total + F.lit(w) * c
+        return total / F.lit(divisor)
 
-    a2, a1, a0 = (combine(r) for r in weights)
+    a2, a1, a0 = (combine(*r) for r in parabola_weights(xs))
     disc = a1 * a1 - F.lit(4.0) * a2 * (a0 - F.lit(spec))
     root = F.sqrt(F.when(disc >= 0, disc))
     cap = F.lit(compliance)

@@ -124,3 +124,35 @@ def test_one_group_of_five_million(spark, adaptive):
         spark.conf.set("spark.sql.adaptive.enabled", was)
         spark.conf.set("spark.sql.codegen.wholeStage", "false")
         spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+
+
+def test_arrays_and_bins_agree(spark, frame, skewed, monkeypatch):
+    """Groups gathered as arrays, and those too large for one, side by side and each alone."""
+    cols = ["k", "n", "median", "std", "spread", "v_min", "v_max"]
+    wide = frame.withColumn("w", F.when(F.col("id") % 3 > 0, F.col("v") * 2))
+    got = []
+    for bound in (0, 40, 10_000):
+        monkeypatch.setattr(ordered, "ALONE", bound)
+        p = robust.profile(frame, ["k"], "v", values=True)
+        kept = {r["k"] for r in p.where("values IS NOT NULL").select("k").collect()}
+        assert kept == {k for k, n in skewed.groupby("k").size().items() if n <= bound}
+        q = ordered.quantiles(frame, ["k"], "v", {"a": 0.1, "b": 0.5})
+        w = robust.profile_wide(wide, ["k"], ["v", "w"]).select("item", *cols).toPandas().sort_values(["k", "item"], ignore_index=True)
+        got.append([p.select(cols).toPandas().sort_values("k", ignore_index=True), q.toPandas().sort_values("k", ignore_index=True), w])
+    for other in got[1:]:
+        for a, b in zip(got[0], other):
+            pd.testing.assert_frame_equal(a, b)
+
+
+def test_values_cross_shuffles_as_arrays(spark):
+    """A value of a small group is written once, in its group's array, not as a bin of its own with all keys."""
+    rows = spark.range(40_000).selectExpr("CAST(id DIV 20 AS STRING) AS k", "CAST(hash(id) AS DOUBLE) AS v").coalesce(1)
+    status = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    assert robust.profile(rows, ["k"], "v").count() == 2_000
+    assert written() - before < 10_000

@@ -61,6 +61,19 @@ def test_runs_and_halves(spark):
     assert (r["run"], r["dead"], r["front"], r["back"]) == (3, 0.6, 0.8, 0.4)
 
 
+def test_sequences_by_both_routes(spark, monkeypatch):
+    """Wafers put in order as arrays and by running sums: the same as by the order of all points."""
+    rows = [("V", "S", "L", w, "A", i % 5, i // 5, 0, 9.0 if (i * i * w) % 7 < 3 else 1.0) for w, n in ((1, 23), (2, 4), (3, 10), (4, 61)) for i in range(n)]
+    pts = spark.createDataFrame(rows, "vehicle string, step_id string, lot_id string, wafer_id int, item string, chip_x int, chip_y int, tkout_time int, value double")
+    items = item_frame(spark, [Item("REAL", "A", spec_high=5.0)])
+    cols = ["wafer_id", "n", "run", "dead", "front", "back"]
+    want = sorted(map(tuple, order.wafer_sequence(order.measurement_order(pts, items), Limits()).select(cols).collect()))
+    assert [r[0] for r in want] == [1, 3, 4]
+    for bound in (0, 20, 10_000):
+        monkeypatch.setattr(ordered, "ALONE", bound)
+        assert sorted(map(tuple, order.wafer_sequences(pts, items, Limits()).select(cols).collect())) == want
+
+
 def sites(spark, xy):
     return spark.createDataFrame([("V", "S", "L", "A", x, y, 1, 1) for x, y in xy], "vehicle string, step_id string, lot_id string, item string, chip_x int, chip_y int, points int, wafers int")
 

@@ -14,16 +14,53 @@ FRONT_SHARE = 0.6
 BACK_SHARE = 0.2
 
 
-def measurement_order(points: DataFrame, items: DataFrame) -> DataFrame:
-    """seq_no (row by row, then along the row) and out_no (running out count) per wafer item."""
+ORDER = ["chip_y", "chip_x", "tkout_time"]
+
+
+def _flagged(points: DataFrame, items: DataFrame) -> DataFrame:
     spec = items.select(F.col("alias").alias("item"), "spec_low", "spec_high")
     flagged = points.join(spec, "item").where("spec_low IS NOT NULL OR spec_high IS NOT NULL").withColumn(
         "out", S.spec_out("value", "spec_low", "spec_high").cast("int")
     )
-    return ordered.running(
-        flagged.drop("spec_low", "spec_high"), WAFER_ITEM, ["chip_y", "chip_x", "tkout_time"],
-        {"seq_no": F.lit(1), "out_no": F.col("out")},
+    return flagged.drop("spec_low", "spec_high")
+
+
+def _numbered(flagged: DataFrame) -> DataFrame:
+    return ordered.running(flagged, WAFER_ITEM, ORDER, {"seq_no": F.lit(1), "out_no": F.col("out")})
+
+
+def measurement_order(points: DataFrame, items: DataFrame) -> DataFrame:
+    """seq_no (row by row, then along the row) and out_no (running out count) per wafer item."""
+    return _numbered(_flagged(points, items))
+
+
+def wafer_sequences(points: DataFrame, items: DataFrame, lim: Limits) -> DataFrame:
+    """``wafer_sequence`` of the points: wafers that fit an array are put in order there, larger ones by running sums.
+
+    The points are read twice and should be stored.
+    """
+    flagged = _flagged(points, items)
+    large = ordered.large_groups(flagged, WAFER_ITEM)
+    small = flagged if large is None else ordered.joined(flagged, large, WAFER_ITEM, "left_anti")
+    rows = small.groupBy(*WAFER_ITEM).agg(F.sort_array(F.collect_list(F.struct(*ORDER, "out"))).alias("_s"))
+    rows = rows.select(*WAFER_ITEM, F.size("_s").cast("long").alias("n"), F.transform("_s", lambda p: p["out"]).alias("_o"))
+    rows = rows.where(F.col("n") >= lim.min_wafer_points)
+    half = F.greatest(F.lit(1), F.floor(F.col("n") / 2)).cast("int")
+    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, o: acc + o)
+    run = F.aggregate(
+        "_o", F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")),
+        lambda acc, o: F.struct(((acc["now"] + 1) * o).alias("now"), F.greatest(acc["best"], (acc["now"] + 1) * o).alias("best")),
+        lambda acc: acc["best"],
+    )
+    out = rows.select(
+        *WAFER_ITEM, "n", run.cast("long").alias("run"), (total(F.col("_o")) / F.col("n")).alias("dead"),
+        (total(F.slice("_o", 1, half)) / half).alias("front"),
+        (total(F.slice("_o", half + 1, F.size("_o"))) / F.greatest(F.lit(1), F.col("n") - half)).alias("back"),
     )
+    if large is None:
+        return out
+    seq = _numbered(ordered.joined(flagged, large, WAFER_ITEM, "left_semi"))
+    return out.unionByName(wafer_sequence(seq, lim))
 
 
 def wafer_sequence(seq: DataFrame, lim: Limits) -> DataFrame:

@@ -80,11 +80,14 @@ class Report:
         return per.select(*PRODUCT, "item", F.col("median").alias("pop_median"), F.col("spread").alias("pop_spread"))
 
     def sequence(self, scored: DataFrame | None = None) -> DataFrame:
-        """Only wafers with an out-of-spec point need ordering.
+        """Longest runs and out shares in measurement order, over wafers.
 
-        Any other wafer of five points has run, share and front zero and a back
-        share of zero, which the minimum over wafers must still see.
+        Where the direction drops a bound, only wafers out of the other are put in
+        order. Any other wafer of five points has run, share and front zero and a
+        back share of zero, which the minimum over wafers must still see.
         """
+        if not self.limits.direction_aware:
+            return order.item_sequence(order.wafer_sequences(self.stored().points, self.item_dim, self.limits))
         scored = self.scored() if scored is None else scored
         checked = (F.col("spec_low").isNotNull() | F.col("spec_high").isNotNull()) & (
             F.col("n") >= self.limits.min_wafer_points

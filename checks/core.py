@@ -21,6 +21,11 @@ def pts(spark, sf, extra=("root_lot_id",)):
     return reshape.points(fx.li_shots(spark, sf), fx.LI_ALL, [*WAFER, *SITE, *extra])
 
 
+def stored_pts(spark, sf, extra=("root_lot_id",)):
+    """The same over stored shots, for plans that read them more than once."""
+    return reshape.points(li(spark, sf).stored().shots, fx.LI_ALL, [*WAFER, *SITE, *extra])
+
+
 KR = "vehicle step_id lot_id"
 KW = f"{KR} wafer_id:i"
 KRI, KWI = f"{KR} item", f"{KW} item"
@@ -117,7 +122,7 @@ def excluded_items(spark, sf):
 
 @query(f"{KRI} target_median:d pctile:d", "pctile", "pctile")
 def median_percentile(spark, sf):
-    return detect.target_percentile(pts(spark, sf))
+    return detect.target_percentile(stored_pts(spark, sf))
 
 
 @query(f"{KWI} chip_x:i chip_y:i tkout_time:t out:i seq_no:i",
@@ -128,8 +133,7 @@ def measurement_order(spark, sf):
 
 @query(f"{KWI} n:i run:i dead:d front:d back:d", "seqwaf", "seqwaf")
 def wafer_sequences(spark, sf):
-    seq = order.measurement_order(pts(spark, sf, ()), fx.li_items(spark))
-    return order.wafer_sequence(seq, Limits())
+    return order.wafer_sequences(stored_pts(spark, sf, ()), fx.li_items(spark), Limits())
 
 
 @query(f"{KRI} seq_run:i seq_dead:d seq_front:d seq_back:d front_heavy:b",
@@ -279,7 +283,7 @@ def score_bands(spark, sf):
 @query(f"{KWI} index_value:d", f"""(SELECT {WI}, CASE dir WHEN 'UPPER' THEN quantile_cont(value, 0.9) WHEN 'LOWER' THEN quantile_cont(value, 0.1) ELSE median(value) END AS index_value
  FROM pts JOIN items USING (item) GROUP BY {WI}, dir)""", "pts items")
 def index_values(spark, sf):
-    return testlevel.index_values(pts(spark, sf), fx.li_items(spark))
+    return testlevel.index_values(stored_pts(spark, sf), fx.li_items(spark))
 
 
 @query(f"{KWI} stat value:f", f"""(SELECT {WI}, unnest(CASE dir WHEN 'UPPER' THEN ['Max', 'P90', 'Med', 'P10'] WHEN 'LOWER' THEN ['P90', 'Med', 'P10', 'Min'] ELSE ['P90', 'Med', 'P10', 'Std'] END) AS stat,
@@ -287,7 +291,7 @@ def index_values(spark, sf):
  SELECT {WI}, dir, max(value) AS mx, min(value) AS mn, stddev_samp(value) AS sd, median(value) AS med, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.1) AS p10
  FROM pts JOIN items USING (item) GROUP BY {WI}, dir))""", "pts items")
 def statistic_table(spark, sf):
-    return testlevel.statistic_table(pts(spark, sf), fx.li_items(spark))
+    return testlevel.statistic_table(stored_pts(spark, sf), fx.li_items(spark))
 
 
 METRICS_SQL = f"""(SELECT {RI}, median(value) AS target_median, stddev_samp(value) AS target_std,
@@ -299,14 +303,14 @@ METRICS_SQL = f"""(SELECT {RI}, median(value) AS target_median, stddev_samp(valu
 
 @query(f"{KRI} target_median:d target_std:f pop_median:d pop_std:f spec_out_count:i deviation:d", METRICS_SQL, "pts items")
 def item_metrics(spark, sf):
-    return testlevel.metrics(pts(spark, sf), fx.li_items(spark))
+    return testlevel.metrics(stored_pts(spark, sf), fx.li_items(spark))
 
 
 @query(f"{KW} root_lot_id tkout_time:t item value:f aggregated:b", f"""(SELECT {W}, root_lot_id, tkout_time, item, value, false AS aggregated FROM pts WHERE item NOT IN ('QTY', 'PRICE', 'NET')
  UNION ALL SELECT {W}, root_lot_id, tkout_time, item, CASE item WHEN 'QTY' THEN quantile_cont(value, 0.1) WHEN 'PRICE' THEN median(value) ELSE avg(value) END, true
  FROM pts WHERE item IN ('QTY', 'PRICE', 'NET') GROUP BY {W}, root_lot_id, tkout_time, item)""", "pts")
 def per_test_aggregates(spark, sf):
-    return testlevel.per_test(pts(spark, sf), {"QTY": "P10", "PRICE": "MEDIAN", "NET": "MEAN"})
+    return testlevel.per_test(stored_pts(spark, sf), {"QTY": "P10", "PRICE": "MEDIAN", "NET": "MEAN"})
 
 
 @query(f"{KWI} tkout_time:t n:i", f"""(SELECT {WI}, min(tkout_time) AS tkout_time, arg_min(n, tkout_time) AS n FROM (

@@ -156,3 +156,37 @@ def test_values_cross_shuffles_as_arrays(spark):
     before = written()
     assert robust.profile(rows, ["k"], "v").count() == 2_000
     assert written() - before < 10_000
+
+
+def test_share_below_over_ranges(spark):
+    """Ties, null keys and probes between, below and above the values, with groups cut over many ranges."""
+    rows = [(None if i % 3 else "a", float(i % 40)) for i in range(900)]
+    probes = [(k, p) for k in (None, "a") for p in (-1.0, 0.0, 7.0, 7.5, 39.0, 99.0)] + [("absent", 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ordered.share_below(df, spark.createDataFrame(probes, "k string, p double"), ["k"], "v", "p").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {}
+    for k, p in probes[:-1]:
+        vs = [v for key, v in rows if key == k]
+        want[k, p] = 100.0 * sum(v < p for v in vs) / len(vs)
+    assert {(r["k"], r["p"]): r["pctile"] for r in got} == pytest.approx(want)
+
+
+def test_aggregates_beside_quantiles(spark, frame, monkeypatch):
+    """Further aggregates and groups without values, by both routes."""
+    more = {"top": F.max("v"), "rows": F.count("*")}
+    df = frame.select("k", "v").unionByName(spark.sql("SELECT 'none' AS k, CAST(NULL AS DOUBLE) AS v"))
+    got = []
+    for bound in (0, 10_000):
+        monkeypatch.setattr(ordered, "ALONE", bound)
+        q = ordered.quantiles(df, ["k"], "v", {"m": 0.5}, more, within=["k"], empty=True)
+        got.append(q.toPandas().sort_values("k", ignore_index=True))
+        assert ordered.quantiles(df, ["k"], "v", {"m": 0.5}, more).where("k = 'none'").isEmpty()
+    pd.testing.assert_frame_equal(*got)
+    assert got[0].set_index("k").loc["none", "rows"] == 1

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -116,8 +118,17 @@ def _away(bins: Column, centre: Column) -> Column:
 _DONE = "_lo <=> _hi OR _at = 0 OR _at = _c - 1"
 
 
-def large_groups(rows: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """The keys of the groups that are too large for an array, or None."""
+def large_groups(rows: DataFrame, keys: Sequence[str], within: Sequence[str] | None = None) -> DataFrame | None:
+    """The keys of the groups that are too large for an array, or None.
+
+    ``within`` are some of the keys: groups of these are counted first, and what
+    is small there is not counted again.
+    """
+    if within is not None:
+        wide = large_groups(rows, within)
+        if wide is None:
+            return None
+        rows = joined(rows, wide, within, "left_semi")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > ALONE)
     large = staged(sizes.select(*keys), "large")
     return None if large.isEmpty() else large
@@ -131,11 +142,8 @@ def _at(s: Column, p: float) -> Column:
 
 
 def of_arrays(groups: DataFrame, keep: Sequence[str], values: str, probs: Mapping[str, float], spread_of: str | None = None) -> DataFrame:
-    """The columns of ``quantiles`` from one array of values for each group, without nulls; an empty one gives no row.
-
-    ``keep`` are the columns that stay.
-    """
-    groups = groups.where(F.size(values) > 0).select(*keep, F.sort_array(values).alias("_s"))
+    """The columns of ``narrowed`` from one array of values for each group, without nulls; ``keep`` are the columns that stay."""
+    groups = groups.select(*keep, F.sort_array(values).alias("_s"))
     s, n = F.col("_s"), F.size("_s")
     out = groups.select("*", *[_at(s, p).alias(name) for name, p in probs.items()])
     if not spread_of:
@@ -150,19 +158,33 @@ def of_arrays(groups: DataFrame, keep: Sequence[str], values: str, probs: Mappin
         first.alias("v_min"), last.alias("v_max"), _let(away, lambda d: _at(d, 0.5)).alias("mad"), *probs, F.col("_s").alias("values"))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+def quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], more: Mapping[str, Column] | None = None,
+    within: Sequence[str] | None = None, empty: bool = False,
+) -> DataFrame:
     """Exact interpolated quantiles per group, one column per entry of ``probs``.
 
-    NULL values do not count; a group without any other is absent. ``df`` is
-    read twice, and once for each round that large groups need, so a long plan
-    should be stored before.
+    NULL values do not count; a group without any other is absent, or with
+    ``empty`` has NULLs. ``more`` are further aggregates of the same groups,
+    ``within`` as for ``large_groups``. ``df`` is read twice, and once for each
+    round that large groups need, so a long plan should be stored before.
     """
-    keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    large = large_groups(rows, keys)
+    keys, more = list(keys), dict(more or {})
+    rows = df.withColumn("_v", F.col(value).cast("double"))
+    if not empty:
+        rows = rows.where(F.col("_v").isNotNull())
+    aggs = [c.alias(n) for n, c in more.items()]
+    large = large_groups(rows, keys, within)
     small = rows if large is None else joined(rows, large, keys, "left_anti")
-    out = of_arrays(small.groupBy(*keys).agg(F.collect_list("_v").alias("_v")), keys, "_v", probs)
-    return out if large is None else out.unionByName(narrowed(joined(rows, large, keys, "left_semi"), keys, "_v", probs))
+    out = of_arrays(small.groupBy(*keys).agg(F.collect_list("_v").alias("_x"), *aggs), [*keys, *more], "_x", probs)
+    if large is None:
+        return out
+    rest = joined(rows, large, keys, "left_semi")
+    late = narrowed(rest, keys, "_v", probs)
+    if more or empty:
+        every = rest.groupBy(*keys).agg(*aggs) if more else large
+        late = joined(every, late, keys, "left")
+    return out.unionByName(late)
 
 
 def narrowed(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], spread_of: str | None = None) -> DataFrame:
@@ -272,22 +294,57 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapp
     return out.select(*columns, *[(F.sum(f"_in_{c}").over(within) + F.col(f"_b_{c}")).alias(c) for c in sums])
 
 
+_BELOW = "_g long, _v double, _upto long, _range int, _total boolean"
+
+
+def _below(batches):
+    """Rows of one range, in order: for each probe the weight before it in its group, and the whole weight of each group."""
+    group, carry, at = None, 0, 0
+    batch = lambda g, v, upto, total: pa.RecordBatch.from_arrays(
+        [pa.array(g, pa.int64()), pa.array(v, pa.float64()), pa.array(upto, pa.int64()),
+         pa.array(np.full(len(g), at), pa.int32()), pa.array(np.full(len(g), total), pa.bool_())],
+        names=["_g", "_v", "_upto", "_range", "_total"])
+    for b in batches:
+        if not b.num_rows:
+            continue
+        g, v, w = (b.column(c).to_numpy() for c in ("_g", "_v", "_w"))
+        at, upto = b.column("_range")[0].as_py(), np.cumsum(w, dtype=np.int64)
+        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        base = upto[starts] - w[starts]
+        if g[0] == group:
+            base[0] -= carry
+        elif group is not None:
+            yield batch([group], [None], [carry], True)
+        upto -= np.repeat(base, np.diff(np.r_[starts, len(g)]))
+        ask, last = w == 0, starts[1:] - 1
+        yield batch(g[ask], v[ask], upto[ask], False)
+        yield batch(g[last], np.zeros(len(last)), upto[last], True)
+        group, carry = int(g[-1]), int(upto[-1])
+    if group is not None:
+        yield batch([group], [None], [carry], True)
+
+
 def share_below(population: DataFrame, probes: DataFrame, keys: Sequence[str], value: str, probe: str) -> DataFrame:
     """For each distinct probe of a group: share of the population strictly below.
 
-    Probes enter the value counts with weight zero, so a running sum answers
-    all of them at once instead of pairing every probe with every value.
+    Probes are sorted in among the values with weight zero, so one pass over
+    the ranges answers all of them; only the probes and the weight of each
+    group in each range are written.
     """
     keys = list(keys)
-    pop = population.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.lit(1).alias("_w"))
-    ask = probes.where(F.col(probe).isNotNull()).select(*keys, F.col(probe).alias("_v"), F.lit(0).alias("_w"))
-    counts = pop.unionByName(ask).groupBy(*keys, "_v").agg(
-        F.sum("_w").cast("long").alias("_c"), F.min("_w").alias("_kind")
-    )
-    counts = staged(counts, "counts")
-    ranks = running(counts, keys, ["_v"], {"_upto": "_c"})
-    size = counts.groupBy(*keys).agg(F.sum("_c").alias("_n")).where("_n > 0")
-    hits = joined(ranks.where("_kind = 0"), size, keys)
-    return hits.select(
-        *keys, F.col("_v").alias(probe), ((F.col("_upto") - F.col("_c")) / F.col("_n") * 100.0).alias("pctile")
-    )
+    known = population.where(F.col(value).isNotNull())
+    # a number for each group travels with the values, not its names
+    names = staged(known.select(*keys).distinct().withColumn("_g", F.monotonically_increasing_id()), "groups")
+    pop = joined(known, names, keys).select("_g", F.col(value).cast("double").alias("_v"), F.lit(1).alias("_w"))
+    asked = joined(probes.where(F.col(probe).isNotNull()).select(*keys, probe).distinct(), names, keys)
+    rows = pop.unionByName(asked.select("_g", F.col(probe).cast("double").alias("_v"), F.lit(0).alias("_w")))
+    # equal values of different tasks may part
+    rows = rows.withColumn("_part", F.spark_partition_id()).repartitionByRange("_g", "_v", "_w", "_part")
+    rows = rows.sortWithinPartitions("_g", "_v", "_w").select("_g", "_v", "_w", F.spark_partition_id().alias("_range"))
+    found = staged(rows.mapInArrow(_below, _BELOW), "ranges")
+    totals = found.where("_total").select("_g", "_range", F.col("_upto").alias("_n"))
+    before = W.partitionBy("_g").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(
+        "_g", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy("_g")).alias("_n"))
+    hits = found.where("NOT _total").join(totals, ["_g", "_range"]).join(names, "_g")
+    return hits.select(*keys, F.col("_v").alias(probe), ((F.col("_upto") + F.col("_before")) / F.col("_n") * 100.0).alias("pctile"))

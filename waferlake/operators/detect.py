@@ -253,7 +253,7 @@ def findings(stats: DataFrame, lim: Limits) -> DataFrame:
 
 
 def target_percentile(points: DataFrame) -> DataFrame:
-    """Median of each report item and its percentile in the product population."""
-    med = ordered.quantiles(points, REPORT_ITEM, "value", {"target_median": 0.5})
+    """Median of each report item and its percentile in the product population. The points should be stored."""
+    med = staged(ordered.quantiles(points, REPORT_ITEM, "value", {"target_median": 0.5}), "medians")
     share = ordered.share_below(points, med, PRODUCT_ITEM, "value", "target_median")
     return med.join(share, [*PRODUCT_ITEM, "target_median"])

@@ -65,12 +65,13 @@ def per_test(points: DataFrame, table: Mapping[str, str]) -> DataFrame:
     # a group whose key holds a NULL disappears
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    rows = staged(rows.select(*keys, *sites, "value"), "test-points")
     asked = {item: quantile_of(spec) for item, spec in table.items()}
     probs = {f"_p{n}": p for n, p in enumerate(sorted({p for p in asked.values() if p is not None}))}
-    one = rows.groupBy(*keys).agg(F.avg("value").alias("_mean"), F.min(F.struct(*sites)).alias("_at") if sites else F.lit(None).alias("_at"))
+    more = {"_mean": F.avg("value"), "_at": F.min(F.struct(*sites)) if sites else F.lit(None)}
     if probs:
-        one = one.join(ordered.quantiles(rows, keys, "value", probs), keys, "left")
+        one = ordered.quantiles(rows, keys, "value", probs, more, within=[*WAFER, "item"], empty=True)
+    else:
+        one = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in more.items()])
     value = F.col("_mean")
     for name, p in probs.items():
         value = F.when(F.col("item").isin(*[i for i, q in asked.items() if q == p]), F.col(name)).otherwise(value)
@@ -93,12 +94,10 @@ def index_values(points: DataFrame, items: DataFrame) -> DataFrame:
 def statistic_table(points: DataFrame, items: DataFrame) -> DataFrame:
     """Four statistics per wafer item, chosen by direction, as rows."""
     keys = [*WAFER, "item"]
-    q = ordered.quantiles(points, keys, "value", {"p10": 0.1, "med": 0.5, "p90": 0.9})
-    m = points.groupBy(*keys).agg(
-        F.max("value").alias("mx"), F.min("value").alias("mn"), F.stddev_samp("value").alias("sd")
-    )
+    more = {"mx": F.max("value"), "mn": F.min("value"), "sd": F.stddev_samp("value")}
+    q = ordered.quantiles(points, keys, "value", {"p10": 0.1, "med": 0.5, "p90": 0.9}, more)
     dims = items.select(F.col("alias").alias("item"), S.direction("direction").alias("d"))
-    wide = q.join(m, keys).join(dims, "item")
+    wide = q.join(dims, "item")
     pair = lambda *ps: F.array(*[F.struct(F.lit(n).alias("stat"), F.col(c).alias("value")) for n, c in ps])
     p90, med, p10 = ("P90", "p90"), ("Med", "med"), ("P10", "p10")
     rows = (
@@ -120,18 +119,13 @@ def first_tests(points: DataFrame, min_points: int) -> DataFrame:
 def metrics(points: DataFrame, items: DataFrame) -> DataFrame:
     """Population against target: medians, deviations, out-of-spec counts."""
     product = ["vehicle", "step_id", "item"]
-    pop = ordered.quantiles(points, product, "value", {"pop_median": 0.5}).join(
-        points.groupBy(*product).agg(F.stddev_samp("value").alias("pop_std")), product
-    )
+    pop = ordered.quantiles(points, product, "value", {"pop_median": 0.5}, {"pop_std": F.stddev_samp("value")})
     keys = [*REPORT, "item"]
-    tgt = ordered.quantiles(points, keys, "value", {"target_median": 0.5})
     dims = items.select(F.col("alias").alias("item"), "spec_low", "spec_high", S.direction("direction").alias("d"))
     spec = dims.select("item", *[c.alias(n) for c, n in zip(S.effective_bounds("spec_low", "spec_high", "d"), ("lo", "hi"))])
-    base = points.join(spec, "item").groupBy(*keys).agg(
-        F.stddev_samp("value").alias("target_std"),
-        F.count_if(S.spec_out("value", "lo", "hi")).alias("spec_out_count"),
-    )
-    out = tgt.join(base, keys).join(pop, product)
+    more = {"target_std": F.stddev_samp("value"), "spec_out_count": F.count_if(S.spec_out("value", "lo", "hi"))}
+    tgt = ordered.quantiles(points.join(spec, "item"), keys, "value", {"target_median": 0.5}, more)
+    out = tgt.join(pop, product)
     gap = F.abs(F.col("target_median") - F.col("pop_median")) / F.col("pop_std")
     return out.withColumn("deviation", F.when(F.col("pop_std") > 0, F.round(gap, 2)).otherwise(0.0))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.base import query
 from checks.common import PI, R, RI, W, WI, chain, robust, solved_sql
-from checks.core import KR, KRI, KW, KWI, METRICS_SQL, pts
+from checks.core import KR, KRI, KW, KWI, METRICS_SQL, pts, stored_pts
 from waferlake import fixtures as fx
 from waferlake.functions import formulas, ordered
 from waferlake.functions import scalars as S
@@ -380,7 +380,7 @@ solved_sql("radial_m", f"{WI}, n", 4, ["c0", "c1", "c2", "c3"], "radial_s")
 @query(f"{KWI} n:i c0:f c1:f c2:f c3:f", "radial_s", "radial_s")
 def radial_fits(spark, sf):
     """Cubic of value over radius per wafer and item, all items."""
-    return charts.radial_fits(pts(spark, sf), fx.li_layout(spark, sf))
+    return charts.radial_fits(stored_pts(spark, sf), fx.li_layout(spark, sf))
 
 
 TERMS = ["u * u", "v * v", "u", "v", "1.0"]

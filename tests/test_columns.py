@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waferlake.functions import formulas
+from waferlake.functions import formulas, ordered
 from waferlake.functions import scalars as S
 from waferlake.operators import charts, ledger, testlevel
 from waferlake.schema import Item, item_frame
@@ -105,6 +105,22 @@ def test_radial_fit_against_polyfit(spark):
     assert np.allclose([out[f"c{k}"] for k in range(4)], want)
 
 
+def test_radial_fit_by_both_routes(spark, monkeypatch):
+    """A wafer too large for an array, and wafers with too few points or radii, by both routes."""
+    lay = [("V", x, y, float(np.hypot(12 * x, 15 * y))) for x in range(5) for y in range(5)]
+    pts = [("V", "S", "L", w, "A", x, y, float(x * x - 3 * y + w)) for w, n in ((1, 25), (2, 12), (3, 3)) for _, x, y, r in lay[:n]]
+    pts += [("V", "S", "L", 4, "A", 1, 1, float(k)) for k in range(9)]
+    p = spark.createDataFrame(pts, "vehicle string, step_id string, lot_id string, wafer_id int, item string, chip_x int, chip_y int, value double")
+    layout = spark.createDataFrame(lay, "mask string, chip_x int, chip_y int, chip_radius double")
+    got = []
+    for bound in (0, 15, 10_000):
+        monkeypatch.setattr(ordered, "ALONE", bound)
+        got.append({r["wafer_id"]: [r[f"c{k}"] for k in range(4)] for r in charts.radial_fits(p, layout).collect()})
+    assert set(got[0]) == {1, 2}
+    for other in got[1:]:
+        assert other.keys() == got[0].keys() and all(np.allclose(other[w], got[0][w]) for w in other)
+
+
 def test_wafer_circle_falls_back(spark):
     flat = spark.createDataFrame([("V", x, y, 7.0) for x in range(3) for y in range(3)], "mask string, chip_x int, chip_y int, chip_radius double")
     r = charts.wafer_circle(flat).collect()[0]

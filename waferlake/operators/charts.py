@@ -94,14 +94,25 @@ def radial_fits(points: DataFrame, layout: DataFrame, min_points: int = 4) -> Da
 
     Radius is standardised by its mean and population deviation. The moments
     are ordinary sums, so a large wafer is combined before the shuffle; each
-    row then holds one small linear system, solved as column expressions.
+    row then holds one small linear system, solved as column expressions. The
+    points are read twice and should be stored.
     """
     dim = layout.select(F.col("mask").alias("vehicle"), "chip_x", "chip_y", F.col("chip_radius").alias("r"))
-    rows = points.join(dim, ["vehicle", "chip_x", "chip_y"])
-    scale = rows.groupBy(*WAFER_ITEM).agg(
-        F.count("*").alias("n"), F.avg("r").alias("mu"), F.stddev_pop("r").alias("sd"), F.count_distinct("r").alias("nr")
-    ).where((F.col("n") >= min_points) & (F.col("sd") > 0) & (F.col("nr") >= 4))
-    z = rows.join(scale, WAFER_ITEM).withColumn("z", (F.col("r") - F.col("mu")) / F.col("sd"))
+    rows = points.join(dim, ["vehicle", "chip_x", "chip_y"]).select(*WAFER_ITEM, "r", "value")
+    facts = {"n": F.count("*"), "mu": F.avg("r"), "sd": F.stddev_pop("r")}
+    aggs = [c.alias(n) for n, c in facts.items()]
+    large = ordered.large_groups(rows, WAFER_ITEM)
+    small = rows if large is None else ordered.joined(rows, large, WAFER_ITEM, "left_anti")
+    # points travel once, to where their wafer's scale is known too
+    packed = small.groupBy(*WAFER_ITEM).agg(*aggs, F.collect_list(F.struct("r", "value")).alias("_p"))
+    packed = packed.withColumn("nr", F.size(F.array_distinct(F.filter(F.transform("_p", lambda p: p["r"]), lambda r: r.isNotNull()))))
+    fits = (F.col("n") >= min_points) & (F.col("sd") > 0) & (F.col("nr") >= 4)
+    z = packed.where(fits).select(*WAFER_ITEM, "n", "mu", "sd", F.inline("_p"))
+    if large is not None:
+        rest = ordered.joined(rows, large, WAFER_ITEM, "left_semi")
+        scale = rest.groupBy(*WAFER_ITEM).agg(*aggs, F.count_distinct("r").alias("nr")).where(fits)
+        z = z.unionByName(rest.join(scale.drop("nr"), WAFER_ITEM).select(z.columns))
+    z = z.withColumn("z", (F.col("r") - F.col("mu")) / F.col("sd"))
     powers = [F.pow("z", F.lit(float(k))) for k in range(4)]
     sums = z.groupBy(*WAFER_ITEM, "n", "mu", "sd").agg(*linear.moments(powers, F.col("value")))
     return linear.solved(sums, 4, ["c0", "c1", "c2", "c3"])

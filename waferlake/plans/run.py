@@ -30,8 +30,9 @@ def shots_of(spark: SparkSession, root: str, items: Sequence[Item], as_of: str,
 
 def run(spark: SparkSession, days_root: str, archive_root: str, items: Sequence[Item], as_of: str, days: int, limits: Limits = Limits()) -> None:
     """Findings of all lots of the window that pass the gate, archived under the day of their last test."""
-    shots = staged(shots_of(spark, days_root, items, as_of, days), "shots")
-    report = Report(shots, items, limits)
+    # in key order, so that what is counted of a wafer next is combined before a shuffle
+    shots = staged(shots_of(spark, days_root, items, as_of, days).repartitionByRange(*SHOT_KEY), "shots")
+    report = Report(shots, items, limits, is_stored=True)
     issued = board.report_gate(report.points, report.item_dim).select(*REPORT)
     last = shots.groupBy(*REPORT).agg(F.to_date(F.max("tkout_time")).alias("_day")).join(issued, REPORT)
     found = report.ranked().join(last, REPORT)

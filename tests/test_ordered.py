@@ -190,3 +190,36 @@ def test_aggregates_beside_quantiles(spark, frame, monkeypatch):
         assert ordered.quantiles(df, ["k"], "v", {"m": 0.5}, more).where("k = 'none'").isEmpty()
     pd.testing.assert_frame_equal(*got)
     assert got[0].set_index("k").loc["none", "rows"] == 1
+
+
+def test_quantiles_wide(spark, monkeypatch):
+    """Arrays and bins give the medians of the long form; a column without values gives no row."""
+    rows = [("a", float(i), None if i % 3 else float(-i)) for i in range(40)] + [("b", 1.0, None), (None, 2.0, 5.0)]
+    wide = spark.createDataFrame(rows, "k string, v double, w double")
+    long = wide.unpivot(["k"], ["v", "w"], "item", "x")
+    want = sorted(map(tuple, ordered.quantiles(long, ["k", "item"], "x", {"m": 0.5, "q": 0.9}).collect()), key=str)
+    assert len(want) == 5
+    for alone in (10_000, 7):
+        monkeypatch.setattr(ordered, "ALONE", alone)
+        got = ordered.quantiles_wide(wide, ["k"], ["v", "w"], {"m": 0.5, "q": 0.9})
+        assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_share_below_sorts_values_near_probes_only(spark, monkeypatch):
+    """Bins without a probe travel as one row each, whatever they hold."""
+    seen, real = [], ordered.staged
+
+    def staged(df, name, *rest):
+        if name == "ranges":
+            seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name, *rest)
+
+    monkeypatch.setattr(ordered, "staged", staged)
+    values = [0.0, -0.0, -3.0, float("nan"), float("inf"), None, *[i / 7 for i in range(700)]]
+    probes = [("k", p) for p in (-3.0, 0.0, 50.0, 50.01, 1e9, float("inf"), float("nan"))]
+    df = spark.createDataFrame([("k", v) for v in values], "k string, v double")
+    got = {repr(r["p"]): r["pctile"] for r in ordered.share_below(df, spark.createDataFrame(probes, "k string, p double"), ["k"], "v", "p").collect()}
+    known = [v for v in values if v is not None]
+    least = lambda v, p: p == p and v < p or (p != p and v == v)  # NaN is the greatest
+    assert got == {repr(p): pytest.approx(100 * sum(least(v, p) for v in known) / len(known)) for _, p in probes}
+    assert len(seen) == 1 and "LeftAnti" in seen[0]

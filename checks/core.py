@@ -122,7 +122,7 @@ def excluded_items(spark, sf):
 
 @query(f"{KRI} target_median:d pctile:d", "pctile", "pctile")
 def median_percentile(spark, sf):
-    return detect.target_percentile(stored_pts(spark, sf))
+    return li(spark, sf).target_percentile()
 
 
 @query(f"{KWI} chip_x:i chip_y:i tkout_time:t out:i seq_no:i",
@@ -133,7 +133,7 @@ def measurement_order(spark, sf):
 
 @query(f"{KWI} n:i run:i dead:d front:d back:d", "seqwaf", "seqwaf")
 def wafer_sequences(spark, sf):
-    return order.wafer_sequences(stored_pts(spark, sf, ()), fx.li_items(spark), Limits())
+    return order.wafer_sequences_wide(li(spark, sf).stored().shots, fx.LI_ITEMS, Limits())
 
 
 @query(f"{KRI} seq_run:i seq_dead:d seq_front:d seq_back:d front_heavy:b",
@@ -303,7 +303,7 @@ METRICS_SQL = f"""(SELECT {RI}, median(value) AS target_median, stddev_samp(valu
 
 @query(f"{KRI} target_median:d target_std:f pop_median:d pop_std:f spec_out_count:i deviation:d", METRICS_SQL, "pts items")
 def item_metrics(spark, sf):
-    return testlevel.metrics(stored_pts(spark, sf), fx.li_items(spark))
+    return testlevel.metrics_wide(li(spark, sf).stored().shots, fx.LI_ALL, fx.li_items(spark))
 
 
 @query(f"{KW} root_lot_id tkout_time:t item value:f aggregated:b", f"""(SELECT {W}, root_lot_id, tkout_time, item, value, false AS aggregated FROM pts WHERE item NOT IN ('QTY', 'PRICE', 'NET')
@@ -324,8 +324,9 @@ def first_tests(spark, sf):
  SELECT {RI}, cat2, 1 AS stage, CAST(rank AS DOUBLE) AS o1, 0.0 AS o2 FROM ranked UNION ALL
  SELECT {RI}, cat2, 2, -spec_out_count, -deviation FROM {METRICS_SQL} WHERE spec_out_count > 0 OR deviation > 0.2)) WHERE k = 1) WHERE position <= 3)""", "ranked pts items")
 def trend_items(spark, sf):
-    m = item_metrics(spark, sf).join(fx.li_items(spark).select(F.col("alias").alias("item"), "cat2"), "item")
-    return board.trend_items(li(spark, sf).ranked(), m, 3, 0.2)
+    r = li(spark, sf).stored()
+    m = testlevel.metrics_wide(r.shots, r.names, r.item_dim).join(fx.li_items(spark).select(F.col("alias").alias("item"), "cat2"), "item")
+    return board.trend_items(r.ranked(), m, 3, 0.2)
 
 
 def _map_tests(spark, sf):

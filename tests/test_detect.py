@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,54 @@ def grid(spark):
 def test_spatial_labels(spark, xy, label):
     out = spatial.verdict(spatial.shape_metrics(sites(spark, xy), grid(spark))).collect()[0]
     assert out["pattern"] == label
+
+
+def test_sequences_wide(spark, monkeypatch):
+    """Shots with two bits an item give what their points give: missing values, one-sided specs, over 31 items, large wafers."""
+    from waferlake.operators.reshape import points
+    from waferlake.schema import SITE
+
+    items = [Item("REAL", f"I{n}", spec_low=2.0 if n % 2 else None, spec_high=None if n % 3 else 7.0) for n in range(60)]
+    names = [i.alias for i in items]
+    rng = np.random.default_rng(3)
+    rows = []
+    for w, n in ((1, 30), (2, 6), (3, 4)):
+        for p in range(n):
+            rows.append(("V", "S", "L", w, p % 5, p // 5, p % 2, *[None if rng.random() < 0.2 else float(rng.integers(0, 10)) for _ in names]))
+    head = "vehicle string, step_id string, lot_id string, wafer_id int, chip_x int, chip_y int, tkout_time int, "
+    shots = spark.createDataFrame(rows, head + ", ".join(f"{n} double" for n in names))
+    cols = [*WAFER, "item", "n", "run", "dead", "front", "back"]
+    for alone in (10_000, 10):
+        monkeypatch.setattr(ordered, "ALONE", alone)
+        long = order.wafer_sequences(points(shots, names, [*WAFER, *SITE]), item_frame(spark, items), Limits())
+        wide = order.wafer_sequences_wide(shots, items, Limits())
+        assert sorted(map(tuple, wide.select(cols).collect())) == sorted(map(tuple, long.select(cols).collect()))
+
+
+def test_wafers_stay_where_they_are_for_their_product(spark, monkeypatch):
+    """The product's figures are stored, so that their size is known and the wafers are not dealt by product."""
+    seen, real = [], detect.staged
+    monkeypatch.setattr(detect, "staged", lambda df, name, *rest: seen.append(name) or real(df, name, *rest))
+    rows = [("V", "S", "L", w, "A", float(w * p)) for w in (1, 2) for p in range(6)]
+    pts = spark.createDataFrame(rows, "vehicle string, step_id string, lot_id string, wafer_id int, item string, value double")
+    w = detect.wafer_stats(pts)
+    items = item_frame(spark, [Item("REAL", "A", spec_high=6.0)])
+    out = detect.score_wafers(w, detect.product_baseline(w), items, pts, Limits())
+    assert "baseline" in seen and out.count() == 2
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_metrics_wide(spark, monkeypatch):
+    from waferlake.operators import testlevel
+    from waferlake.schema import REPORT
+
+    items = [Item("REAL", "A", spec_low=1.0, spec_high=8.0), Item("REAL", "B", spec_high=5.0, direction="UPPER"), Item("REAL", "C")]
+    rows = [("V", "S", lot, float(p), float(p * p % 11) if p % 4 else None, 3.0 if lot == "L1" else None) for lot, n in (("L1", 25), ("L2", 1), ("L3", 8)) for p in range(n)]
+    shots = spark.createDataFrame(rows, "vehicle string, step_id string, lot_id string, A double, B double, C double")
+    cols = [*REPORT, "item", "target_median", "target_std", "pop_median", "pop_std", "spec_out_count", "deviation"]
+    flat = lambda df: sorted(([x if not isinstance(x, float) else round(x, 9) for x in r] for r in df.select(cols).collect()), key=str)
+    points = shots.unpivot(REPORT, ["A", "B", "C"], "item", "value").where("value IS NOT NULL")
+    for alone in (10_000, 9):
+        monkeypatch.setattr(ordered, "ALONE", alone)
+        dim = item_frame(spark, items)
+        assert flat(testlevel.metrics_wide(shots, ["A", "B", "C"], dim)) == flat(testlevel.metrics(points, dim))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,14 +118,40 @@ def first_tests(points: DataFrame, min_points: int) -> DataFrame:
 
 def metrics(points: DataFrame, items: DataFrame) -> DataFrame:
     """Population against target: medians, deviations, out-of-spec counts."""
+    more = {"target_std": F.stddev_samp("value"), "spec_out_count": F.count_if(S.spec_out("value", "lo", "hi"))}
+    tgt = ordered.quantiles(points.join(_bounds(items), "item"), [*REPORT, "item"], "value", {"target_median": 0.5}, more)
+    return _against(points, tgt)
+
+
+def metrics_wide(shots: DataFrame, names: Sequence[str], items: DataFrame) -> DataFrame:
+    """The same from wide shots, which should be stored: a shot travels once with all its items."""
+    keys, probs = [*REPORT, "item"], {"target_median": 0.5}
+    arrays, rows = ordered.arrays_wide(shots, REPORT, names, "value")
+    v, n = F.col("value"), F.size("value")
+    mean = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x) / n
+    square = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - F.col("_mean")) * (x - F.col("_mean")))
+    known = arrays.join(_bounds(items), "item").withColumn("_mean", mean).select(
+        *keys, "value", F.when(n > 1, F.sqrt(square / (n - 1))).alias("target_std"),
+        F.size(F.filter(v, lambda x: F.coalesce(S.spec_out(x, "lo", "hi"), F.lit(False)))).cast("long").alias("spec_out_count"))
+    tgt = ordered.of_arrays(known, [*keys, "target_std", "spec_out_count"], "value", probs)
+    if rows is not None:
+        more = [F.stddev_samp("value").alias("target_std"), F.count_if(S.spec_out("value", "lo", "hi")).alias("spec_out_count")]
+        rows = rows.join(_bounds(items), "item")
+        late = ordered.joined(rows.groupBy(*keys).agg(*more), ordered.narrowed(rows, keys, "value", probs), keys)
+        tgt = tgt.unionByName(late)
+    return _against(shots.unpivot(["vehicle", "step_id"], list(names), "item", "value"), tgt)
+
+
+def _bounds(items: DataFrame) -> DataFrame:
+    dims = items.select(F.col("alias").alias("item"), "spec_low", "spec_high", S.direction("direction").alias("d"))
+    return dims.select("item", *[c.alias(n) for c, n in zip(S.effective_bounds("spec_low", "spec_high", "d"), ("lo", "hi"))])
+
+
+def _against(points: DataFrame, tgt: DataFrame) -> DataFrame:
     product = ["vehicle", "step_id", "item"]
     pop = ordered.quantiles(points, product, "value", {"pop_median": 0.5}, {"pop_std": F.stddev_samp("value")})
-    keys = [*REPORT, "item"]
-    dims = items.select(F.col("alias").alias("item"), "spec_low", "spec_high", S.direction("direction").alias("d"))
-    spec = dims.select("item", *[c.alias(n) for c, n in zip(S.effective_bounds("spec_low", "spec_high", "d"), ("lo", "hi"))])
-    more = {"target_std": F.stddev_samp("value"), "spec_out_count": F.count_if(S.spec_out("value", "lo", "hi"))}
-    tgt = ordered.quantiles(points.join(spec, "item"), keys, "value", {"target_median": 0.5}, more)
-    out = tgt.join(pop, product)
+    # a row for each product item: stored, so that its size is known and the targets stay where they are
+    out = tgt.join(staged(pop, "population"), product)
     gap = F.abs(F.col("target_median") - F.col("pop_median")) / F.col("pop_std")
     return out.withColumn("deviation", F.when(F.col("pop_std") > 0, F.round(gap, 2)).otherwise(0.0))
 

@@ -300,3 +300,18 @@ def test_bpe_merges_and_ids(spark):
     assert [byte_bpe.merge_word(w.encode(), ranks) for w in words] == [enc._encode_single_piece(w.encode()) for w in words]
     got = byte_bpe.encode(spark.createDataFrame([("", "a"), (None, "b")], "doc_id string, text string"), ranks, public_tokenizers.PATTERN)
     assert {r.doc_id for r in got.collect()} == {"", None}
+
+
+def test_near_small_batches(spark, monkeypatch):
+    """Python workers get few texts at once, and the session keeps its setting; words are those of the lower-cased text."""
+    from waferlake.llm.common import SPACE_WORD, ascii_lower
+
+    key, seen, real = "spark.sql.execution.arrow.maxRecordsPerBatch", [], near_dedup.staged
+    before = spark.conf.get(key)
+    monkeypatch.setattr(near_dedup, "staged", lambda df, name: seen.append(int(spark.conf.get(key))) or real(df, name))
+    docs = spark.createDataFrame([(i, f"A{i % 3}\x1cB K c\x85d İe\tf\x0bg") for i in range(6)], "doc_id long, text string")
+    got = near_dedup.groups(docs, 2).collect()
+    assert seen and max(seen) <= near_dedup.BATCH and spark.conf.get(key) == before
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i % 3) for i in range(6)}
+    for text in ("A\x1cB K C\x85d", " İe\tF\x0b\x0cg\r\n", "", "ÄA  z"):
+        assert [w.decode() for w in near_dedup.words_of(text)] == SPACE_WORD.findall(ascii_lower(text))

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waferlake.llm.common import SPACE_WORD, ascii_lower, partitions, staged
+from waferlake.llm.common import staged
 
 SKETCH = 64
 #: of SKETCH retained values a pair at the threshold shares 51 on average, deviation 3; fewer than this does not happen
@@ -21,16 +23,44 @@ SHARED = 30
 FULL = 256
 FULL_SHARED = 160
 BLOCK = 256
-CACHE = 300_000
+CACHE = 100_000
+#: rows a Python worker holds at once: texts of Spark's usual 10,000, twice for pairs, would take most of its memory
+BATCH = 500
 
 
-def shingle_set(words: list[str], width: int, cache: dict[str, int]) -> np.ndarray:
+@contextmanager
+def small_batches(spark: SparkSession):
+    """At most BATCH rows at once go to a Python worker; what is run inside is what counts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    if before is None or not 0 < int(before) <= BATCH:
+        spark.conf.set(key, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words with A-Z lower-cased, in UTF-8: bytes know the letters and white space of ASCII alone, 0x20 and 0x09 to 0x0D."""
+    return (text or "").encode().lower().split()
+
+
+class Hashes(dict):
+    """64-bit hash of a word, kept once made."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = made = xxhash.xxh3_64_intdigest(word)
+        return made
+
+
+def shingle_set(words: list[bytes], width: int, cache: Hashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; fewer words than the width are one shingle."""
     if not words:
         return np.zeros(0, np.uint64)
     if len(cache) > CACHE:
         cache.clear()
-    ids = np.fromiter((cache.get(w) or cache.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words), np.uint64, len(words))
+    ids = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     width = min(width, len(ids))
     h = np.full(len(ids) - width + 1, width, np.uint64)
     for i in range(width):
@@ -40,8 +70,8 @@ def shingle_set(words: list[str], width: int, cache: dict[str, int]) -> np.ndarr
     return np.unique(h ^ (h >> np.uint64(29)))
 
 
-def text_key(words: list[str]) -> bytes | None:
-    return hashlib.md5(" ".join(words).encode()).digest() if words else None
+def text_key(words: list[bytes]) -> bytes | None:
+    return hashlib.md5(b" ".join(words)).digest() if words else None
 
 
 def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,13 +80,16 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
     Staged, as everything after it reads it."""
 
     @F.pandas_udf("text_key binary, n_shingles long, sketch array<long>, bits array<long>")
-    def make(texts: pd.Series) -> pd.DataFrame:
-        cache, out = {}, []
-        for t in texts:
-            words = SPACE_WORD.findall(ascii_lower(t or ""))
-            own = shingle_set(words, width, cache)
-            out.append((text_key(words), len(own), own[:SKETCH].view(np.int64), bitmap(own[:SKETCH])))
-        return pd.DataFrame(out, columns=["text_key", "n_shingles", "sketch", "bits"])
+    def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        cache = Hashes()
+        for texts in batches:
+            out = []
+            for t in texts:
+                words = words_of(t)
+                own = shingle_set(words, width, cache)
+                least = own[:SKETCH].copy()  # a slice would keep the whole set
+                out.append((text_key(words), len(own), least.view(np.int64), bitmap(least)))
+            yield pd.DataFrame(out, columns=["text_key", "n_shingles", "sketch", "bits"])
 
     made = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("row_key"), make(text_col).alias("_m")).select("_id", "row_key", "_m.*")
     return staged(made, "sketches")
@@ -125,9 +158,10 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -
         return pd.Series(out)
 
     @F.pandas_udf("binary")
-    def wide(texts: pd.Series) -> pd.Series:
-        cache = {}
-        return texts.map(lambda t: shingle_set(SPACE_WORD.findall(ascii_lower(t)), width, cache)[:FULL].tobytes())
+    def wide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache = Hashes()
+        for texts in batches:
+            yield texts.map(lambda t: shingle_set(words_of(t), width, cache)[:FULL].tobytes())
 
     @F.pandas_udf("int")
     def closer(na: pd.Series, wa: pd.Series, nb: pd.Series, wb: pd.Series) -> pd.Series:
@@ -144,13 +178,13 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -
 
     @F.pandas_udf("boolean")
     def same(ta: pd.Series, tb: pd.Series) -> pd.Series:
-        cache, out, sets = {}, [], {}
+        cache, out, sets = Hashes(), [], {}
 
         def of(t):
             if t not in sets:
                 if len(sets) > 64:
                     sets.clear()
-                sets[t] = shingle_set(SPACE_WORD.findall(ascii_lower(t)), width, cache)
+                sets[t] = shingle_set(words_of(t), width, cache)
             return sets[t]
 
         for a, b in zip(ta, tb):
@@ -228,6 +262,11 @@ def groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: st
     with a null id are too, with a null component and kept. Repeated ids share one component, that of all their
     texts' links.
     """
+    with small_batches(docs.sparkSession):
+        return _groups(docs, width, id_col, text_col)
+
+
+def _groups(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     sk = sketches(docs, width, id_col, text_col)
     known = sk.where(F.col("_id").isNotNull() & (F.col("n_shingles") > 0))
     # the class of a word sequence: partial aggregates, so a class of any size is one row per task

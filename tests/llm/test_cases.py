@@ -315,3 +315,34 @@ def test_near_small_batches(spark, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in got} == {(i, i % 3) for i in range(6)}
     for text in ("A\x1cB K C\x85d", " İe\tF\x0b\x0cg\r\n", "", "ÄA  z"):
         assert [w.decode() for w in near_dedup.words_of(text)] == SPACE_WORD.findall(ascii_lower(text))
+
+
+def test_near_shared_passage(spark, monkeypatch):
+    """Texts around a base that differ from it just too much are hardly ever paired, and links between components are found."""
+    rng, rows = random.Random(7), []
+    base = [f"b{i}" for i in range(130)]
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(130), 20 if i < 90 else 3):
+            words[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(words)))
+    sets = [set(t.split()) for _, t in rows]
+    comp = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((comp[a], comp[b]))
+                comp = [low if c == high else c for c in comp]
+    seen, real = [], near_dedup._compared
+    monkeypatch.setattr(near_dedup, "_compared", lambda pairs, *more: seen.append(pairs.count()) or real(pairs, *more))
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert got == dict(enumerate(comp)) and len(set(comp)) > 80 and seen[0] < 500
+
+
+def test_near_marks(spark):
+    """Every hash of the keys passes, and few others do."""
+    draw = np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 3000).tolist()
+    df = spark.createDataFrame([(x,) for x in draw], "h long")
+    test = near_dedup._marked(spark.createDataFrame([(x,) for x in draw[:500]], "k long"), "k")
+    kept = {r.h for r in df.where(test("h")).collect()}
+    assert kept >= set(draw[:500]) and len(kept) < 800

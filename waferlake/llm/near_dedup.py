@@ -9,7 +9,7 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,6 +23,8 @@ SHARED = 30
 FULL = 256
 FULL_SHARED = 160
 BLOCK = 256
+#: bits, at most, that mark the texts a step looks at again
+MARKS = 1 << 26
 CACHE = 100_000
 #: rows a Python worker holds at once: texts of Spark's usual 10,000, twice for pairs, would take most of its memory
 BATCH = 500
@@ -129,14 +131,106 @@ def _candidates(reps: DataFrame) -> DataFrame:
     """(value, rep, n): every representative under its rarest retained values. Two sets that share s of their k
     retained values share one of the first k - s + 1 in any common order, s being `least_shared`. Values nobody
     shares are left out afterwards."""
-    entries = reps.select("rep", "n", F.explode("sketch").alias("v"))
+    kept = F.least(F.col("n"), F.lit(SKETCH))
+    ranked = _placed(reps.select("rep", "n", F.explode("sketch").alias("v")), kept)
+    return staged(ranked.where(F.col("at") <= kept - least_shared(F.col("n")) + 1).select("v", "rep", "n"), "inverted")
+
+
+def _placed(entries: DataFrame, kept: Column) -> DataFrame:
+    """Entries (rep, n, v) whose value several hold, with its place `at` among the `kept` values of the set, rarest first."""
     used = entries.groupBy("v").agg(F.count("*").alias("holders")).where(F.col("holders") > 1)
     # a value of one holder sorts first and takes a place, but is not sent: its rank is known by counting
     ranked = entries.join(used, "v")
     places = Window.partitionBy("rep").orderBy("holders", "v")
-    kept = F.least(F.col("n"), F.lit(SKETCH))
-    ranked = ranked.withColumn("at", F.row_number().over(places) + kept - F.count("*").over(Window.partitionBy("rep")))
-    return staged(ranked.where(F.col("at") <= kept - least_shared(F.col("n")) + 1).select("v", "rep", "n"), "inverted")
+    return ranked.withColumn("at", F.row_number().over(places) + kept - F.count("*").over(Window.partitionBy("rep")))
+
+
+def _attach(pairs: DataFrame, side: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
+    """Joins the side's columns by `key`; a representative in many pairs is copied once per BLOCK of them."""
+    counts = pairs.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_salts"))
+    salted = pairs.join(counts, key).withColumn("_salt", F.pmod(F.xxhash64("a", "b"), F.col("_salts"))).drop("_salts")
+    wide = side.join(counts, side["rep"] == counts[key]).drop(key).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
+    wide = wide.select(F.col("rep").alias(key), "_salt", *[F.col(c).alias(n) for c, n in names.items()])
+    return salted.join(wide, [key, "_salt"]).drop("_salt")
+
+
+def _marked(keys: DataFrame, column: str):
+    """A test of hashes that holds for all of the column and for few others: a bit for each hash modulo a size that
+    grows with the keys up to MARKS bits; beyond it only more others pass."""
+    size = min(MARKS, 1 << max(10, (16 * keys.count()).bit_length()))
+    at = F.pmod(F.col(column), F.lit(size))
+    words = keys.groupBy(F.floor(at / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("bits")).toArrow()
+    held = np.zeros(size // 64, np.uint64)
+    held[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def test(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy(np.int64) % size
+        return pd.Series((held[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return test
+
+
+def _texts_of(wanted: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, t) of the wanted representatives `_r`, found by id and text hash; of the other texts hardly any travels."""
+    keys = reps.join(wanted, F.col("rep") == F.col("_r")).select("rep", F.col("top._id").alias("_i"), F.col("top.row_key").alias("_k"))
+    keys = staged(keys, "text-keys")
+    found = texts.where(_marked(keys, "_k")("row_key")).join(keys, (F.col("_id") == F.col("_i")) & (F.col("row_key") == F.col("_k")))
+    return found.groupBy("rep").agg(F.first("_t").alias("t"))
+
+
+def _whole_sets(wanted: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(rep, n, s): every shingle of the wanted representatives."""
+
+    @F.pandas_udf("array<long>")
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache = Hashes()
+        for texts in batches:
+            yield texts.map(lambda t: shingle_set(words_of(t), width, cache).view(np.int64))
+
+    made = _texts_of(wanted, reps, texts).select("rep", whole("t").alias("s"))
+    return staged(made.select("rep", F.size("s").cast("long").alias("n"), "s"), "whole-sets")
+
+
+def _parts(lists: DataFrame) -> DataFrame:
+    """(v, main) of the lists that hold several components and a pair that is neither its star's nor its chain's: the
+    largest component of each. A list of two has one pair."""
+    parts = lists.groupBy("v", "comp").agg(F.count("*").alias("c"))
+    mains = parts.groupBy("v").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("k"), F.sum("c").alias("held"))
+    return mains.where((F.col("k") > 1) & (F.col("held") > 2)).select("v", "main")
+
+
+def _across(lists: DataFrame, comps: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components that may be near, and the whole sets of their members.
+
+    Only members of lists that still hold several components matter. Their sets are inverted anew, whole: two sets at
+    the threshold share ceil(4 n / 5) values, so one of the first n - ceil(4 n / 5) + 1 in any common order, and behind
+    the first shared value, at places i and j, no more than min(n - i, m - j) others. A set whose rarest values are its
+    own holds them at its first places, so it is in few lists and meets nobody who would have to hold them too."""
+    held = lists.join(comps, "rep")
+    wanted = staged(held.join(_parts(held), "v").select(F.col("rep").alias("_r")).distinct(), "open")
+    sets = _whole_sets(wanted, reps, texts, width)
+    n = F.col("n")
+    placed = _placed(sets.select("rep", "n", F.explode("s").alias("v")), n)
+    whole = staged(placed.where(F.col("at") <= n - F.ceil(4 * n / F.lit(5)) + 1).select("v", "rep", "n", "at").join(comps, "rep"), "whole-lists")
+    # sizes within a quarter lie in the same size bin or a neighbouring one
+    lists = staged(whole.join(_parts(whole), "v").withColumn("bin", F.floor(F.log("n") / F.log(F.lit(1.25)))), "open-lists")
+    left = lists.where(F.col("comp") != F.col("main")).drop("main")
+    right = lists.select("v", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("atb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("of_main"))
+    most = 1 + F.least(n - F.col("at"), F.col("nb") - F.col("atb"))
+    met = left.join(right, ["v", "bin"]).where((100 * most >= 80 * (n + F.col("nb") - most)) & (F.col("comp") != F.col("cb")) & (F.col("of_main") | (F.col("rep") < F.col("b"))))
+    return met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct(), sets
+
+
+def _compared(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose whole sets pass 100 * both >= 80 * either; their bitmaps are looked at before."""
+    slim = classes.select("rep", "n", "bits")
+    left = _attach(pairs, slim, "a", {"n": "na", "bits": "xa"})
+    likely = _attach(left, slim, "b", {"n": "nb", "bits": "xb"}).where(may_share("xa", "xb", "na", "nb"))
+    likely = staged(likely.select("a", "b"), "likely")
+    whole = _attach(_attach(likely, sets, "a", {"s": "sa"}), sets, "b", {"s": "sb"})
+    both = F.size(F.array_intersect("sa", "sb"))
+    return staged(whole.where(100 * both >= 80 * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -193,33 +287,19 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int) -
             out.append(100 * both >= 80 * (len(x) + len(y) - both))
         return pd.Series(out)
 
-    def attach(pairs: DataFrame, side: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
-        """Joins the side's columns by `key`; a representative in many pairs is copied once per BLOCK of them."""
-        counts = pairs.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_salts"))
-        salted = pairs.join(counts, key).withColumn("_salt", F.pmod(F.xxhash64("a", "b"), F.col("_salts"))).drop("_salts")
-        wide = side.join(counts, side["rep"] == counts[key]).drop(key).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
-        wide = wide.select(F.col("rep").alias(key), "_salt", *[F.col(c).alias(n) for c, n in names.items()])
-        return salted.join(wide, [key, "_salt"]).drop("_salt")
-
-    def held(pairs: DataFrame) -> DataFrame:
-        """(rep, t) of the pairs' representatives: only their texts go on, found by id and text hash."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("_r")).distinct()
-        keys = reps.join(wanted, F.col("rep") == F.col("_r")).select("rep", F.col("top._id").alias("_i"), F.col("top.row_key").alias("_k"))
-        found = texts.join(keys, (F.col("_id") == F.col("_i")) & (F.col("row_key") == F.col("_k")))
-        return found.groupBy("rep").agg(F.first("_t").alias("t"))
-
     slim = reps.select("rep", "n", "sketch")
-    left = attach(pairs, slim, "a", {"n": "na", "sketch": "sa"})
-    both = attach(left, slim, "b", {"n": "nb", "sketch": "sb"})
+    left = _attach(pairs, slim, "a", {"n": "na", "sketch": "sa"})
+    both = _attach(left, slim, "b", {"n": "nb", "sketch": "sb"})
     likely = staged(both.where(near("na", "sa", "nb", "sb")).select("a", "b", "na", "nb"), "likely")
     # sets that fit their sketches are decided by then
     small = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH)
     open_pairs = likely.where(~small)
-    second = staged(held(open_pairs).select("rep", wide("t").alias("w"), "t"), "second-sketches")
-    judged = attach(attach(open_pairs, second, "a", {"w": "wa"}), second, "b", {"w": "wb"})
+    wanted = open_pairs.select(F.explode(F.array("a", "b")).alias("_r")).distinct()
+    second = staged(_texts_of(wanted, reps, texts).select("rep", wide("t").alias("w"), "t"), "second-sketches")
+    judged = _attach(_attach(open_pairs, second, "a", {"w": "wa"}), second, "b", {"w": "wb"})
     judged = staged(judged.select("a", "b", closer("na", "wa", "nb", "wb").alias("link")).where(F.col("link") != 0), "judged")
     unsure = judged.where(F.col("link") < 0).select("a", "b")
-    last = attach(attach(unsure, second, "a", {"t": "ta"}), second, "b", {"t": "tb"}).where(same("ta", "tb"))
+    last = _attach(_attach(unsure, second, "a", {"t": "ta"}), second, "b", {"t": "tb"}).where(same("ta", "tb"))
     return staged(likely.where(small).select("a", "b").union(judged.where(F.col("link") > 0).select("a", "b")).union(last.select("a", "b")), "links")
 
 
@@ -256,8 +336,8 @@ def groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: st
     Equal word sequences form a class and its least id, with a hash of the words, stands for it, so copies are never paired. The classes'
     sketches are inverted by their rarest retained values. Inside one value's list each member is paired with
     the list's least member and with its neighbour by size; after these links are verified and merged, members
-    of one list that are still in different components are paired across components, so nearly equal documents
-    are not compared all with all and no link between components is lost. Sketches that hold their whole sets are
+    of one list that are still in different components are inverted by their whole sets and paired across components,
+    so nearly equal documents are not compared all with all and no link between components is lost. Sketches that hold their whole sets are
     compared exactly, others filter by the union's least values; full sets decide. Texts without a word have no shingles and are components of their own; rows
     with a null id are too, with a null component and kept. Repeated ids share one component, that of all their
     texts' links.
@@ -291,19 +371,9 @@ def _groups(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
 
     # lists that still hold several components: every member outside a list's largest component meets the members of
     # other components, so the largest one is never paired with itself
-    held = lists.join(comps, "rep")
-    parts = held.groupBy("v", "comp").agg(F.count("*").alias("c"))
-    mains = parts.groupBy("v").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("k")).where(F.col("k") > 1).drop("k")
-    held = held.join(mains, "v").join(classes.select("rep", "bits"), "rep").withColumn("bin", F.floor(F.log("n") / F.log(F.lit(1.25))))
-    open_lists = staged(held, "open-lists")
-    # sizes within a quarter lie in the same size bin or a neighbouring one
-    left = open_lists.where(F.col("comp") != F.col("main")).drop("main")
-    right = open_lists.select("v", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("bits").alias("yb"), (F.col("comp") == F.col("main")).alias("of_main"))
-    met = left.withColumnRenamed("bits", "xb").join(right, ["v", "bin"]).where(
-        (F.col("comp") != F.col("cb")) & (F.col("of_main") | (F.col("rep") < F.col("b"))) & near_n(F.col("n"), F.col("nb")) & may_share("xb", "yb", "n", "nb"))
-    cross = met.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+    cross, sets = _across(lists, comps, reps, texts, width)
     cross = staged(cross.join(first, ["a", "b"], "left_anti"), "pairs")
-    comps = components(reps.select("rep"), links.union(_verified(cross, reps, texts, width)))
+    comps = components(reps.select("rep"), links.union(_compared(cross, classes, sets)))
 
     member = classes.join(comps, "rep").select("text_key", "comp", "size")
     # only classes of several rows, or in another's component, change an id; the others keep their own

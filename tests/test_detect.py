@@ -146,3 +146,16 @@ def test_metrics_wide(spark, monkeypatch):
         monkeypatch.setattr(ordered, "ALONE", alone)
         dim = item_frame(spark, items)
         assert flat(testlevel.metrics_wide(shots, ["A", "B", "C"], dim)) == flat(testlevel.metrics(points, dim))
+
+
+def test_formulas_are_not_stored(spark, sf, monkeypatch):
+    """Stored shots hold what was measured; columns that follow from a row are made again and equal the first ones."""
+    from checks.core import li
+    from waferlake.plans import report
+
+    written, real = [], report.staged
+    monkeypatch.setattr(report, "staged", lambda df, name, *rest: written.append(df.columns) or real(df, name, *rest))
+    r = li(spark, sf)
+    kept = r.stored()
+    assert written and not set(written[0]) & set(r.made) and kept.stored() is kept and kept.shots.columns == r.shots.columns
+    assert r.shots.exceptAll(kept.shots).isEmpty() and kept.shots.exceptAll(r.shots).isEmpty()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -23,10 +23,18 @@ class Report:
     limits: Limits = Limits()
     #: whether the shots are a stored table already
     is_stored: bool = False
+    #: adds columns that follow from their row alone, by name; these are not stored but made again from what is
+    row_columns: Callable[[DataFrame], DataFrame] | None = None
+    made: Sequence[str] = ()
 
     def stored(self) -> Report:
         """The same over shots that are computed once and stored, for plans that read them more than once."""
-        return self if self.is_stored else replace(self, shots=staged(self.shots, "shots"), is_stored=True)
+        if self.is_stored:
+            return self
+        if self.row_columns is None:
+            return replace(self, shots=staged(self.shots, "shots"), is_stored=True)
+        shots = self.row_columns(staged(self.shots.drop(*self.made), "shots"))
+        return replace(self, shots=shots.select(*self.shots.columns), is_stored=True)
 
     @property
     def names(self) -> list[str]:

@@ -8,7 +8,7 @@ from checks.base import query
 from checks.common import PI, R, RI, W, WI
 from waferlake import fixtures as fx
 from waferlake.functions import ordered, robust
-from waferlake.functions.formulas import add_formulas
+from waferlake.functions.formulas import add_formulas, row_values
 from waferlake.operators import board, detect, order, overlap, rank, reshape, spatial, testlevel
 from waferlake.plans.report import Report, basis_rows, severity_counts
 from waferlake.schema import PRODUCT, REPORT, SHOT_KEY, SITE, WAFER, Limits
@@ -17,7 +17,9 @@ from waferlake.schema import PRODUCT, REPORT, SHOT_KEY, SITE, WAFER, Limits
 def li(spark, sf) -> Report:
     # the formulas of these items have no group statistics
     derived = [i.alias for i in fx.LI_ITEMS if i.formula]
-    return Report(fx.li_shots(spark, sf), fx.LI_ITEMS, Limits(), row_columns=lambda df: add_formulas(df, fx.LI_ITEMS).frame, made=derived)
+    return Report(
+        fx.li_shots(spark, sf), fx.LI_ITEMS, Limits(), row_columns=lambda df: add_formulas(df, fx.LI_ITEMS).frame, made=derived,
+        row_values=lambda measured: row_values(measured, fx.LI_ITEMS))
 
 
 def pts(spark, sf, extra=("root_lot_id",)):

@@ -159,3 +159,31 @@ def test_formulas_are_not_stored(spark, sf, monkeypatch):
     kept = r.stored()
     assert written and not set(written[0]) & set(r.made) and kept.stored() is kept and kept.shots.columns == r.shots.columns
     assert r.shots.exceptAll(kept.shots).isEmpty() and kept.shots.exceptAll(r.shots).isEmpty()
+
+
+def test_packed_reports(spark, monkeypatch):
+    """Reports whose shots are one array give what stored shots give, small and too large; no wafer is written with its values."""
+    from waferlake.functions import formulas
+    from waferlake.plans import report
+
+    items = [Item("REAL", "A", spec_low=1.0, spec_high=8.0), Item("REAL", "B", spec_high=5.0, direction="UPPER"),
+             Item("ADDP", "C", formula="rmax({A}*{B},{B}/{A})", spec_high=30.0), Item("ADDP", "D", formula="{C}-{A}")]
+    rng = np.random.default_rng(5)
+    rows = [("V", "S", lot, w, p % 5, p // 5, p % 2, float(rng.integers(0, 10)), None if rng.random() < 0.2 else float(rng.random() * 7))
+            for lot, wafers, n in (("L1", 3, 9), ("L2", 2, 6), ("L3", 1, 1), ("L4", 2, 14)) for w in range(wafers) for p in range(n)]
+    shots = spark.createDataFrame(rows, "vehicle string, step_id string, lot_id string, wafer_id int, chip_x int, chip_y int, tkout_time int, A double, B double")
+    made = lambda df: formulas.add_formulas(df, items).frame
+    written, real = [], report.staged
+    monkeypatch.setattr(report, "staged", lambda df, name, *rest: written.append((name, df.columns)) or real(df, name, *rest))
+    flat = lambda df: sorted(([x if not isinstance(x, float) else round(x, 9) for x in r] for r in df.select(sorted(df.columns)).collect()), key=str)
+    for alone, large in ((10_000, 0), (20, 2)):
+        monkeypatch.setattr(ordered, "ALONE", alone)
+        r = Report(made(shots), items, Limits(min_wafer_points=2), row_columns=made, made=["C", "D"], row_values=lambda m: formulas.row_values(m, items))
+        stored, packed = r.stored(), r.packed()
+        assert packed.packed() is packed and packed.packs.count() == 4 - large and (packed.rest is None) == (not large)
+        want = [flat(df) for df in (stored.scored(), stored.sequence(), stored.target_percentile())]
+        written.clear()
+        assert [flat(df) for df in (packed.scored(), packed.sequence(), packed.target_percentile())] == want
+        assert written and not any("values" in columns for _, columns in written)
+    with pytest.raises(ValueError):
+        formulas.row_values({"A": F.col("A")}, [Item("ADDP", "G", formula="STD({A})")])

@@ -62,15 +62,25 @@ def packed_order(*fields: tuple[Column, int]) -> Column:
 
 def li_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with the measurement names, one row per source row."""
-    li = table(spark, sf_dir, "lineitem")
+    return _li_rows(table(spark, sf_dir, "lineitem"))
+
+
+def _li_key() -> dict[str, Column]:
+    """The shot key, of what lineitem holds."""
+    return {
+        "vehicle": F.concat(F.lit("V"), "l_linestatus"),
+        "step_id": F.concat(F.lit("S"), "l_returnflag"),
+        "lot_id": lot_name(F.col("l_suppkey")),
+        "wafer_id": F.col("l_linenumber"),
+        "chip_x": F.expr("l_partkey % 13"),
+        "chip_y": F.expr("(l_partkey div 13) % 13"),
+        "tkout_time": F.date_trunc("quarter", "l_shipdate"),
+    }
+
+
+def _li_rows(li: DataFrame) -> DataFrame:
     return li.select(
-        F.concat(F.lit("V"), "l_linestatus").alias("vehicle"),
-        F.concat(F.lit("S"), "l_returnflag").alias("step_id"),
-        lot_name(F.col("l_suppkey")).alias("lot_id"),
-        F.col("l_linenumber").alias("wafer_id"),
-        F.expr("l_partkey % 13").alias("chip_x"),
-        F.expr("(l_partkey div 13) % 13").alias("chip_y"),
-        F.date_trunc("quarter", "l_shipdate").alias("tkout_time"),
+        *[c.alias(n) for n, c in _li_key().items()],
         F.col("l_shipdate").alias("raw_time"),
         F.col("l_quantity").alias("QTY"),
         F.col("l_extendedprice").alias("PRICE"),
@@ -100,8 +110,12 @@ def li_items(spark: SparkSession) -> DataFrame:
 
 
 def li_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide shots with the formula columns; the source rows hold all items of a touchdown."""
-    wide = last_values(li_rows(spark, sf_dir), SHOT_KEY, LI_MEASURED, "ord")
+    """Wide shots with the formula columns; the source rows hold all items of a touchdown.
+
+    What travels are the source's columns; names, sites and the order are made of them where the shots meet.
+    """
+    li = table(spark, sf_dir, "lineitem").repartitionByRange(*[_li_key()[k] for k in SHOT_KEY])
+    wide = last_values(_li_rows(li), SHOT_KEY, LI_MEASURED, "ord", dealt=True)
     wide = wide.withColumn("root_lot_id", root_of("lot_id"))
     return add_formulas(wide, LI_ITEMS).frame
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from fractions import Fraction
 from math import lcm
@@ -163,7 +163,7 @@ def window_margins(xs: Sequence[float], ys: Sequence[Column], spec: float, compl
 class Scope:
     """Functions a formula may call, and the group statistics it asked for."""
 
-    columns: dict[str, str]
+    columns: dict[str, str | Column]
     alias: str
     group_calls: list[tuple[str, str, Column]] = field(default_factory=list)
 
@@ -227,7 +227,7 @@ def evaluate(formula: str, scope: Scope):
         if not isinstance(node, ALLOWED):
             raise ValueError(f"{type(node).__name__} is not allowed in formula {formula!r}")
     names = scope.names() | {
-        f"_ref{n}": Term(F.col(f"`{scope.columns[r]}`")) for n, r in enumerate(refs)
+        f"_ref{n}": Term(F.col(f"`{c}`") if isinstance(c := scope.columns[r], str) else c) for n, r in enumerate(refs)
     }
     value = eval(compile(tree, "<formula>", "eval"), {"__builtins__": {}}, names)  # noqa: S307
     return value if isinstance(value, dict) else Term.of(value).col
@@ -286,6 +286,23 @@ def add_formulas(shots: DataFrame, items: Sequence[Item], group: Sequence[str] =
     return Derived(shots, added, [i.alias for i in missing])
 
 
+def row_values(measured: Mapping[str, Column], items: Sequence[Item]) -> dict[str, Column]:
+    """The measured values of one row and those its formulas give, for a row that stands in an array. Only for
+    formulas without group statistics and windows, which have no such form."""
+    values = dict(measured)
+    for level in formula_levels(list(values), items)[0]:
+        new: dict[str, Column] = {}
+        for item in level:
+            scope = Scope({r: values[r] for r in references(item.formula)}, item.alias)
+            value = evaluate(item.formula, scope)
+            if scope.group_calls or isinstance(value, dict):
+                raise ValueError(f"{item.alias} does not follow from its row alone")
+            factor = _factor(item.scale_factor)
+            new[item.alias] = value if factor == 1.0 else value * F.lit(factor)
+        values |= new
+    return values
+
+
 def _factor(text: str | None) -> float:
     try:
         return float(text)

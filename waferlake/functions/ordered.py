@@ -17,7 +17,7 @@ range counts on from the totals of the ranges before it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -207,6 +207,26 @@ def arrays_wide(
     return arrays, joined(wide, large, keys, "left_semi").unpivot(keys, items, "item", name).where(F.col(name).isNotNull())
 
 
+def packs(shots: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The shots of each group as one sorted array of ``fields``, in ``_p``; and the keys of the groups that are too
+    large for it, or None.
+
+    Shots of a group are combined where they are read, so its keys travel once. The shots should be stored.
+    """
+    keys = list(keys)
+    rows = shots.select(*keys, *fields)
+    large = large_groups(rows, keys)
+    small = rows if large is None else joined(rows, large, keys, "left_anti")
+    return small.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_p")), large
+
+
+def unpacked(groups: DataFrame, keys: Sequence[str], pack: str, values: Mapping[str, Callable[[Column], Column]], name: str = "_v") -> DataFrame:
+    """Rows of (keys, item, ``name``): what each item has on the shots of a pack, without nulls."""
+    own = lambda value: F.filter(F.transform(pack, lambda s: value(s).cast("double")), lambda v: v.isNotNull())
+    each = [F.struct(F.lit(i).alias("item"), own(value).alias(name)) for i, value in values.items()]
+    return groups.select(*keys, F.inline(F.array(*each))).where(F.size(name) > 0)
+
+
 def quantiles_wide(shots: DataFrame, keys: Sequence[str], items: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
     """``quantiles`` of every item column, as rows of (keys, item, ...). The shots should be stored."""
     arrays, rows = arrays_wide(shots, keys, items)

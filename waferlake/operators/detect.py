@@ -52,13 +52,13 @@ def _is_flier(dev: Column, direc: Column, lim: Limits) -> Column:
 
 
 def score_wafers(
-    wafers: DataFrame, baseline: DataFrame, items: DataFrame, points: DataFrame, lim: Limits
+    wafers: DataFrame, baseline: DataFrame, items: DataFrame, points: DataFrame, lim: Limits, whole: bool = False
 ) -> DataFrame:
     """Each wafer item scored against its product: counts out of spec, shift, dispersion, fliers.
 
     Only the wafers whose extremes can be out of spec or hold a flier are looked
     at value by value: in their arrays, or, where they are too large for one,
-    among the points again.
+    among the points again. ``whole`` says that every wafer has its array.
     """
     spec = items.select(
         F.col("alias").alias("item"), "spec_low", "spec_high", "report_order", "cat2",
@@ -90,8 +90,9 @@ def score_wafers(
         out = out.withColumn("values", F.lit(None).cast("array<double>"))
     count = lambda test: F.when(~F.col("_ask"), 0).when(F.col("values").isNotNull(), F.size(F.filter("values", test))).cast("long")
     counted = out.withColumns({name: count(test) for name, test in tests.items()})
-    ask = staged(out.where("_ask AND values IS NULL").select(*WAFER_ITEM, "median", "typical", "spec_low", "spec_high", "direction"), "asked")
-    if not ask.isEmpty():
+    asks = out.where("_ask AND values IS NULL").select(*WAFER_ITEM, "median", "typical", "spec_low", "spec_high", "direction")
+    ask = None if whole else staged(asks, "asked")
+    if ask is not None and not ask.isEmpty():
         tested = ordered.joined(points, ask, WAFER_ITEM).groupBy(*WAFER_ITEM).agg(
             *[F.count_if(test(F.col("value"))).alias(f"_{name}") for name, test in tests.items()]
         )
@@ -265,6 +266,15 @@ def target_percentile_wide(shots: DataFrame, items) -> DataFrame:
     return _placed(points, ordered.quantiles_wide(shots, REPORT, items, {"target_median": 0.5}))
 
 
+def target_percentile_packed(points: DataFrame, packs: DataFrame, rest: DataFrame | None, values) -> DataFrame:
+    """The same where the shots of a report are an array; ``rest`` are those of reports too large for one."""
+    probs = {"target_median": 0.5}
+    medians = ordered.of_arrays(ordered.unpacked(packs, REPORT, "_p", values), REPORT_ITEM, "_v", probs)
+    if rest is not None:
+        medians = medians.unionByName(ordered.quantiles_wide(rest, REPORT, list(values), probs))
+    return _placed(points, medians)
+
+
 def _placed(points: DataFrame, medians: DataFrame) -> DataFrame:
     med = staged(medians, "medians")
     share = ordered.share_below(points, med, PRODUCT_ITEM, "value", "target_median")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from waferlake.functions import ordered
 from waferlake.functions import scalars as S
 from waferlake.operators.detect import REPORT_ITEM, WAFER_ITEM
 from waferlake.operators.reshape import points as points_of
-from waferlake.schema import SITE, WAFER, Item, Limits, item_frame
+from waferlake.schema import REPORT, SITE, WAFER, Item, Limits, item_frame
 
 FRONT_SHARE = 0.6
 BACK_SHARE = 0.2
@@ -89,6 +89,28 @@ def wafer_sequences_wide(shots: DataFrame, items: Sequence[Item], lim: Limits) -
     return out.unionByName(wafer_sequence(seq, lim))
 
 
+def wafers_of(packs: DataFrame) -> DataFrame:
+    """(wafer keys, ``_w``): the shots of each wafer, in measurement order, from those of its report in ``_p``."""
+    ids = F.array_distinct(F.transform("_p", lambda s: s["wafer_id"]))
+    own = lambda w: F.filter("_p", lambda s: s["wafer_id"].eqNullSafe(w))
+    return packs.select(*REPORT, F.inline(F.transform(ids, lambda w: F.struct(w.alias("wafer_id"), own(w).alias("_w")))))
+
+
+def wafer_sequences_packed(wafers: DataFrame, items: Sequence[Item], values: Mapping[str, Callable[[Column], Column]], lim: Limits) -> DataFrame:
+    """``wafer_sequence`` of wafers whose shots are an array in measurement order."""
+    checked = [i for i in items if i.spec_low is not None or i.spec_high is not None]
+
+    def outs(i: Item) -> Column:
+        known = F.filter(F.transform("_w", values[i.alias]), lambda v: v.isNotNull())
+        out = lambda v: S.spec_out(v, F.lit(i.spec_low).cast("double"), F.lit(i.spec_high).cast("double"))
+        return F.transform(known, lambda v: F.when(out(v), 1).otherwise(0))
+
+    if not checked:
+        return _of_outs(wafers.select(*WAFER, F.lit("").alias("item"), F.array().cast("array<int>").alias("_o")).where("false"), lim)
+    each = [F.struct(F.lit(i.alias).alias("item"), outs(i).alias("_o")) for i in checked]
+    return _of_outs(wafers.select(*WAFER, F.inline(F.array(*each))), lim)
+
+
 def _of_outs(rows: DataFrame, lim: Limits) -> DataFrame:
     """Rows hold, in ``_o``, a 1 for each point out of spec and a 0 for any other, in measurement order."""
     rows = rows.select(*WAFER_ITEM, F.size("_o").cast("long").alias("n"), "_o").where(F.col("n") >= lim.min_wafer_points)

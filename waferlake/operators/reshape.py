@@ -22,14 +22,15 @@ def last_value_pivot(
     return long.where(F.col(value).isNotNull() & F.col(item).isin(*items)).groupBy(*keys).agg(*picks)
 
 
-def last_values(rows: DataFrame, keys: Sequence[str], items: Sequence[str], order: str) -> DataFrame:
+def last_values(rows: DataFrame, keys: Sequence[str], items: Sequence[str], order: str, dealt: bool = False) -> DataFrame:
     """The same for rows that hold several items each.
 
     The rows are dealt in the order of the keys, so that shots of one wafer stay
     together and what is counted of them next is combined before a shuffle.
+    ``dealt`` says that they are already, by columns the keys are made of.
     """
     picks = [F.max_by(i, F.when(F.col(i).isNotNull(), F.col(order))).alias(i) for i in items]
-    return rows.repartitionByRange(*keys).groupBy(*keys).agg(*picks)
+    return (rows if dealt else rows.repartitionByRange(*keys)).groupBy(*keys).agg(*picks)
 
 
 def points(shots: DataFrame, items: Sequence[str], ids: Sequence[str]) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waferlake.functions import robust
+from waferlake.functions import ordered, robust
 from waferlake.operators import detect, order, overlap, rank, reshape, rules, spatial, testlevel
 from waferlake.schema import PRODUCT, REPORT, SITE, WAFER, Item, Limits, item_frame
 from waferlake.session import staged
@@ -26,6 +26,11 @@ class Report:
     #: adds columns that follow from their row alone, by name; these are not stored but made again from what is
     row_columns: Callable[[DataFrame], DataFrame] | None = None
     made: Sequence[str] = ()
+    #: the values of one shot that stands in an array, by item, from those measured on it; needed where some are made
+    row_values: Callable[[Mapping[str, Column]], Mapping[str, Column]] = lambda measured: measured
+    #: one row for each report, its shots an array; and the shots of reports too large for one
+    packs: DataFrame | None = None
+    rest: DataFrame | None = None
 
     def stored(self) -> Report:
         """The same over shots that are computed once and stored, for plans that read them more than once."""
@@ -36,6 +41,26 @@ class Report:
         shots = self.row_columns(staged(self.shots.drop(*self.made), "shots"))
         return replace(self, shots=shots.select(*self.shots.columns), is_stored=True)
 
+    def packed(self) -> Report:
+        """The same with the shots of each report stored as one array too, so that what is counted of a report or of its wafers
+        needs no shuffle of its own."""
+        r = self.stored()
+        if r.packs is not None or r.lim.aggregated:
+            return r
+        rows, large = ordered.packs(r.shots, REPORT, ["wafer_id", *order.ORDER, *r.measured])
+        rest = None if large is None else ordered.joined(r.shots, large, REPORT, "left_semi")
+        return replace(r, packs=staged(rows, "packs"), rest=rest)
+
+    @property
+    def measured(self) -> list[str]:
+        return [n for n in self.names if n not in self.made]
+
+    @property
+    def values(self) -> dict[str, Callable[[Column], Column]]:
+        """For each item, its value on a shot that stands in an array."""
+        of = lambda n: lambda shot: self.row_values({m: shot[m] for m in self.measured})[n]
+        return {n: of(n) for n in self.names}
+
     @property
     def names(self) -> list[str]:
         return [i.alias for i in self.items]
@@ -61,10 +86,18 @@ class Report:
     def wafers(self) -> DataFrame:
         if self.lim.aggregated:
             return detect.wafer_stats(staged(self.points, "points"))
+        if self.packs is not None:
+            own = robust.profile_arrays(ordered.unpacked(order.wafers_of(self.packs), WAFER, "_w", self.values), detect.WAFER_ITEM)
+            return own if self.rest is None else own.unionByName(detect.wafer_stats_wide(self.rest, self.names))
         return detect.wafer_stats_wide(self.stored().shots, self.names)
 
     def scored(self) -> DataFrame:
         r = self.stored()
+        if r.packs is not None:
+            # the wafers are made again from the packs where they are scored, so their values are not written
+            w = r.wafers()
+            centres = staged(w.select(*detect.PRODUCT_ITEM, "median", "spread"), "wafers")
+            return detect.score_wafers(w, detect.product_baseline(centres), r.item_dim, r.points, r.lim, whole=r.rest is None)
         w = staged(r.wafers(), "wafers")
         return detect.score_wafers(w, detect.product_baseline(w), r.item_dim, r.points, r.lim)
 
@@ -91,6 +124,8 @@ class Report:
         r = self.stored()
         if r.lim.aggregated:
             return detect.target_percentile(r.points)
+        if r.packs is not None:
+            return detect.target_percentile_packed(r.points, r.packs, r.rest, r.values)
         return detect.target_percentile_wide(r.shots, r.names)
 
     def sequence(self, scored: DataFrame | None = None) -> DataFrame:
@@ -104,7 +139,10 @@ class Report:
             r = self.stored()
             if self.lim.aggregated:
                 return order.item_sequence(order.wafer_sequences(r.points, r.item_dim, r.limits))
-            return order.item_sequence(order.wafer_sequences_wide(r.shots, r.items, r.limits))
+            if r.packs is None:
+                return order.item_sequence(order.wafer_sequences_wide(r.shots, r.items, r.limits))
+            own = order.wafer_sequences_packed(order.wafers_of(r.packs), r.items, r.values, r.limits)
+            return order.item_sequence(own if r.rest is None else own.unionByName(order.wafer_sequences_wide(r.rest, r.items, r.limits)))
         scored = self.scored() if scored is None else scored
         checked = (F.col("spec_low").isNotNull() | F.col("spec_high").isNotNull()) & (
             F.col("n") >= self.limits.min_wafer_points
@@ -141,11 +179,14 @@ class Report:
     def context(self, layout: DataFrame) -> DataFrame:
         """One row per (report, item) with everything a rule may ask for.
 
-        The shots, the scored wafers and the few out points are each read by
-        several branches, so each is computed once and stored.
+        The shots and the few out points are each read by several branches, so
+        each is computed once and stored; so are the scored wafers, where the
+        direction drops a bound and they are read twice.
         """
-        r = self.stored()
-        scored, out = staged(r.scored(), "scored"), staged(r.out_points(), "out")
+        r = self.packed()
+        scored, out = r.scored(), staged(r.out_points(), "out")
+        if r.limits.direction_aware or r.packs is None:
+            scored = staged(scored, "scored")
         key = detect.REPORT_ITEM
         over = overlap.overlap_counts(overlap.shot_overlap(r.shots, r.items))
         return (

@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -346,3 +347,16 @@ def test_near_marks(spark):
     test = near_dedup._marked(spark.createDataFrame([(x,) for x in draw[:500]], "k long"), "k")
     kept = {r.h for r in df.where(test("h")).collect()}
     assert kept >= set(draw[:500]) and len(kept) < 800
+
+
+def test_pipeline_small_batches(spark, tables, monkeypatch):
+    """Every stage sends few texts at once to a Python worker, and the session keeps its setting."""
+    import corpus_pipeline
+
+    sizes = F.pandas_udf(lambda texts: pd.Series([len(texts)] * len(texts)), "long")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", lambda spark, docs, sf_dir: docs.withColumn("n", sizes("text")))])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(3 * near_dedup.BATCH, numPartitions=1).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    got = corpus_pipeline.run(spark, tables(documents=docs))
+    assert got.count() == 3 * near_dedup.BATCH and got.agg(F.max("n")).first()[0] <= near_dedup.BATCH
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

@@ -19,7 +19,7 @@ def li(spark, sf) -> Report:
     derived = [i.alias for i in fx.LI_ITEMS if i.formula]
     return Report(
         fx.li_shots(spark, sf), fx.LI_ITEMS, Limits(), row_columns=lambda df: add_formulas(df, fx.LI_ITEMS).frame, made=derived,
-        row_values=lambda measured: row_values(measured, fx.LI_ITEMS))
+        row_values=lambda measured: row_values(measured, fx.LI_ITEMS), met=lambda keys: fx.li_shots_met(spark, sf, keys))
 
 
 def pts(spark, sf, extra=("root_lot_id",)):
@@ -53,8 +53,7 @@ def wafer_robust_stats(spark, sf):
 
 @query(f"vehicle step_id item center:d scatter:d typical:d", "base", "base")
 def product_wafer_baseline(spark, sf):
-    r = li(spark, sf)
-    return detect.product_baseline(r.wafers())
+    return li(spark, sf).baseline()
 
 
 @query("vehicle step_id item pop_median:d pop_spread:d",

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waferlake.functions import ordered
 from waferlake.functions.formulas import add_formulas
 from waferlake.operators.reshape import last_values
-from waferlake.schema import SHOT_KEY, Item, item_frame
-from waferlake.session import configure
+from waferlake.schema import REPORT, SHOT_KEY, Item, item_frame
+from waferlake.session import configure, dealt
 
 LI_MEASURED = ["QTY", "PRICE", "DISC", "TAX"]
 LI_ITEMS = [
@@ -114,7 +117,20 @@ def li_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What travels are the source's columns; names, sites and the order are made of them where the shots meet.
     """
-    li = table(spark, sf_dir, "lineitem").repartitionByRange(*[_li_key()[k] for k in SHOT_KEY])
+    return _li_wide(table(spark, sf_dir, "lineitem").repartitionByRange(*[_li_key()[k] for k in SHOT_KEY]))
+
+
+def li_shots_met(spark: SparkSession, sf_dir: str, keys: Sequence[str]) -> DataFrame | None:
+    """The same, dealt once and by hash, so that all shots of a group of ``keys`` (those of a report or more) meet in one
+    task and nothing need be stored; None where a report has more rows than an array may hold."""
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.groupBy("l_linestatus", "l_returnflag", "l_suppkey").agg(F.count("*").alias("n"))  # a report; its shots are no more
+    if not rows.where(F.col("n") > ordered.ALONE).isEmpty():
+        return None
+    return _li_wide(dealt(li, [_li_key()[k] for k in keys]))
+
+
+def _li_wide(li: DataFrame) -> DataFrame:
     wide = last_values(_li_rows(li), SHOT_KEY, LI_MEASURED, "ord", dealt=True)
     wide = wide.withColumn("root_lot_id", root_of("lot_id"))
     return add_formulas(wide, LI_ITEMS).frame

@@ -187,6 +187,12 @@ def quantiles(
     return out.unionByName(late)
 
 
+def arrays_met(shots: DataFrame, keys: Sequence[str], items: Sequence[str], name: str = "_v") -> DataFrame:
+    """The values of every item column as one array for each (keys, item), in ``name``, of shots that meet in the task of their group."""
+    packed = shots.groupBy(*keys).agg(*[F.collect_list(F.col(i).cast("double")).alias(i) for i in items])
+    return packed.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("item"), F.col(i).alias(name)) for i in items]))).where(F.size(name) > 0)
+
+
 def arrays_wide(
     shots: DataFrame, keys: Sequence[str], items: Sequence[str], name: str = "_v",
 ) -> tuple[DataFrame, DataFrame | None]:
@@ -200,8 +206,7 @@ def arrays_wide(
     wide = shots.select(*keys, *[F.col(i).cast("double").alias(i) for i in items])
     large = large_groups(wide, keys)
     small = wide if large is None else joined(wide, large, keys, "left_anti")
-    packed = small.repartitionByRange(*keys).groupBy(*keys).agg(*[F.collect_list(i).alias(i) for i in items])
-    arrays = packed.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("item"), F.col(i).alias(name)) for i in items]))).where(F.size(name) > 0)
+    arrays = arrays_met(small.repartitionByRange(*keys), keys, items, name)
     if large is None:
         return arrays, None
     return arrays, joined(wide, large, keys, "left_semi").unpivot(keys, items, "item", name).where(F.col(name).isNotNull())

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waferlake.functions import ordered
+from waferlake.functions import histogram, ordered
 from waferlake.session import staged
 
 MAD_FACTOR = 1.4826
@@ -72,6 +72,22 @@ def profile(df: DataFrame, keys: Sequence[str], value: str, values: bool = False
 
 def profile_wide(shots: DataFrame, keys: Sequence[str], items: Sequence[str], values: bool = False) -> DataFrame:
     """``profile`` of every item column, as rows of (keys, item, ...). The shots are read more than once and should be stored."""
+    keys, items = list(keys), list(items)
+    large = ordered.large_groups(shots.select(*keys), keys)
+    few = None if large is None else histogram.profile(shots, keys, items, large, QUARTILES, spread_of="median")
+    if few is not None:
+        # no row of a large group is dealt
+        more = [F.lit(None).cast("array<double>").alias("values")] if values else []
+        out = _columns(few, [*keys, "item"], more)
+        small = ordered.joined(shots, large, keys, "left_anti")
+        if small.select(*keys).isEmpty():
+            return out
+        return out.unionByName(_small(ordered.arrays_met(small.repartitionByRange(*keys), keys, items), [*keys, "item"], values))
     arrays, rows = ordered.arrays_wide(shots, keys, items)
     out = _small(arrays, [*keys, "item"], values)
     return out if rows is None else out.unionByName(_large(rows, [*keys, "item"], values))
+
+
+def profile_met(shots: DataFrame, keys: Sequence[str], items: Sequence[str], values: bool = False) -> DataFrame:
+    """The same of shots that meet in the task of their group, none of them too large for an array: no row travels again."""
+    return _small(ordered.arrays_met(shots, keys, items), [*keys, "item"], values)

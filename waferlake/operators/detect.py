@@ -26,9 +26,9 @@ def wafer_stats_wide(shots: DataFrame, items) -> DataFrame:
 
 
 def product_baseline(wafers: DataFrame) -> DataFrame:
-    """Per product item: centre and scatter of wafer medians, typical wafer spread."""
-    stats = wafers.unpivot(PRODUCT_ITEM, ["median", "spread"], "stat", "x").where("x > 0 OR stat = 'median'")
-    per = robust.profile(stats, [*PRODUCT_ITEM, "stat"], "x")
+    """Per product item: centre and scatter of wafer medians, typical wafer spread. The wafers are read more than once and should be stored."""
+    stats = wafers.select(*PRODUCT, F.col("item").alias("_of"), "median", F.when(F.col("spread") > 0, F.col("spread")).alias("spread"))
+    per = robust.profile_wide(stats, [*PRODUCT, "_of"], ["median", "spread"]).withColumnsRenamed({"item": "stat", "_of": "item"})
     return per.groupBy(*PRODUCT_ITEM).agg(
         F.max(F.when(F.col("stat") == "median", F.col("median"))).alias("center"),
         F.max(F.when(F.col("stat") == "median", F.col("spread"))).alias("scatter"),

@@ -31,6 +31,9 @@ class Report:
     #: one row for each report, its shots an array; and the shots of reports too large for one
     packs: DataFrame | None = None
     rest: DataFrame | None = None
+    #: the shots dealt so that those of a group of these keys (of a report or more) meet in one task, or None where a report is too
+    #: large for an array
+    met: Callable[[Sequence[str]], DataFrame | None] = lambda keys: None
 
     def stored(self) -> Report:
         """The same over shots that are computed once and stored, for plans that read them more than once."""
@@ -91,13 +94,18 @@ class Report:
             return own if self.rest is None else own.unionByName(detect.wafer_stats_wide(self.rest, self.names))
         return detect.wafer_stats_wide(self.stored().shots, self.names)
 
+    def baseline(self) -> DataFrame:
+        """What each product item's wafers are scored against. The few figures of a wafer it needs are stored, so that no round over
+        them makes the wafers again."""
+        shots = None if self.is_stored or self.lim.aggregated else self.met(WAFER)
+        wafers = self.wafers() if shots is None else robust.profile_met(shots, WAFER, self.names)
+        return detect.product_baseline(staged(wafers.select(*detect.PRODUCT_ITEM, "median", "spread"), "wafers"))
+
     def scored(self) -> DataFrame:
         r = self.stored()
         if r.packs is not None:
             # the wafers are made again from the packs where they are scored, so their values are not written
-            w = r.wafers()
-            centres = staged(w.select(*detect.PRODUCT_ITEM, "median", "spread"), "wafers")
-            return detect.score_wafers(w, detect.product_baseline(centres), r.item_dim, r.points, r.lim, whole=r.rest is None)
+            return detect.score_wafers(r.wafers(), r.baseline(), r.item_dim, r.points, r.lim, whole=r.rest is None)
         w = staged(r.wafers(), "wafers")
         return detect.score_wafers(w, detect.product_baseline(w), r.item_dim, r.points, r.lim)
 

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -26,6 +26,8 @@ RUNTIME_SETTINGS = {
 #: bytes a task reads at most. Compressed measurements grow tenfold in the memory of a task that sorts them, and what
 #: does not fit there is spilled, so that with Spark's own bounds spills outgrow the tables
 TASK_BYTES = 16 << 20
+#: a size that gives more tasks is none that is known
+MOST_TASKS = 10_000
 TASK_SIZES = {"spark.sql.files.maxPartitionBytes": "128m", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m"}
 UNITS = {"b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "": 0}
 
@@ -100,6 +102,15 @@ def staged(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     return df.sparkSession.read.parquet(path)
 
 
+def dealt(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    """Rows with equal keys in one task, in as many tasks as the size of what is read asks for."""
+    spark = df.sparkSession
+    tasks = -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // TASK_BYTES)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # no number, where the usual one does: then small ones are put together at run time
+    return df.repartition(tasks, *keys) if usual < tasks < MOST_TASKS else df.repartition(*keys)
+
+
 def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
     """A small parameter table as a local relation.
 

@@ -132,6 +132,9 @@ def median_percentile(spark, sf):
 @query(f"{KWI} chip_x:i chip_y:i tkout_time:t out:i seq_no:i",
        "(SELECT *, out_ AS out FROM seqw)", "seqw")
 def measurement_order(spark, sf):
+    shots = fx.li_shots_met(spark, sf, WAFER)
+    if shots is not None:
+        return order.measurement_order_met(shots, fx.LI_ITEMS)
     return order.measurement_order(pts(spark, sf, ()), fx.li_items(spark))
 
 

@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 
 from checks import catalog
+from waferlake import fixtures
 from waferlake.functions import histogram, ordered, robust
+from waferlake.operators import order, reshape
+from waferlake.schema import SITE, WAFER, Item, item_frame
 
 FIGURES = ["n", "median", "std", "spread", "v_min", "v_max"]
 
@@ -49,3 +52,34 @@ def test_baseline_makes_wafers_once(spark, sf):
     """What is left to compute reads the stored figures of the wafers, not the shots."""
     out = catalog.QUERIES["product_wafer_baseline"](spark, sf)
     assert "wafer_id" not in out._jdf.queryExecution().toString()
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_measurement_order_deals_shots_once(spark, sf):
+    """One shuffle, of the source's rows."""
+    out = catalog.QUERIES["measurement_order"](spark, sf)
+    assert exchanges(out) == 1, out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_measurement_order_of_wide_shots_with_gaps(spark):
+    """Shots on which some items are missing have no place in the order of these."""
+    items = [Item("REAL", "A", spec_high=5.0), Item("REAL", "B", spec_low=2.0, spec_high=4.0), Item("REAL", "C")]
+    rng = np.random.default_rng(8)
+    value = lambda: None if rng.random() < 0.3 else float(rng.integers(0, 8))
+    rows = [("V", "S", f"L{w % 2}", w, x, y, t, value(), value(), value()) for w in range(4) for x in range(3) for y in range(3) for t in range(2)]
+    shots = spark.createDataFrame(rows, "vehicle string, step_id string, lot_id string, wafer_id int, chip_x int, chip_y int, tkout_time int, A double, B double, C double")
+    cols = [*WAFER, "item", *SITE, "value", "out", "seq_no", "out_no"]
+    got = order.measurement_order_met(shots, items).select(cols).collect()
+    want = order.measurement_order(reshape.points(shots, ["A", "B", "C"], [*WAFER, *SITE]), item_frame(spark, items)).select(cols).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 80
+
+
+def test_shots_meet_only_where_reports_fit_an_array(spark, sf, monkeypatch):
+    """Reports too large for an array go the former way, with equal rows."""
+    want = sorted(map(tuple, catalog.QUERIES["measurement_order"](spark, sf).collect()))
+    monkeypatch.setattr(ordered, "ALONE", 10)
+    assert fixtures.li_shots_met(spark, sf, WAFER) is None
+    assert sorted(map(tuple, catalog.QUERIES["measurement_order"](spark, sf).collect())) == want

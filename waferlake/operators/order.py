@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from waferlake.functions import ordered
 from waferlake.functions import scalars as S
@@ -37,6 +38,22 @@ def measurement_order(points: DataFrame, items: DataFrame) -> DataFrame:
     return _numbered(_flagged(points, items))
 
 
+def measurement_order_met(shots: DataFrame, items: Sequence[Item]) -> DataFrame:
+    """The same from wide shots that meet in the task of their wafer: a shot is put in order once with all its items, and
+    becomes a row for each only in the result, so nothing travels again."""
+    checked = [i for i in items if i.spec_low is not None or i.spec_high is not None]
+    if not checked:
+        return measurement_order(points_of(shots, [i.alias for i in items], [*WAFER, *SITE]), item_frame(shots.sparkSession, items))
+    out = {i.alias: S.spec_out(i.alias, F.lit(i.spec_low).cast("double"), F.lit(i.spec_high).cast("double")).cast("int") for i in checked}
+    upto = W.partitionBy(*WAFER).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0)
+    numbered = shots.select("*", *[F.count(n).over(upto).alias(f"_seq_{n}") for n in out], *[F.sum(o).over(upto).alias(f"_out_{n}") for n, o in out.items()])
+    each = [
+        F.struct(F.lit(n).alias("item"), F.col(n).alias("value"), o.alias("out"), F.col(f"_seq_{n}").alias("seq_no"), F.col(f"_out_{n}").alias("out_no"))
+        for n, o in out.items()
+    ]
+    return numbered.select(*WAFER, *SITE, F.inline(F.array(*each))).where(F.col("value").isNotNull())
+
+
 def wafer_sequences(points: DataFrame, items: DataFrame, lim: Limits) -> DataFrame:
     """``wafer_sequence`` of the points: wafers that fit an array are put in order there, larger ones by running sums.
 

@@ -380,6 +380,9 @@ solved_sql("radial_m", f"{WI}, n", 4, ["c0", "c1", "c2", "c3"], "radial_s")
 @query(f"{KWI} n:i c0:f c1:f c2:f c3:f", "radial_s", "radial_s")
 def radial_fits(spark, sf):
     """Cubic of value over radius per wafer and item, all items."""
+    shots = fx.li_shots_met(spark, sf, WAFER)
+    if shots is not None:
+        return charts.radial_fits_met(shots, fx.LI_ALL, fx.li_layout(spark, sf))
     return charts.radial_fits(stored_pts(spark, sf), fx.li_layout(spark, sf))
 
 

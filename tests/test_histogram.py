@@ -6,7 +6,7 @@ import pytest
 from checks import catalog
 from waferlake import fixtures
 from waferlake.functions import histogram, ordered, robust
-from waferlake.operators import order, reshape
+from waferlake.operators import charts, order, reshape
 from waferlake.schema import SITE, WAFER, Item, item_frame
 
 FIGURES = ["n", "median", "std", "spread", "v_min", "v_max"]
@@ -83,3 +83,30 @@ def test_shots_meet_only_where_reports_fit_an_array(spark, sf, monkeypatch):
     monkeypatch.setattr(ordered, "ALONE", 10)
     assert fixtures.li_shots_met(spark, sf, WAFER) is None
     assert sorted(map(tuple, catalog.QUERIES["measurement_order"](spark, sf).collect())) == want
+
+
+def test_radial_fits_deal_shots_once(spark, sf):
+    """One shuffle, of the source's rows; the layout, which is small, is sent to them."""
+    out = catalog.QUERIES["radial_fits"](spark, sf)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+@pytest.mark.parametrize("chunk", [100_000, 7])
+def test_radial_sums_of_wide_shots_with_gaps(spark, monkeypatch, chunk):
+    """Fits of items that miss on some shots, on wafers with few points or radii and on sites without a radius, in one chunk or many."""
+    rng = np.random.default_rng(2)
+    lay = [("V", x, y, None if (x, y) == (2, 2) else float(np.hypot(12 * x, 15 * y))) for x in range(5) for y in range(5)]
+    value = lambda: None if rng.random() < 0.2 else float(rng.normal(50, 9))
+    rows = [("V", "S", lot, w, x, y, 0, value(), None, value()) for lot in ("L", None) for w, n in ((1, 25), (2, 12), (3, 3)) for _, x, y, _ in lay[:n]]
+    rows += [("V", "S", "L", 4, 1, 1, t, 1.0, None, 2.0) for t in range(9)]
+    shots = spark.createDataFrame(rows, "vehicle string, step_id string, lot_id string, wafer_id int, chip_x int, chip_y int, tkout_time int, A double, B double, C double")
+    layout = spark.createDataFrame(lay, "mask string, chip_x int, chip_y int, chip_radius double")
+    points = reshape.points(shots.fillna("none", ["lot_id"]), ["A", "B", "C"], [*WAFER, *SITE])
+    fits = lambda df: {(r["lot_id"] or "none", r["wafer_id"], r["item"]): [r["n"], *(r[f"c{k}"] for k in range(4))] for r in df.collect()}
+    want = fits(charts.radial_fits(points, layout))
+    monkeypatch.setattr(charts, "RADIAL_CHUNK", chunk)
+    got = fits(charts.radial_fits_met(shots.repartition(*WAFER), ["A", "B", "C"], layout))
+    assert got.keys() == want.keys() and len(want) == 8
+    for key, row in want.items():
+        assert got[key] == pytest.approx(row, rel=1e-9), key

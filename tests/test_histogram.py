@@ -5,7 +5,7 @@ import pytest
 
 from checks import catalog
 from waferlake import fixtures
-from waferlake.functions import histogram, ordered, robust
+from waferlake.functions import histogram, ordered, robust, runs
 from waferlake.operators import charts, order, reshape
 from waferlake.schema import SITE, WAFER, Item, item_frame
 
@@ -105,8 +105,56 @@ def test_radial_sums_of_wide_shots_with_gaps(spark, monkeypatch, chunk):
     points = reshape.points(shots.fillna("none", ["lot_id"]), ["A", "B", "C"], [*WAFER, *SITE])
     fits = lambda df: {(r["lot_id"] or "none", r["wafer_id"], r["item"]): [r["n"], *(r[f"c{k}"] for k in range(4))] for r in df.collect()}
     want = fits(charts.radial_fits(points, layout))
-    monkeypatch.setattr(charts, "RADIAL_CHUNK", chunk)
+    monkeypatch.setattr(runs, "CHUNK", chunk)
     got = fits(charts.radial_fits_met(shots.repartition(*WAFER), ["A", "B", "C"], layout))
     assert got.keys() == want.keys() and len(want) == 8
     for key, row in want.items():
         assert got[key] == pytest.approx(row, rel=1e-9), key
+
+
+def test_shares_of_wide_shots_equal_counting(spark, monkeypatch):
+    """Shares below probes among and beside the values, equal ones too, of items with gaps; and of a group without values."""
+    monkeypatch.setattr(histogram, "CHUNK", 50)
+    rng = np.random.default_rng(4)
+    pick = [lambda: float(rng.integers(-3, 4)) / 2, lambda: None if rng.random() < 0.3 else float(rng.gamma(2, 50)), lambda: None]
+    rows = [(k, *[p() for p in pick]) for k in ("a", "b", None) for _ in range(400)]
+    shots = spark.createDataFrame(rows, "k string, few double, gaps double, empty double").repartition(6)
+    asked = {(k, i, v) for k in ("a", None) for i, values in (("few", [-9.0, -0.5, 0.0, 0.25, 1.5, 9.0]), ("gaps", [0.0, 60.0, rows[7][2] or 1.0, 1e9]), ("empty", [1.0])) for v in values}
+    probes = spark.createDataFrame(list(asked), "k string, item string, at double")
+    points = shots.unpivot(["k"], ["few", "gaps", "empty"], "item", "value")
+    for wide in (None, (shots, ["few", "gaps", "empty"])):
+        got = {(r["k"], r["item"], r["at"]): r["pctile"] for r in ordered.share_below(points, probes, ["k", "item"], "value", "at", wide).collect()}
+        assert got.keys() == {a for a in asked if a[1] != "empty"}
+        for (k, i, v), share in got.items():
+            own = [r[1 + ["few", "gaps"].index(i)] for r in rows if r[0] == k]
+            own = [x for x in own if x is not None]
+            assert share == pytest.approx(100 * sum(x < v for x in own) / len(own)), (wide, k, i, v)
+
+
+def test_context_is_made_once_for_the_rule_table(spark, sf):
+    """Facts, categories, counts and reports read the stored context, not the shots or packs."""
+    out = catalog.QUERIES["rule_table_trace"](spark, sf)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "wafer_id" not in plan and "/packs-" not in plan and out.count() == 14 * out.select("vehicle", "step_id", "lot_id").distinct().count()
+
+
+def test_context_without_row_functions_in_arrays(spark, sf):
+    """What is counted of packs is counted in batches; the context still equals that of shots that are not packed."""
+    from checks.core import li
+    from dataclasses import replace
+
+    r = li(spark, sf)
+    packed, plain = r.packed(), replace(r.stored(), packs=None)
+    assert "MapInArrow" in packed.wafers()._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df, cols: sorted((tuple(x) for x in df.select(*cols).collect()), key=lambda x: tuple(map(str, x[:cols.index("item") + 1])))
+    keys = ["vehicle", "step_id", "lot_id"]
+    for cols, own in (
+        ([*WAFER, "item", "n", "median", "std", "spread", "v_min", "v_max"], lambda x: x.wafers()),
+        ([*keys, "item", "seq_run", "seq_dead", "seq_front", "seq_back"], lambda x: x.sequence()),
+        ([*keys, "item", "target_median", "pctile"], lambda x: x.target_percentile()),
+    ):
+        got, want = rows(own(packed), cols), rows(own(plain), cols)
+        assert len(got) == len(want) > 0
+        for a, b in zip(got, want):
+            assert all(x == y or x == pytest.approx(y, rel=1e-9) for x, y in zip(a, b)), (a, b)
+    assert all(sorted(v["values"]) == v["values"] and len(v["values"]) == v["n"] for v in packed.wafers().limit(50).collect())

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from waferlake.functions import linear, ordered
+from waferlake.functions import linear, ordered, runs
 from waferlake.functions import scalars as S
 from waferlake.operators.detect import REPORT_ITEM, WAFER_ITEM
 from waferlake.schema import PRODUCT, WAFER
@@ -133,79 +131,38 @@ def radial_fits_met(shots: DataFrame, items: Sequence[str], layout: DataFrame, m
         # the layout is too large to be sent to the shots, so the join deals them anew
         rows = rows.repartition(*WAFER)
     rows = rows.sortWithinPartitions(*WAFER, "_r")
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shots.select(*WAFER).schema)
-    sums = rows.mapInArrow(_radial_sums(list(items), min_points), f"{keys}, item string, n long, {', '.join(f'{c} double' for c in RADIAL_SUMS)}")
+    keys, names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shots.select(*WAFER).schema), list(items)
+    sums = rows.mapInArrow(
+        lambda batches: runs.each_item(batches, WAFER, names, _power_sums(min_points)), f"{keys}, item string, n long, {', '.join(f'{c} double' for c in RADIAL_SUMS)}")
     return linear.solved(sums, 4, ["c0", "c1", "c2", "c3"])
 
 
 RADIAL_SUMS = [f"_m{i}{j}" for i in range(4) for j in range(i, 4)] + [f"_v{i}" for i in range(4)]
-#: shots whose power sums are made at once
-RADIAL_CHUNK = 100_000
-
-
-def _radial_sums(items: list[str], min_points: int):
-    """Power sums of each (wafer, item) of shots in order of wafer and radius."""
-
-    def first_of(table: pa.Table) -> np.ndarray:
-        change = np.zeros(table.num_rows, bool)
-        change[0] = True
-        for k in WAFER:
-            column = table.column(k).combine_chunks()
-            a, b = column[1:], column[:-1]
-            differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null()))
-            change[1:] |= differ.to_numpy(zero_copy_only=False)
-        return np.flatnonzero(change)
-
-    def sums(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
-        wafer = np.repeat(np.arange(len(first)), np.diff(np.r_[first, table.num_rows]))
-        keys = table.select(WAFER).take(pa.array(first))
-        radius, placed = table.column("_r").to_numpy(), table.column("_r").is_valid().to_numpy()
-        for k, item in enumerate(items):
-            column = table.column(f"_x{k}")
-            own = np.flatnonzero(column.is_valid().to_numpy())
-            if not len(own):
-                continue
-            at, r, has, value = wafer[own], radius[own], placed[own], column.to_numpy()[own]
-            start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            n = np.diff(np.r_[start, len(at)])
-            with np.errstate(all="ignore"):
-                count = np.add.reduceat(has.astype(float), start)
-                mean = np.add.reduceat(np.where(has, r, 0.0), start) / count
-                off = np.where(has, r - np.repeat(mean, n), 0.0)
-                scale = np.sqrt(np.add.reduceat(off * off, start) / count)
-                new = np.r_[True, r[1:] != r[:-1]]
-                new[start] = True
-                fits = (n >= min_points) & (scale > 0) & (np.add.reduceat((new & has).astype(np.int64), start) >= 4)
-                z, power, value = off / np.repeat(scale, n), has.astype(float), np.where(has, value, 0.0)
-                moment, right = [], []
-                for degree in range(7):
-                    moment.append(np.add.reduceat(power, start))
-                    if degree < 4:
-                        right.append(np.add.reduceat(power * value, start))
-                    power = power * z
-            columns = [moment[i + j] for i in range(4) for j in range(i, 4)] + right
-            named = keys.take(pa.array(at[start][fits]))
-            yield pa.RecordBatch.from_arrays(
-                [*[named.column(c).combine_chunks() for c in WAFER], pa.array(np.full(int(fits.sum()), item, object), pa.string()), pa.array(n[fits]), *[pa.array(c[fits]) for c in columns]],
-                names=[*WAFER, "item", "n", *RADIAL_SUMS])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(b.num_rows for b in held) >= RADIAL_CHUNK:
-                table = pa.Table.from_batches(held)
-                first = first_of(table)
-                # the last wafer may go on
-                if len(first) > 1:
-                    yield from sums(table.slice(0, first[-1]), first[:-1])
-                held = table.slice(first[-1]).combine_chunks().to_batches()
-        if held:
-            table = pa.Table.from_batches(held)
-            yield from sums(table, first_of(table))
-
-    return run
+
+
+def _power_sums(min_points: int):
+    """Of shots in order of wafer and radius."""
+
+    def own(item, table, rows, value, start, n):
+        r, has = table.column("_r").to_numpy()[rows], table.column("_r").is_valid().to_numpy()[rows]
+        count = np.add.reduceat(has.astype(float), start)
+        mean = np.add.reduceat(np.where(has, r, 0.0), start) / count
+        off = np.where(has, r - np.repeat(mean, n), 0.0)
+        scale = np.sqrt(np.add.reduceat(off * off, start) / count)
+        new = np.r_[True, r[1:] != r[:-1]]
+        new[start] = True
+        fits = (n >= min_points) & (scale > 0) & (np.add.reduceat((new & has).astype(np.int64), start) >= 4)
+        z, power, value = off / np.repeat(scale, n), has.astype(float), np.where(has, value, 0.0)
+        moment, right = [], []
+        for degree in range(7):
+            moment.append(np.add.reduceat(power, start))
+            if degree < 4:
+                right.append(np.add.reduceat(power * value, start))
+            power = power * z
+        sums = [moment[i + j] for i in range(4) for j in range(i, 4)] + right
+        return {"n": n.astype(np.int64), **dict(zip(RADIAL_SUMS, sums)), None: fits}
+
+    return own
 
 
 def wafer_circle(layout: DataFrame) -> DataFrame:
